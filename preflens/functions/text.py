@@ -48,11 +48,18 @@ def token_ngrams(tokens: Column, n: int) -> Column:
     every position. Positions are read one by one: `slice` copies the whole
     array on every call, which is quadratic in the length of the text.
     """
-    at = lambda i: F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)])
-    empty = F.array().cast("array<string>")
-    return F.when(
-        F.size(tokens) >= n, F.transform(F.sequence(F.lit(0), F.size(tokens) - n), at)
-    ).otherwise(empty)
+
+    def gram(start: Column) -> Column:
+        pieces = [F.get(tokens, start)]
+        for offset in range(1, n):
+            pieces += [F.lit(" "), F.get(tokens, start + offset)]
+        return F.concat(*pieces)
+
+    starts = F.sequence(F.lit(0), F.size(tokens) - n)
+    # Without the guard, sequence(0, -1) would count down.
+    return F.when(F.size(tokens) >= n, F.transform(starts, gram)).otherwise(
+        F.array().cast("array<string>")
+    )
 
 
 def ngrams(text: Column, n: int = NGRAM) -> Column:

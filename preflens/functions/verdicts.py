@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The three verdicts and the width of a score tie.
-FIRST, SECOND, TIE = "A", "B", "TIE"
+VERDICTS = FIRST, SECOND, TIE = "A", "B", "TIE"
 SCORE_TIE = 1e-3
 
 

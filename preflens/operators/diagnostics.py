@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import losses, text
 from ..functions.verdicts import score_outcome
+from .lineage import materialise
 from .ranking import with_position
 
 # Fixed value: above this length/reward correlation a win-rate is partly a length win.
@@ -67,6 +68,9 @@ def length_reward_corr(
     rows = scored.select(*by, *key, length, score).where(
         F.col(length).isNotNull() & F.col(score).isNotNull()
     )
+    # Written out once: ranking reads its input several times, and measuring the
+    # lengths may mean reading every text.
+    rows = materialise(rows)
     ranked = with_position(rows, by, [length, *key], "length_rank")
     ranked = with_position(ranked.drop(length), by, [score, *key], "score_rank")
     rho = F.corr(F.col("length_rank").cast("double"), F.col("score_rank").cast("double"))

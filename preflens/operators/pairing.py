@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.verdicts import parse_verdict, score_verdict, swap_consistent, swap_score
+from ..functions.verdicts import VERDICTS, parse_verdict, score_verdict, swap_consistent, swap_score
 
 ORDERS = ("ab", "ba")
 
@@ -61,9 +61,18 @@ def both_orders(pairs: DataFrame, score: str = "rm_score") -> DataFrame:
 
 
 def verdicts_by_order(verdicts: DataFrame, on: Sequence[str], verdict: str = "verdict") -> DataFrame:
-    """One row per pair with the verdicts of both orders side by side."""
-    pick = lambda order: F.max(F.when(F.col("ord") == order, F.col(verdict)))
-    return verdicts.groupBy(*on).agg(*[pick(o).alias(f"verdict_{o}") for o in ORDERS])
+    """One row per pair with the verdicts of both orders side by side.
+
+    Verdicts are aggregated as small numbers: a maximum of strings would make
+    Spark sort instead of hash.
+    """
+    code = F.array_position(F.array(*[F.lit(v) for v in VERDICTS]), F.col(verdict))
+    pick = lambda order: F.max(F.when(F.col("ord") == order, code))
+    codes = verdicts.groupBy(*on).agg(*[pick(o).alias(o) for o in ORDERS])
+    name = lambda order: F.try_element_at(
+        F.array(*[F.lit(v) for v in VERDICTS]), F.col(order).cast("int")
+    )
+    return codes.select(*on, *[name(o).alias(f"verdict_{o}") for o in ORDERS])
 
 
 def judged_pairs(raw_verdicts: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -25,8 +25,9 @@ def with_position(
     its group in earlier partitions is its position. `order` has to be unique
     within a group, which also keeps the ranges even when a value repeats.
 
-    Pass narrow rows: they are sorted and written to the checkpoint folder once,
-    which fixes the ranges for the two reads that follow.
+    Pass narrow rows, as they are written to the checkpoint folder, which fixes
+    the ranges for the two reads that follow. `df` itself is read twice, to find
+    the ranges and to sort, so materialise one that is costly to compute.
     """
     group, order = list(group), list(order)
     ranged = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)

@@ -52,8 +52,9 @@ def group_advantage(
     """Reward standardised within its prompt's group; 0 for a group of one.
 
     The moments are pre-aggregated and joined back. A window would need a whole
-    group in one task; the join is on the same key, but there a hot group's rows
-    may be split over tasks (adaptive skew-join handling).
+    group in one task; in the join, adaptive execution splits a hot group's rows
+    over tasks. It does so only where both sides come straight from a shuffle,
+    hence the explicit one for the moments (one narrow row per group).
     """
     group = list(group)
     moments = rollouts.groupBy(*group).agg(
@@ -61,6 +62,7 @@ def group_advantage(
         F.stddev_samp(reward).alias("_spread"),
         F.count(reward).alias("_samples"),
     )
+    moments = moments.repartition(*group)
     standardised = (F.col(reward) - F.col("_mean")) / (F.col("_spread") + epsilon)
     return (
         rollouts.join(moments, group)

@@ -21,20 +21,26 @@ tables.CTES["v_by_seed"] = (
     ("v_judged",),
     f"select run_id, seed, {SUMMARY} from v_judged group by run_id, seed",
 )
-tables.CTES["v_ci"] = (
-    ("v_judged",),
-    f"""select run_id, seed, quantile_cont(mean, 0.025) as ci_lo, quantile_cont(mean, 0.975) as ci_hi
-      from (select p.run_id, p.seed, replicate, avg(q.score) as mean
-        from (select run_id, seed, row_number() over (partition by run_id, seed order by prompt_id) - 1
-              as position, count(*) over (partition by run_id, seed) as n from v_judged) p
-          cross join range({REPLICATES}) as r(replicate)
-          join (select run_id, seed, score,
-              row_number() over (partition by run_id, seed order by prompt_id) - 1 as position
-            from v_judged) q
-            on q.run_id = p.run_id and q.seed = p.seed
-              and q.position = {sql_hash('0', 'replicate', 'p.position')} % p.n
+
+
+def sql_bootstrap(source: str, value: str, order: str) -> str:
+    """Row by row: number the rows, draw positions, join the rows drawn."""
+    placed = f"""select run_id, seed, {value} as value,
+        row_number() over (partition by run_id, seed order by {order}) - 1 as position,
+        count(*) over (partition by run_id, seed) as n from {source}"""
+    return f"""select run_id, seed, quantile_cont(mean, 0.025) as ci_lo, quantile_cont(mean, 0.975) as ci_hi
+      from (select p.run_id, p.seed, replicate, avg(q.value) as mean
+        from ({placed}) p cross join range({REPLICATES}) as r(replicate) join ({placed}) q
+          on q.run_id = p.run_id and q.seed = p.seed
+            and q.position = {sql_hash('0', 'replicate', 'p.position')} % p.n
         group by p.run_id, p.seed, replicate)
-      group by run_id, seed""",
+      group by run_id, seed"""
+
+
+tables.CTES["v_ci"] = (("v_judged",), sql_bootstrap("v_judged", "score", "score, prompt_id"))
+tables.CTES["v_gap_ci"] = (
+    ("v_pairs",),
+    sql_bootstrap("v_pairs", "(length(completion_policy) - length(completion_baseline))::double", "prompt_id"),
 )
 tables.CTES["v_results"] = (
     ("v_by_seed", "v_ci"),
@@ -50,11 +56,9 @@ def judged(spark, sf_dir) -> DataFrame:
 
 def judged_by_seed(spark, sf_dir) -> DataFrame:
     """Win-rate and bootstrap interval per run and seed."""
-    scored = judged(spark, sf_dir)
-    intervals = winrate.bootstrap_ci(scored, BY_SEED, "score", ["prompt_id"], REPLICATES)
-    return winrate.win_rate_summary(scored, BY_SEED).join(
-        intervals.select(*BY_SEED, "ci_lo", "ci_hi"), BY_SEED
-    )
+    summary = winrate.win_rate_summary(judged(spark, sf_dir), BY_SEED)
+    intervals = winrate.bootstrap_ci(summary, BY_SEED, REPLICATES)
+    return summary.join(intervals.drop("mean", "n"), BY_SEED)
 
 
 def results(spark, sf_dir) -> DataFrame:
@@ -170,7 +174,29 @@ def win_rate_summary_rm(spark, sf_dir) -> DataFrame:
     ),
 )
 def bootstrap_ci(spark, sf_dir) -> DataFrame:
-    intervals = winrate.bootstrap_ci(judged(spark, sf_dir), BY_SEED, "score", ["prompt_id"], REPLICATES)
+    summary = winrate.win_rate_summary(judged(spark, sf_dir), BY_SEED)
+    return rounded(winrate.bootstrap_ci(summary, BY_SEED, REPLICATES), "mean", "ci_lo", "ci_hi")
+
+
+@query(
+    "bootstrap_ci_values",
+    with_tables(
+        "v_pairs v_gap_ci",
+        f"""select run_id, seed, {sql_r6('mean')} as mean, n, {sql_r6('ci_lo')} as ci_lo,
+          {sql_r6('ci_hi')} as ci_hi
+        from v_gap_ci join (select run_id, seed, count(*) as n,
+            avg(length(completion_policy) - length(completion_baseline)) as mean
+          from v_pairs group by run_id, seed) using (run_id, seed)""",
+    ),
+)
+def bootstrap_ci_values(spark, sf_dir) -> DataFrame:
+    """How much longer the policy's answers are, with an interval."""
+    lengths = tables.completions(spark, sf_dir).withColumn("chars", F.length("completion"))
+    pairs = pairing.pair_policy_baseline(
+        *pairing.sides(lengths.select(*KEY, "model_role", "chars")), on=KEY, values=["chars"]
+    )
+    gaps = pairs.select(*KEY, (F.col("chars_policy") - F.col("chars_baseline")).alias("gap"))
+    intervals = winrate.bootstrap_ci_values(gaps, BY_SEED, "gap", ["prompt_id"], REPLICATES)
     return rounded(intervals, "mean", "ci_lo", "ci_hi")
 
 
@@ -222,5 +248,6 @@ def seed_ci_envelope(spark, sf_dir) -> DataFrame:
 def judgement_audit(spark, sf_dir) -> DataFrame:
     answers = tables.completions(spark, sf_dir).drop("doc_id")
     pairs = pairing.pair_policy_baseline(*pairing.sides(answers), on=KEY, values=["completion"])
-    rows = pairs.join(judged(spark, sf_dir), KEY).join(tables.prompts(spark, sf_dir), "prompt_id")
-    return report.judgement_audit(rows, KEY)
+    # Prompts join the narrow verdicts, so that the answers are shuffled once only.
+    verdicts = judged(spark, sf_dir).join(tables.prompts(spark, sf_dir), "prompt_id")
+    return report.judgement_audit(pairs.join(verdicts, KEY), KEY)

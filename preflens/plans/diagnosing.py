@@ -55,7 +55,7 @@ tables.CTES["v_diagnostics"] = (
 
 def diagnostics_of(spark, sf_dir) -> DataFrame:
     return diagnostics.diagnostics_row(
-        tables.scores(spark, sf_dir),
+        tables.scores(spark, sf_dir, tables.documents(spark, sf_dir)),
         tables.score_pairs(spark, sf_dir),
         RUN,
         ["prompt_id", "seed"],

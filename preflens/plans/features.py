@@ -53,6 +53,10 @@ STYLE_SQL = {
 }
 
 
+def _texts(spark, sf_dir) -> DataFrame:
+    return tables.completions(spark, sf_dir, tables.documents(spark, sf_dir))
+
+
 @query(
     "word_tokens",
     f"""select doc_id, len(words)::bigint as n_tokens, array_to_string(words, ' ') as tokens
@@ -116,7 +120,7 @@ def length_penalty(spark, sf_dir) -> DataFrame:
     ),
 )
 def stylistic_tells(spark, sf_dir) -> DataFrame:
-    tells = diagnostics.stylistic_tells(tables.completions(spark, sf_dir), ["run_id", "model_role"])
+    tells = diagnostics.stylistic_tells(_texts(spark, sf_dir), ["run_id", "model_role"])
     return rounded(tells, *STYLE_SQL)
 
 
@@ -130,7 +134,7 @@ def stylistic_tells(spark, sf_dir) -> DataFrame:
     ),
 )
 def distinct_n_by_run(spark, sf_dir) -> DataFrame:
-    means = diagnostics.distinct_n_by_run(tables.completions(spark, sf_dir), ["run_id", "model_role"])
+    means = diagnostics.distinct_n_by_run(_texts(spark, sf_dir), ["run_id", "model_role"])
     return rounded(means, "distinct_4")
 
 
@@ -233,9 +237,18 @@ def verdict_normalise(spark, sf_dir) -> DataFrame:
 
 @query(
     "ngrams",
-    f"""select gram, count(*) as n from (select unnest({sql_grams('words')}) as gram
-      from (select {sql_words('text')} as words from documents)) group by gram""",
+    f"""select doc_id, len(grams)::bigint as n_grams, grams[1] as first_gram, grams[-1] as last_gram,
+      md5(array_to_string(grams, '|')) as all_grams
+    from (select doc_id, {sql_grams('words')} as grams
+      from (select doc_id, {sql_words('text')} as words from documents))""",
 )
 def ngrams(spark, sf_dir) -> DataFrame:
-    grams = tables.documents(spark, sf_dir).select(F.explode(text.ngrams(F.col("text"))).alias("gram"))
-    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    """Every 4-gram in its place, the whole list told by its MD5."""
+    grams = tables.documents(spark, sf_dir).select("doc_id", text.ngrams(F.col("text")).alias("grams"))
+    return grams.select(
+        "doc_id",
+        F.size("grams").cast("bigint").alias("n_grams"),
+        F.get("grams", F.lit(0)).alias("first_gram"),
+        F.try_element_at("grams", F.lit(-1)).alias("last_gram"),
+        F.md5(F.array_join("grams", "|")).alias("all_grams"),
+    )

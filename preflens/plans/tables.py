@@ -32,25 +32,31 @@ def unit(*parts: Column | str) -> Column:
     return hash52(*parts) / F.lit(HASH_SPACE)
 
 
+def quotient(column: Column, divisor: int) -> Column:
+    return F.call_function("div", column, F.lit(divisor))
+
+
 def run_of(prompt_id: Column) -> Column:
     return F.element_at(F.array(*[F.lit(r) for r in POLICY_RUNS]), (prompt_id % 9 + 1).cast("int"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt over the cores for work on whole texts."""
     return spread(table(spark, sf_dir, "documents"))
 
 
-def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def completions(spark: SparkSession, sf_dir: str, texts: DataFrame | None = None) -> DataFrame:
     """Policy and baseline answers; some get a style marker put in front."""
     doc = F.col("doc_id")
-    prompt_id = F.floor(doc / 2)
+    prompt_id = quotient(doc, 2)
     marker = F.element_at(
         F.array(F.lit("## "), F.lit("- "), F.lit("Certainly! ")), (doc % 7 + 1).cast("int")
     )
-    return documents(spark, sf_dir).select(
+    texts = table(spark, sf_dir, "documents") if texts is None else texts
+    return texts.select(
         prompt_id.alias("prompt_id"),
         run_of(prompt_id).alias("run_id"),
-        (F.floor(doc / 18) % 3).alias("seed"),
+        (quotient(doc, 18) % 3).alias("seed"),
         F.when(doc % 2 == 0, "policy").otherwise("baseline").alias("model_role"),
         "doc_id",
         F.when(doc % 7 < 3, F.concat(marker, "text")).otherwise(F.col("text")).alias("completion"),
@@ -63,8 +69,8 @@ def rm_score(doc_id: Column, completion: Column) -> Column:
     return F.floor(raw * 10) / 10
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return completions(spark, sf_dir).withColumn(
+def scores(spark: SparkSession, sf_dir: str, texts: DataFrame | None = None) -> DataFrame:
+    return completions(spark, sf_dir, texts).withColumn(
         "rm_score", rm_score(F.col("doc_id"), F.col("completion"))
     )
 
@@ -94,7 +100,7 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("prompt"))
     n_items = table(spark, sf_dir, "benchmark").agg(F.count(F.lit(1))).scalar()
     ids = table(spark, sf_dir, "documents").where(F.col("doc_id") % 2 == 0)
-    ids = ids.select(F.floor(F.col("doc_id") / 2).alias("prompt_id"))
+    ids = ids.select(quotient(F.col("doc_id"), 2).alias("prompt_id"))
     return (
         ids.withColumn("item_id", F.pmod("prompt_id", n_items)).join(items, "item_id").drop("item_id")
     )
@@ -112,7 +118,7 @@ def preference_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id")
         .join(labels, "doc_id", "left")
         .select(
-            F.floor(F.col("doc_id") / 2).alias("pair_id"),
+            quotient(F.col("doc_id"), 2).alias("pair_id"),
             F.struct(
                 F.coalesce(F.col("quality").cast("double"), F.lit(0.5)).alias("quality"),
                 hash52("pref", F.col("doc_id")).alias("hash"),
@@ -202,12 +208,12 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     reference = vectors.where(F.col("vec_id") % 2 == 1).select(
         (F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("reference")
     )
-    prompt_id = F.floor(F.col("vec_id") / 8)
+    prompt_id = quotient(F.col("vec_id"), 8)
     prompt_tokens = hash52("prompt_tokens", prompt_id) % 1700
     return policy.join(reference, "vec_id").select(
         run_of(prompt_id).alias("run_id"),
         prompt_id.alias("prompt_id"),
-        (F.floor(F.col("vec_id") / 2) % 4).alias("pos"),
+        (quotient(F.col("vec_id"), 2) % 4).alias("pos"),
         prompt_tokens.alias("prompt_tokens"),
         F.least(F.lit(1536), prompt_tokens + 4).alias("total_tokens"),
         F.col("embedding").alias("policy"),
