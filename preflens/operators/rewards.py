@@ -16,6 +16,7 @@ from ..functions import losses, text
 from ..functions.columns import hash52
 from .lineage import materialise
 from .sampling import SEED, nested_fraction
+from .skew import join_group_facts, join_lookup
 
 # Our choices where the formulas leave them open.
 ADVANTAGE_EPSILON = 1e-4
@@ -51,21 +52,18 @@ def group_advantage(
 ) -> DataFrame:
     """Reward standardised within its prompt's group; 0 for a group of one.
 
-    The moments are pre-aggregated and joined back. A window would need a whole
-    group in one task; in the join, adaptive execution splits a hot group's rows
-    over tasks. It does so only where both sides come straight from a shuffle,
-    hence the explicit one for the moments (one narrow row per group).
+    A window would need a whole group in one task. The moments are pre-aggregated
+    instead and joined back, hot groups without a shuffle.
     """
     group = list(group)
     moments = rollouts.groupBy(*group).agg(
         F.avg(reward).alias("_mean"),
         F.stddev_samp(reward).alias("_spread"),
-        F.count(reward).alias("_samples"),
+        F.count(F.lit(1)).alias("_samples"),
     )
-    moments = moments.repartition(*group)
     standardised = (F.col(reward) - F.col("_mean")) / (F.col("_spread") + epsilon)
     return (
-        rollouts.join(moments, group)
+        join_group_facts(rollouts, moments, group, "_samples")
         .withColumn("advantage", F.when(F.col("_samples") == 1, F.lit(0.0)).otherwise(standardised))
         .drop("_mean", "_spread", "_samples")
     )
@@ -81,12 +79,33 @@ def incomplete_groups(rollouts: DataFrame, group: Sequence[str], group_size: Col
     )
 
 
-def pair_scores(pairs: DataFrame, scores: DataFrame, run: Sequence[str], completion: str) -> DataFrame:
-    """Both scores of each preference pair, from a table of one score per completion."""
-    side = lambda s: scores.select(
-        *run, F.col(completion).alias(f"{s}_id"), F.col("rm_score").alias(f"score_{s}")
+def pair_scores(
+    pairs: DataFrame,
+    scores: DataFrame,
+    run: Sequence[str],
+    completion: str,
+    key: Sequence[str] = ("pair_id", "split"),
+) -> DataFrame:
+    """Both scores of each preference pair, from a table of one score per completion.
+
+    One completion may be part of very many pairs. Both sides of the pairs are
+    looked up in one join, which keeps hot completions in place, and come
+    together again on the pair's own key.
+    """
+    sides = F.array(
+        *[
+            F.struct(F.lit(side).alias("side"), F.col(f"{side}_id").alias(completion))
+            for side in ("chosen", "rejected")
+        ]
+    )
+    wanted = pairs.select(*key, F.inline(sides))
+    scored = join_lookup(wanted, scores.select(*run, completion, "rm_score"), [completion])
+    score = lambda side: F.max(F.when(F.col("side") == side, F.col("rm_score")))
+    return (
+        scored.groupBy(*run, *key)
+        .agg(score("chosen").alias("score_chosen"), score("rejected").alias("score_rejected"))
+        .where(F.col("score_chosen").isNotNull() & F.col("score_rejected").isNotNull())
     )
-    return pairs.join(side("chosen"), "chosen_id").join(side("rejected"), [*run, "rejected_id"])
 
 
 def rm_pair_accuracy(scored_pairs: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -1,0 +1,225 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from preflens.functions import losses, text
+from preflens.operators import diagnostics, rewards
+from preflens.operators.skew import join_lookup
+from tests import plain
+
+
+def sigmoid_log(x):
+    return -np.logaddexp(0, -x)
+
+
+def test_composite_reward(spark):
+    df = spark.createDataFrame([(1.5, "x" * 600), (0.0, "a b c d " * 200)], "s double, t string")
+    reward = lambda *a, **k: [
+        r.r for r in df.select(rewards.composite_reward(F.col("s"), F.col("t"), *a, **k).alias("r")).collect()
+    ]
+    assert reward() == [1.5, 0.0]
+    assert reward(0.2) == pytest.approx([1.5 - 0.2 * 0.5, -0.2 * 400 / 1200])
+    looped = reward(repetition_penalty_weight=1.0)
+    assert looped[0] == 1.5 and looped[1] < -0.9
+    with pytest.raises(ValueError, match="reward"):
+        rewards.composite_reward(None, F.col("t"))
+
+
+def test_group_advantage(spark):
+    groups = {1: [1.0, 2.0, 4.0], 2: [5.0], 3: [2.0, 2.0, 2.0], 4: [0.5 * i for i in range(3000)]}
+    rows = [("r", p, i, v) for p, values in groups.items() for i, v in enumerate(values)]
+    # Ten thousand small groups make the ones above hot or not.
+    rows += [("r", 100 + i // 2, i, float(i)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "run_id string, prompt_id int, sample_id int, reward double")
+    out = rewards.group_advantage(df.repartition(6), ["run_id", "prompt_id"])
+    assert out.columns == ["run_id", "prompt_id", "sample_id", "reward", "advantage"]
+    got = {(r.prompt_id, r.sample_id): r.advantage for r in out.collect()}
+    assert len(got) == len(rows)
+    for prompt, values in groups.items():
+        mean = np.mean(values)
+        spread = np.std(values, ddof=1) if len(values) > 1 else 0.0
+        for i, v in enumerate(values):
+            want = 0.0 if len(values) == 1 else (v - mean) / (spread + 1e-4)
+            assert got[(prompt, i)] == pytest.approx(want, abs=1e-9)
+    assert got[(100, 0)] == pytest.approx(-0.5 / (math.sqrt(0.5) + 1e-4))
+
+
+def test_incomplete_groups(spark):
+    df = spark.createDataFrame(
+        [("r", p, i) for p, n in ((1, 4), (2, 3), (3, 8), (4, 5)) for i in range(n)],
+        "run_id string, prompt_id int, sample_id int",
+    )
+    out = rewards.incomplete_groups(df, ["run_id", "prompt_id"], 4).collect()
+    assert {(r.prompt_id, r.samples) for r in out} == {(2, 3), (4, 5)}
+
+
+def test_pair_accuracy_leaves_ties_out(spark):
+    df = spark.createDataFrame(
+        [(2.0, 1.0), (1.0, 2.0), (3.0, 1.0), (1.0, 1.0)], "score_chosen double, score_rejected double"
+    )
+    row = rewards.rm_pair_accuracy(df, []).first()
+    assert row.eval_accuracy == pytest.approx(2 / 3) and (row.n_pairs, row.n_ties) == (4, 1)
+    none = rewards.rm_pair_accuracy(df.where("score_chosen = score_rejected"), []).first()
+    assert none.eval_accuracy is None and none.n_ties == 1
+
+
+def test_pair_scores_with_a_hot_completion(spark):
+    """Completion 0 is the rejected side of most pairs."""
+    pairs = spark.range(3000).select(
+        F.col("id").alias("pair_id"),
+        F.lit("test_prefs").alias("split"),
+        (F.col("id") + 1).alias("chosen_id"),
+        F.when(F.col("id") < 2000, 0).otherwise(F.col("id") + 5000).alias("rejected_id"),
+    )
+    scores = spark.range(9000).select(
+        F.lit("rm").alias("run_id"), F.col("id").alias("doc_id"), (F.col("id") * 1.5).alias("rm_score")
+    )
+    out = rewards.pair_scores(pairs, scores, ["run_id"], "doc_id")
+    assert out.count() == 3000
+    row = out.agg(F.sum("score_chosen").alias("c"), F.sum("score_rejected").alias("r")).first()
+    assert row.c == 1.5 * sum(range(1, 3001))
+    assert row.r == 1.5 * sum(i + 5000 for i in range(2000, 3000))
+
+
+def test_lookup_takes_each_row_once(spark):
+    rows = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+    lookup = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    out = join_lookup(rows, lookup, ["k"])
+    assert out.count() == 5000 and out.where("v <> 2 * k").count() == 0
+    plan = out._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_bradley_terry(spark):
+    values = [(0.0, 0.0), (2.0, -1.0), (-800.0, 800.0), (800.0, -800.0)]
+    df = spark.createDataFrame(values, "score_chosen double, score_rejected double")
+    row = rewards.bt_loss(df, []).first()
+    assert row.loss == pytest.approx(np.mean([-sigmoid_log(c - r) for c, r in values]))
+    assert row.centring == pytest.approx(np.mean([(c + r) ** 2 for c, r in values]))
+
+
+def logprobs(spark):
+    rows = [(-10.0, -12.0, -11.0, -11.5), (-20.0, -15.0, -18.0, -19.0), (-5.0, -6.0, -5.0, -6.0)]
+    gaps = [(a - c) - (b - d) for a, b, c, d in rows]
+    names = "pi_chosen double, pi_rejected double, ref_chosen double, ref_rejected double"
+    return spark.createDataFrame(rows, names), np.array(gaps)
+
+
+def test_implicit_rewards(spark):
+    df, gaps = logprobs(spark)
+    row = rewards.dpo_margins(df, 0.1).first()
+    assert row.reward_margin == pytest.approx(np.mean(0.1 * gaps))
+    assert row.reward_accuracy == pytest.approx(np.mean(gaps > 0)) and row.n_pairs == 3
+
+
+@pytest.mark.parametrize("eps", [0.0, 0.2])
+def test_preference_losses(spark, eps):
+    df, gaps = logprobs(spark)
+    got = {(r.loss_type, r.beta): r.loss for r in rewards.preference_losses(df, (0.1, 0.5), eps).collect()}
+    assert len(got) == 8
+    for beta in (0.1, 0.5):
+        yes, no = sigmoid_log(beta * gaps), sigmoid_log(-beta * gaps)
+        want = {
+            "sigmoid": -(1 - eps) * yes - eps * no,
+            "ipo": (gaps - 1 / (2 * beta)) ** 2,
+            "hinge": np.maximum(0, 1 - beta * gaps),
+            "robust": (-(1 - eps) * yes + eps * no) / (1 - 2 * eps),
+        }
+        for kind, values in want.items():
+            assert got[(kind, beta)] == pytest.approx(np.mean(values))
+
+
+def test_loss_settings_are_checked(spark):
+    with pytest.raises(ValueError, match="unknown loss"):
+        losses.preference_loss(F.lit(0.0), "nope", 0.1)
+    with pytest.raises(ValueError, match="label_smoothing"):
+        losses.preference_loss(F.lit(0.0), "robust", 0.1, 0.5)
+
+
+def test_token_kl_weighs_tokens_and_skips_cut_ones(spark):
+    rng = np.random.default_rng(0)
+    rows, kept = [], []
+    for prompt, (prompt_tokens, total, positions) in enumerate([(5, 8, 3), (1536, 1536, 2), (10, 12, 4)]):
+        for pos in range(positions):
+            p, q = [rng.normal(scale=5, size=6).tolist() for _ in range(2)]
+            rows.append(("r", prompt, pos, prompt_tokens, total, p, q))
+            if prompt_tokens + pos < total:
+                kept.append(plain.kl(p, q))
+    schema = (
+        "run_id string, prompt_id int, pos int, prompt_tokens int, total_tokens int, "
+        "policy array<double>, reference array<double>"
+    )
+    row = diagnostics.token_kl(spark.createDataFrame(rows, schema), ["run_id"]).first()
+    assert row.tokens == len(kept) == 5
+    assert row.kl_from_reference == pytest.approx(np.mean(kept))
+
+
+def test_token_kl_is_stable(spark):
+    df = spark.createDataFrame([([1000.0, 0.0], [0.0, 1000.0]), ([3.0, 3.0], [3.0, 3.0])], "p array<double>, q array<double>")
+    out = [r.k for r in df.select(losses.token_kl(F.col("p"), F.col("q")).alias("k")).collect()]
+    assert out == [pytest.approx(1000.0), 0.0]
+
+
+def test_rm_win_rate_compares_exactly(spark):
+    nan = math.nan
+    df = spark.createDataFrame(
+        [("r", 1.0, 0.9999), ("r", 1.0, 1.0), ("r", 0.0, 1.0), ("r", nan, 0.0), ("r", 1.0, nan)],
+        "run_id string, rm_score_policy double, rm_score_baseline double",
+    )
+    row = diagnostics.rm_win_rate(df, ["run_id"]).first()
+    assert row.rm_judged_win_rate == pytest.approx(1.5 / 5) and row.n == 5
+
+
+def test_style_rates_and_flags(spark):
+    rows = [
+        ("r", 0, 0, "policy", "## head certainly", 2.0), ("r", 0, 1, "policy", "- item x x x x x x x", 3.0),
+        ("r", 0, 0, "baseline", "plain words in a row", 1.0), ("r", 0, 1, "baseline", "## head", 3.0),
+    ]
+    df = spark.createDataFrame(
+        rows, "run_id string, seed int, prompt_id int, model_role string, completion string, rm_score double"
+    )
+    tells = {
+        r.model_role: r for r in diagnostics.stylistic_tells(df, ["run_id", "model_role"]).collect()
+    }
+    assert tells["policy"].header_rate == 0.5 and tells["policy"].bullet_rate == 0.5
+    assert tells["baseline"].enthusiasm_rate == 0.0 and tells["policy"].enthusiasm_rate == 0.5
+    pairs = spark.createDataFrame([("r", 2.0, 1.0), ("r", 3.0, 3.0)], "run_id string, rm_score_policy double, rm_score_baseline double")
+    row = diagnostics.diagnostics_row(df, pairs, ["run_id"], ["prompt_id"])
+    first = row.first()
+    assert first.n_prompts == 2 and first.mean_rm_score_policy == 2.5 and first.mean_rm_score_reference == 2.0
+    assert first.rm_judged_win_rate == 0.75 and first.length_reward_corr == pytest.approx(1.0)
+    assert first.kl_from_reference is None
+    flags = diagnostics.hacking_flags(row).first()
+    assert flags.length_driven and flags.degenerate and not flags.header_climbing
+    assert flags.bullet_climbing and flags.enthusiasm_climbing
+
+
+def test_goodhart_gap(spark):
+    rm = spark.createDataFrame([("a", 0.8), ("b", 0.5)], "run_id string, rm_judged_win_rate double")
+    judge = spark.createDataFrame([("a", 0.6), ("b", 0.55)], "run_id string, win_rate double")
+    gaps = {r.run_id: r.goodhart_gap for r in diagnostics.goodhart_gap(rm, judge).collect()}
+    assert gaps == {"a": pytest.approx(0.2), "b": pytest.approx(-0.05)}
+
+
+def test_scorers_native_and_model(spark):
+    df = spark.createDataFrame([("p", "answer"), ("q", "longer answer")], "prompt string, completion string")
+    native = rewards.score_completions(df, lambda p, c: F.length(text.scorer_input(p, c)))
+    model = rewards.model_scorer(lambda: 1.0, lambda unit, texts: texts.map(len) * unit)
+    by_model = rewards.score_completions(df, model)
+    want = [len("p\n\nanswer"), len("q\n\nlonger answer")]
+    assert [r.rm_score for r in native.collect()] == want == [r.rm_score for r in by_model.collect()]
+
+
+def test_linear_reward_model_learns_what_separates_pairs(spark):
+    rows = []
+    for i in range(300):
+        good, bad = f"clear answer number {i}", f"## {i} Certainly! " + "very " * 20
+        message = lambda t: [("user", "q"), ("assistant", t)]
+        rows.append((i, message(good), message(bad), "test_prefs" if i % 4 == 0 else "train_prefs"))
+    turns = "array<struct<role: string, content: string>>"
+    pairs = spark.createDataFrame(rows, f"pair_id bigint, chosen {turns}, rejected {turns}, split string")
+    fits = {r.rm_pair_fraction: r for r in rewards.rm_linear_fit(pairs, fractions=(0.1, 1.0), max_iter=8).collect()}
+    assert [fits[f].n_train_pairs for f in (0.1, 1.0)] == [22, 225]
+    assert all(f.eval_accuracy == 1.0 and f.n_eval_pairs == 75 for f in fits.values())
