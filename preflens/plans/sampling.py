@@ -105,8 +105,8 @@ def train_eval_split(spark, sf_dir) -> DataFrame:
     return sampling.train_eval_split(documents, sampling.SEED, "doc_id")
 
 
-def _prompts_of(spark, sf_dir, split: str) -> DataFrame:
-    ids = select_split(tables.preference_ids(spark, sf_dir), split).select("pair_id")
+def _with_prompts(spark, sf_dir, ids: DataFrame) -> DataFrame:
+    """Texts for the ids drawn: drawing reads its table three times, so it gets ids only."""
     prompts = tables.prompts(spark, sf_dir).withColumnRenamed("prompt_id", "pair_id")
     return ids.join(prompts, "pair_id")
 
@@ -121,13 +121,15 @@ def _prompts_sql(split: str, seed: int, n: int) -> str:
 
 @query("eval_prompts", _prompts_sql("test_prefs", sampling.SEED + 1, TRIAL_EVAL))
 def eval_prompts(spark, sf_dir) -> DataFrame:
-    prompts = _prompts_of(spark, sf_dir, "test_prefs")
-    return sampling.eval_prompts(prompts, "pair_id", n=0, max_eval_samples=TRIAL_EVAL)
+    ids = select_split(tables.preference_ids(spark, sf_dir), "test_prefs")
+    drawn = sampling.eval_prompts(ids, "pair_id", n=0, max_eval_samples=TRIAL_EVAL)
+    return _with_prompts(spark, sf_dir, drawn)
 
 
 @query("prompt_source", _prompts_sql("train_prefs", sampling.SEED, TRIAL_TRAIN))
 def prompt_source(spark, sf_dir) -> DataFrame:
-    return sampling.prompt_source(_prompts_of(spark, sf_dir, "train_prefs"), "pair_id", TRIAL_TRAIN)
+    ids = select_split(tables.preference_ids(spark, sf_dir), "train_prefs")
+    return _with_prompts(spark, sf_dir, sampling.prompt_source(ids, "pair_id", TRIAL_TRAIN))
 
 
 @query(

@@ -113,32 +113,26 @@ def preference_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     equal ones are decided by hash.
     """
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    ranked = (
+    doc, pair = F.col("doc_id"), F.col("pair_id")
+    quality = F.coalesce(F.col("quality").cast("double"), F.lit(0.5))
+    both = (
         table(spark, sf_dir, "documents")
         .select("doc_id")
         .join(labels, "doc_id", "left")
-        .select(
-            quotient(F.col("doc_id"), 2).alias("pair_id"),
-            F.struct(
-                F.coalesce(F.col("quality").cast("double"), F.lit(0.5)).alias("quality"),
-                hash52("pref", F.col("doc_id")).alias("hash"),
-                "doc_id",
-            ).alias("place"),
+        .groupBy(quotient(doc, 2).alias("pair_id"))
+        .agg(
+            F.max(F.when(doc % 2 == 0, quality)).alias("first"),
+            F.max(F.when(doc % 2 == 1, quality)).alias("second"),
         )
+        .where(F.col("first").isNotNull() & F.col("second").isNotNull())
     )
-    return (
-        ranked.groupBy("pair_id")
-        .agg(F.max("place").alias("best"), F.min("place").alias("worst"))
-        .select(
-            "pair_id",
-            F.col("best.doc_id").alias("chosen_id"),
-            F.col("worst.doc_id").alias("rejected_id"),
-        )
-        .where(F.col("chosen_id") != F.col("rejected_id"))
-        .withColumn(
-            "split",
-            F.when(hash52("split", F.col("pair_id")) % 10 < 3, "test_prefs").otherwise("train_prefs"),
-        )
+    place = lambda side, odd: F.struct(F.col(side), hash52("pref", pair * 2 + odd))
+    first_wins = place("first", 0) > place("second", 1)
+    return both.select(
+        "pair_id",
+        (pair * 2 + F.when(first_wins, 0).otherwise(1)).alias("chosen_id"),
+        (pair * 2 + F.when(first_wins, 1).otherwise(0)).alias("rejected_id"),
+        F.when(hash52("split", pair) % 10 < 3, "test_prefs").otherwise("train_prefs").alias("split"),
     )
 
 
