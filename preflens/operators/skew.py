@@ -1,4 +1,4 @@
-"""Joining facts about a group back to its rows when groups differ vastly in size."""
+"""Keeping work even when groups differ vastly in size or rows in cost."""
 
 from __future__ import annotations
 
@@ -46,3 +46,13 @@ def join_lookup(rows: DataFrame, lookup: DataFrame, keys: Sequence[str]) -> Data
     in_place = rows.join(hot, keys)
     shuffled = rows.join(hot_keys, keys, "left_anti").join(lookup, keys)
     return in_place.unionByName(shuffled)
+
+
+def deal_out(rows: DataFrame) -> DataFrame:
+    """Deal rows evenly over as many tasks as the session gives a shuffle.
+
+    For rows that are small now but will each become very many or take long.
+    The number is given so that adaptive execution, which only sees how small
+    they are, does not put them into one task.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import hash52
 from ..functions.text import scorer_input
 from ..operators import rewards
+from ..operators.skew import deal_out
 from ..sources.tables import select_split
 from . import tables
 from .registry import query, r6, rounded
@@ -146,7 +147,9 @@ def preference_losses(spark, sf_dir) -> DataFrame:
 @query("rm_linear_fit")
 def rm_linear_fit(spark, sf_dir) -> DataFrame:
     """An iterative fit, which SQL cannot express."""
-    return rounded(rewards.rm_linear_fit(tables.preference_pairs(spark, sf_dir)), "eval_accuracy")
+    # The derived pairs come out of joins planned for narrow ids; their texts are long.
+    pairs = deal_out(tables.preference_pairs(spark, sf_dir))
+    return rounded(rewards.rm_linear_fit(pairs), "eval_accuracy")
 
 
 @query(
