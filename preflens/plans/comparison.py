@@ -29,11 +29,11 @@ def sql_bootstrap(source: str, value: str, order: str) -> str:
         row_number() over (partition by run_id, seed order by {order}) - 1 as position,
         count(*) over (partition by run_id, seed) as n from {source}"""
     return f"""select run_id, seed, quantile_cont(mean, 0.025) as ci_lo, quantile_cont(mean, 0.975) as ci_hi
-      from (select p.run_id, p.seed, replicate, avg(q.value) as mean
-        from ({placed}) p cross join range({REPLICATES}) as r(replicate) join ({placed}) q
-          on q.run_id = p.run_id and q.seed = p.seed
-            and q.position = {sql_hash('0', 'replicate', 'p.position')} % p.n
-        group by p.run_id, p.seed, replicate)
+      from (select run_id, seed, replicate, avg(value) as mean
+        from (select run_id, seed, replicate, {sql_hash('0', 'replicate', 'position')} % n as position
+          from ({placed}) cross join range({REPLICATES}) as r(replicate))
+          join (select run_id, seed, position, value from ({placed})) using (run_id, seed, position)
+        group by run_id, seed, replicate)
       group by run_id, seed"""
 
 

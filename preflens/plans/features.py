@@ -23,10 +23,11 @@ def sql_words(column: str) -> str:
 
 
 def sql_grams(words: str, n: int = 4) -> str:
-    return (
-        f"list_transform(range(1, greatest(len({words}) - {n} + 2, 1)), "
-        f"lambda i: array_to_string({words}[i:i + {n - 1}], ' '))"
-    )
+    """Neighbouring words zipped together; slicing at each place would be quadratic."""
+    shifted = ", ".join([words, *[f"{words}[{k + 1}:]" for k in range(1, n)]])
+    joined = " || ' ' || ".join(f"x[{k + 1}]" for k in range(n))
+    whole = f"list_zip({shifted})[1:greatest(len({words}) - {n - 1}, 0)]"
+    return f"list_transform({whole}, lambda x: {joined})"
 
 
 def sql_distinct(grams: str) -> str:
