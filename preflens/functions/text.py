@@ -66,14 +66,16 @@ def ngrams(text: Column, n: int = NGRAM) -> Column:
     return let(word_tokens(text), lambda tokens: token_ngrams(tokens, n))
 
 
+def distinct_share(grams: Column) -> Column:
+    """Share of different entries of an array; 1.0 for an empty one."""
+    return F.when(F.size(grams) == 0, F.lit(1.0)).otherwise(
+        F.size(F.array_distinct(grams)) / F.size(grams)
+    )
+
+
 def distinct_n(text: Column, n: int = NGRAM) -> Column:
     """Share of distinct n-grams; 1.0 for a text of fewer than n words."""
-    return let(
-        ngrams(text, n),
-        lambda grams: F.when(F.size(grams) == 0, F.lit(1.0)).otherwise(
-            F.size(F.array_distinct(grams)) / F.size(grams)
-        ),
-    )
+    return let(ngrams(text, n), distinct_share)
 
 
 def repetition_penalty(text: Column, n: int = NGRAM) -> Column:

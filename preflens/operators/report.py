@@ -150,13 +150,9 @@ def rm_quality_axis(runs: DataFrame, rm_eval: DataFrame, results: DataFrame) ->
 
 
 def ablation_by_axis(scored: DataFrame, grid: DataFrame, run: str = "run_id") -> DataFrame:
-    """Every setting of the grid evaluated by one aggregation over the judgements.
-
-    The grid holds one row per setting and is bounded by the grid's size, so it
-    may be broadcast.
-    """
+    """Every setting of the grid evaluated by one aggregation over the judgements."""
     return (
-        scored.join(F.broadcast(grid), run)
+        scored.join(grid, run)
         .groupBy("axis", "axis_value", run)
         .agg(
             F.avg("score").alias("win_rate"),

@@ -111,6 +111,39 @@ def keep_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[name for name in df.columns if name in set(columns)])
 
 
+def instruction_data(
+    df: DataFrame, key: str, max_samples: int | None = MAX_TRAIN_SAMPLES, seed: int = SEED
+) -> DataFrame:
+    """Fine-tuning examples: subsampled, with a small held-out share marked 'eval'."""
+    return train_eval_split(seeded_subsample(df, max_samples, seed, key), seed, key)
+
+
+def preference_data(
+    train: DataFrame,
+    held_out: DataFrame,
+    key: str,
+    columns: Sequence[str],
+    fraction: float = 1.0,
+    max_train_samples: int | None = MAX_TRAIN_SAMPLES,
+    max_eval_samples: int | None = MAX_EVAL_SAMPLES,
+    seed: int = SEED,
+) -> DataFrame:
+    """Preference pairs to train and evaluate on, in one table with a `split` column.
+
+    `fraction` shrinks the training side to a nested share; the evaluation side
+    does not change with it.
+    """
+    sides = {
+        "train": nested_fraction(train, fraction, seed, key, max_train_samples),
+        "eval": seeded_subsample(held_out, max_eval_samples, seed, key),
+    }
+    marked = [
+        keep_columns(side, [key, *columns]).withColumn("split", F.lit(name))
+        for name, side in sides.items()
+    ]
+    return marked[0].unionByName(marked[1])
+
+
 def prompt_source(
     df: DataFrame, key: str, n: int | None = MAX_TRAIN_SAMPLES, seed: int = SEED
 ) -> DataFrame:

@@ -79,10 +79,11 @@ def word_tokens(spark, sf_dir) -> DataFrame:
       from (select doc_id, {sql_words('text')} as words from documents))""",
 )
 def distinct_n(spark, sf_dir) -> DataFrame:
-    return tables.documents(spark, sf_dir).select(
+    grams = tables.documents(spark, sf_dir).select("doc_id", text.ngrams(F.col("text")).alias("grams"))
+    return grams.select(
         "doc_id",
-        F.greatest(F.size(text.word_tokens(F.col("text"))) - 3, F.lit(0)).cast("bigint").alias("n_grams"),
-        r6(text.distinct_n(F.col("text"))).alias("distinct_4"),
+        F.size("grams").cast("bigint").alias("n_grams"),
+        r6(text.distinct_share(F.col("grams"))).alias("distinct_4"),
     )
 
 

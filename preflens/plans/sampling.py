@@ -132,6 +132,36 @@ def prompt_source(spark, sf_dir) -> DataFrame:
     return _with_prompts(spark, sf_dir, sampling.prompt_source(ids, "pair_id", TRIAL_TRAIN))
 
 
+@query(
+    "preference_data",
+    with_tables(
+        "v_pref",
+        f"""select pair_id, 'train' as split from v_pref where split = 'train_prefs'
+        qualify {_hash_order(sampling.SEED, 'pair_id')} <= greatest(1, floor(least({TRIAL_TRAIN},
+          (select count(*) from v_pref where split = 'train_prefs')) * 0.5e0))
+        union all select pair_id, 'eval' from v_pref where split = 'test_prefs'
+        qualify {_hash_order(sampling.SEED, 'pair_id')} <= {TRIAL_EVAL}""",
+    ),
+)
+def preference_data(spark, sf_dir) -> DataFrame:
+    """Half of the training pairs, as a weaker reward model would see them."""
+    ids = tables.preference_ids(spark, sf_dir)
+    train, held_out = select_split(ids, "train_prefs"), select_split(ids, "test_prefs")
+    return sampling.preference_data(train, held_out, "pair_id", [], 0.5, TRIAL_TRAIN, TRIAL_EVAL)
+
+
+@query(
+    "instruction_data",
+    f"""select doc_id, case when {_hash_order(sampling.SEED)} <= ceil((select
+        least(count(*), {sampling.MAX_EVAL_SAMPLES}) from documents) * {sampling.EVAL_SHARE}e0)
+      then 'eval' else 'train' end as split
+    from documents qualify {_hash_order(sampling.SEED)} <= {sampling.MAX_EVAL_SAMPLES}""",
+)
+def instruction_data(spark, sf_dir) -> DataFrame:
+    documents = tables.table(spark, sf_dir, "documents").select("doc_id")
+    return sampling.instruction_data(documents, "doc_id", sampling.MAX_EVAL_SAMPLES)
+
+
 @query(
     "sequence_packing",
     f"""select doc_id, n_tokens, shard, start, start // {MAX_LENGTH} as block,

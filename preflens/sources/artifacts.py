@@ -11,6 +11,7 @@ from ..operators.report import leaderboard
 CONFIG = "stage string, method struct<beta: double, num_generations: bigint, reward_model_path: string>, data struct<rm_pair_fraction: double>, train struct<output_dir: string>"
 RM_EVAL = "eval_accuracy double, rm_pair_fraction double, n_train_pairs bigint"
 RESULTS = "win_rate_mean double, per_seed array<struct<ci95: array<double>, swap_consistency: double>>"
+TRAIN_LOG = "log_history array<map<string, string>>"
 DIAGNOSTICS = "length_reward_corr double, kl_from_reference double"
 
 
@@ -71,6 +72,23 @@ def read_diagnostics(spark: SparkSession, runs_dir: str) -> DataFrame:
     return read_artifact(spark, runs_dir, "diagnostics.json", DIAGNOSTICS)
 
 
+def read_train_log(spark: SparkSession, runs_dir: str) -> DataFrame:
+    """The kept log entries in long form: (run_id, entry, step, metric, value).
+
+    `step` is the entry's own step where it names one, else its place.
+    """
+    entries = read_artifact(spark, runs_dir, "grpo_eval.json", TRAIN_LOG).select(
+        "run_id", F.posexplode("log_history").alias("entry", "metrics")
+    )
+    step = F.coalesce(F.try_element_at("metrics", F.lit("step")).try_cast("bigint"), F.col("entry"))
+    return (
+        entries.withColumn("step", step)
+        .select("run_id", "entry", "step", F.explode("metrics").alias("metric", "value"))
+        .where(F.col("metric") != "step")
+        .withColumn("value", F.col("value").try_cast("double"))
+    )
+
+
 def collect_runs(spark: SparkSession, runs_dir: str) -> DataFrame:
     """The leaderboard of all configured runs below a directory."""
     return leaderboard(

@@ -182,3 +182,13 @@ def test_reward_model_beside_its_policy(spark):
     results = spark.createDataFrame([("p1", 0.6), ("p2", 0.4)], "run_id string, win_rate_mean double")
     rows = report.rm_quality_axis(runs, accuracy, results).collect()
     assert [(r.run_id, r.rm_run_id, r.rm_accuracy, r.win_rate_mean) for r in rows] == [("p1", "rm", 0.7, 0.6)]
+
+
+def test_training_log_in_long_form(spark, tmp_path):
+    (tmp_path / "g").mkdir()
+    log = [{"step": 10, "reward": 0.5, "kl": 1e-3}, {"reward": 0.75, "note": "end"}]
+    (tmp_path / "g" / "grpo_eval.json").write_text(json.dumps({"beta": 0.04, "log_history": log}))
+    rows = artifacts.read_train_log(spark, str(tmp_path)).collect()
+    assert {(r.run_id, r.entry, r.step, r.metric, r.value) for r in rows} == {
+        ("g", 0, 10, "reward", 0.5), ("g", 0, 10, "kl", 0.001), ("g", 1, 1, "reward", 0.75), ("g", 1, 1, "note", None),
+    }

@@ -74,6 +74,17 @@ def test_prompt_loaders(spark):
     assert sampling.eval_prompts(df, "id", n=3, seed=17, max_eval_samples=10).count() == 3
 
 
+def test_loaders_combine_the_steps(spark):
+    train, held_out = spark.range(100).withColumn("x", F.lit(1)), spark.range(1000, 1040)
+    data = sampling.preference_data(train, held_out, "id", [], 0.5, 60, 10, seed=17)
+    assert data.columns == ["id", "split"]
+    assert ids_of(data.where("split = 'train'")) == first(range(100), 30, 17)
+    assert ids_of(data.where("split = 'eval'")) == first(range(1000, 1040), 10, 17)
+    examples = sampling.instruction_data(train, "id", 60, 17)
+    assert ids_of(examples) == first(range(100), 60, 17)
+    assert ids_of(examples.where("split = 'eval'")) == first(range(100), 2, 17)
+
+
 def test_keep_columns_ignores_absent_names(spark):
     df = spark.range(1).selectExpr("id as b", "id as a", "id as c")
     assert sampling.keep_columns(df, ["a", "b", "zzz"]).columns == ["b", "a"]

@@ -115,3 +115,30 @@ def test_fixed3_rounds_like_printf(spark):
 def test_hash52_is_the_md5_prefix(spark):
     out = spark.range(50).select("id", hash52(17, F.col("id")).alias("h")).collect()
     assert all(r.h == plain.hash52(f"17:{r.id}") for r in out)
+
+
+def test_a_hot_prompt_is_split_when_pairing(spark):
+    """One prompt holds most policy rows; adaptive execution splits its join task."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2000",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    policy = spark.range(0, 30000, 1, 8).select(
+        F.col("id").alias("sample"),
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("prompt_id"),
+        F.lit(1.0).alias("rm_score"),
+    )
+    baseline = spark.range(30000).select(F.col("id").alias("prompt_id"), F.lit(0.5).alias("rm_score"))
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        pairs = pairing.pair_policy_baseline(policy, baseline, ["prompt_id"], ["rm_score"])
+        assert len(pairs.collect()) == 30000
+        assert "skew=true" in pairs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
