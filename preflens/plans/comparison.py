@@ -57,8 +57,7 @@ def judged(spark, sf_dir) -> DataFrame:
 def judged_by_seed(spark, sf_dir) -> DataFrame:
     """Win-rate and bootstrap interval per run and seed."""
     summary = winrate.win_rate_summary(judged(spark, sf_dir), BY_SEED)
-    intervals = winrate.bootstrap_ci(summary, BY_SEED, REPLICATES)
-    return summary.join(intervals.drop("mean", "n"), BY_SEED)
+    return winrate.bootstrap_ci(summary, REPLICATES)
 
 
 def results(spark, sf_dir) -> DataFrame:
@@ -174,8 +173,9 @@ def win_rate_summary_rm(spark, sf_dir) -> DataFrame:
     ),
 )
 def bootstrap_ci(spark, sf_dir) -> DataFrame:
-    summary = winrate.win_rate_summary(judged(spark, sf_dir), BY_SEED)
-    return rounded(winrate.bootstrap_ci(summary, BY_SEED, REPLICATES), "mean", "ci_lo", "ci_hi")
+    intervals = judged_by_seed(spark, sf_dir)
+    mean = F.col("win_rate").alias("mean")
+    return rounded(intervals.select(*BY_SEED, mean, "n", "ci_lo", "ci_hi"), "mean", "ci_lo", "ci_hi")
 
 
 @query(

@@ -99,10 +99,9 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(prompt_id, prompt): the benchmark's items dealt over the prompts in turn."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("prompt"))
     n_items = table(spark, sf_dir, "benchmark").agg(F.count(F.lit(1))).scalar()
-    ids = table(spark, sf_dir, "documents").where(F.col("doc_id") % 2 == 0)
-    ids = ids.select(quotient(F.col("doc_id"), 2).alias("prompt_id"))
+    policy, _ = sides(completions(spark, sf_dir))
     return (
-        ids.withColumn("item_id", F.pmod("prompt_id", n_items)).join(items, "item_id").drop("item_id")
+        policy.select("prompt_id").withColumn("item_id", F.pmod("prompt_id", n_items)).join(items, "item_id").drop("item_id")
     )
 
 
@@ -345,11 +344,11 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
             from v_pairs)""",
     ),
     "v_prompts": (
-        (),
-        """select doc_id // 2 as prompt_id, b.text as prompt
-          from documents join benchmark b
-            on b.item_id = (doc_id // 2) % (select count(*) from benchmark)
-          where doc_id % 2 = 0""",
+        ("v_completions",),
+        """select prompt_id, b.text as prompt
+          from v_completions join benchmark b
+            on b.item_id = prompt_id % (select count(*) from benchmark)
+          where model_role = 'policy'""",
     ),
     "v_pref": (
         (),

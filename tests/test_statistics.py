@@ -72,7 +72,7 @@ def test_intervals_bracket_the_mean(spark):
     scored = scores(spark, 60, 0, 40)
     summary = winrate.win_rate_summary(scored, ["run_id"])
     forms = [
-        winrate.bootstrap_ci(summary, ["run_id"], 2000),
+        winrate.bootstrap_ci(summary, 2000).withColumnRenamed("win_rate", "mean"),
         winrate.bootstrap_ci_counts(summary, ["run_id"], 2000).withColumnRenamed("win_rate", "mean"),
         winrate.bootstrap_ci_values(scored, ["run_id"], "score", ["prompt_id"], 2000),
     ]
@@ -87,7 +87,7 @@ def test_draws_by_count_equal_draws_by_row(spark):
     """With rows ordered by score both forms make the very same draws."""
     scored = scores(spark, 20, 13, 9).unionByName(scores(spark, 3, 1, 2, "s"))
     summary = winrate.win_rate_summary(scored, ["run_id"])
-    by_count = winrate.bootstrap_ci(summary, ["run_id"], 100, seed=4)
+    by_count = winrate.bootstrap_ci(summary, 100, seed=4)
     by_row = winrate.bootstrap_ci_values(scored, ["run_id"], "score", ["score", "prompt_id"], 100, seed=4)
     pick = lambda df: {r.run_id: (r.n, pytest.approx(r.ci_lo), pytest.approx(r.ci_hi)) for r in df.collect()}
     assert pick(by_row) == {r.run_id: (r.n, r.ci_lo, r.ci_hi) for r in by_count.collect()}
@@ -100,7 +100,7 @@ def test_draws_match_brute_force_across_pieces(spark):
         [("r", 0.0, n, n - losses - ties, ties, losses)],
         "run_id string, win_rate double, n bigint, wins bigint, ties bigint, losses bigint",
     )
-    row = winrate.bootstrap_ci(summary, ["run_id"], replicates).first()
+    row = winrate.bootstrap_ci(summary, replicates).first()
     means = []
     for b in range(replicates):
         places = [plain.hash52(f"0:{b}:{i}") % n for i in range(n)]
@@ -115,7 +115,11 @@ def test_interval_edge_cases(spark):
     assert winrate.multinomial_interval((5, 0, 0), (1.0, 0.5, 0.0), 100, 0.05, [0]) == (1.0, 1.0, 1.0)
     one = scores(spark, 0, 1, 0)
     summary = winrate.win_rate_summary(one, ["run_id"])
-    assert tuple(winrate.bootstrap_ci(summary, ["run_id"], 50).first())[1:] == (0.5, 1, 0.5, 0.5)
+    row = winrate.bootstrap_ci(summary, 50).first()
+    assert (row.win_rate, row.n, row.swap_consistency, row.ci_lo, row.ci_hi) == (0.5, 1, 0.0, 0.5, 0.5)
+    unscored = one.withColumn("score", F.lit(None).cast("double"))
+    row = winrate.bootstrap_ci(winrate.win_rate_summary(unscored, ["run_id"]), 50).first()
+    assert (row.win_rate, row.n, row.ci_lo, row.ci_hi) == (None, 0, None, None)
     assert tuple(winrate.bootstrap_ci_counts(summary, ["run_id"], 50).first())[1:] == (0.5, 0.5, 0.5)
 
 
@@ -125,7 +129,7 @@ def test_intervals_do_not_depend_on_partitions(spark, partitions):
         summary = winrate.win_rate_summary(scored, ["run_id"])
         return [
             tuple(winrate.bootstrap_ci_counts(summary, ["run_id"], 500).first()),
-            tuple(winrate.bootstrap_ci(summary, ["run_id"], 50).first()),
+            tuple(winrate.bootstrap_ci(summary, 50).first()),
             tuple(winrate.bootstrap_ci_values(scored, ["run_id"], "score", ["prompt_id"], 50).first()),
         ]
 
