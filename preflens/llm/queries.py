@@ -1,6 +1,6 @@
 """The registered queries of this subpackage (importing a module registers its queries)."""
 
-from . import chat_format, exact_dedup, quality_rules  # noqa: F401
+from . import bpe, chat_format, exact_dedup, quality_rules  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
