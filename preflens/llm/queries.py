@@ -1,6 +1,6 @@
 """The registered queries of this subpackage (importing a module registers its queries)."""
 
-from . import bpe, chat_format, exact_dedup, packing, quality_rules, suffix_dedup  # noqa: F401
+from . import bpe, chat_format, exact_dedup, jaccard_join, packing, quality_rules, suffix_dedup  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
