@@ -383,6 +383,20 @@ def near_duplicates(
     )
 
 
+def drop_near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80
+) -> DataFrame:
+    """`docs` with one document of each class, all columns unchanged. Rows with one doc_id go or stay together."""
+    columns = docs.columns
+    gone = near_duplicates(docs, key, text, words, percent).groupBy("doc_id").agg(
+        F.max("first_of_component").alias("stays")
+    )
+    gone = gone.where(~F.col("stays")).select(F.col("doc_id").alias("__id"))
+    return docs.join(gone, docs[key].cast("bigint").eqNullSafe(gone["__id"]), "left_anti").select(
+        *[F.col(f"`{c}`") for c in columns]
+    )
+
+
 def classes_by_brute_force(texts: dict[int, str | None], words: int = WORDS, percent: int = PERCENT) -> dict[int, tuple[int, int]]:
     """The definition, for tests: doc_id -> (n_shingles, component_id), from all pairs of word sequences."""
     sets = {}

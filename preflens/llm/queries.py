@@ -1,6 +1,16 @@
 """The registered queries of this subpackage (importing a module registers its queries)."""
 
-from . import bpe, chat_format, exact_dedup, jaccard_join, packing, quality_rules, suffix_dedup  # noqa: F401
+from . import (  # noqa: F401
+    bpe,
+    chat_format,
+    exact_dedup,
+    html_text,
+    jaccard_join,
+    packing,
+    quality_rules,
+    suffix_dedup,
+    url_filter,
+)
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

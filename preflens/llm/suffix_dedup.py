@@ -305,6 +305,21 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
 
 
+def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
+    """`docs` with the repeated strings cut out of `text` and `length` counted anew; all rows and columns stay.
+
+    A character of which a cut took some bytes goes as a whole.
+    """
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("__row"), F.col(text))
+    clean = remove_repeats(row, "__row", text).withColumn("__text", F.pandas_udf(_whole_characters, "string")(F.col("kept")))
+    changed = {text: F.col("__text"), length: F.length("__text").cast(docs.schema[length].dataType)}
+    return clean.select(*[changed.get(c, F.col("doc_id")[c]).alias(c) for c in docs.columns])
+
+
+def _whole_characters(kept: pd.Series) -> pd.Series:
+    return kept.map(lambda b: b.decode("utf-8", "ignore"))
+
+
 def digest(cleaned: DataFrame) -> DataFrame:
     return cleaned.select(
         "doc_id",
