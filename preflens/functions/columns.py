@@ -50,8 +50,9 @@ def fixed3(value: Column) -> Column:
     beyond = (high * 2000 - (whole * 2 + 1)) + (size - high) * 2000
     up = (beyond > 0) | ((beyond == 0) & (whole % 2 == 1))
     thousandths = whole + up.cast("bigint")
+    # Only a negative number, zero among them, starts with a minus as text.
     digits = F.concat(
-        F.when(x < 0, "-").otherwise(""),
+        F.when(x.cast("string").startswith("-"), "-").otherwise(""),
         F.floor(thousandths / 1000).cast("bigint").cast("string"),
         F.lit("."),
         F.lpad((thousandths % 1000).cast("string"), 3, "0"),
@@ -59,6 +60,8 @@ def fixed3(value: Column) -> Column:
     return (
         F.when(x.isNull(), None)
         .when(F.isnan(x), "nan")
+        .when(x == float("inf"), "inf")
+        .when(x == float("-inf"), "-inf")
         .when(size < 1e12, digits)
         .otherwise(F.format_string("%.3f", x))
     )

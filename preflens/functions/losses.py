@@ -24,7 +24,7 @@ def bradley_terry_loss(chosen: Column, rejected: Column) -> Column:
 
 
 def centring_penalty(chosen: Column, rejected: Column) -> Column:
-    """Square of the score sum; keeps the reward scale from drifting."""
+    """Squared sum of both scores: zero when they are centred on zero."""
     return F.pow(chosen + rejected, F.lit(2.0))
 
 
@@ -64,7 +64,8 @@ def _sum_exp(values: Column, top: Column) -> Column:
 def token_kl(policy: Column, reference: Column) -> Column:
     """KL(policy || reference) at one position, from two logit arrays.
 
-    Both arrays stay in their row: the vocabulary is never exploded.
+    Both arrays stay in their row: the vocabulary is never exploded. Arrays of
+    different lengths belong to different vocabularies and fail the job.
     """
     to_double = lambda c: c.cast("array<double>")
 
@@ -77,4 +78,7 @@ def token_kl(policy: Column, reference: Column) -> Column:
 
         return let2(log_sum_exp(p), log_sum_exp(q), total)
 
-    return let2(to_double(policy), to_double(reference), divergence)
+    unequal = F.raise_error(F.lit("token_kl: policy and reference logits differ in length")).cast("double")
+    return F.when(F.size(policy) != F.size(reference), unequal).otherwise(
+        let2(to_double(policy), to_double(reference), divergence)
+    )

@@ -40,11 +40,11 @@ def swap_consistent(verdict_ab: Column, verdict_ba: Column) -> Column:
     """Whether the judge kept its opinion when the two answers changed places.
 
     In the second order the policy is answer B, so agreement means different
-    letters, or a tie both times.
+    letters, or a tie both times. Null if a verdict is missing.
     """
     both_tie = (verdict_ab == TIE) & (verdict_ba == TIE)
     same_winner = (verdict_ab != TIE) & (verdict_ba != TIE) & (verdict_ab != verdict_ba)
-    return both_tie | same_winner
+    return F.when(verdict_ab.isNotNull() & verdict_ba.isNotNull(), both_tie | same_winner)
 
 
 def swap_score(verdict_ab: Column, verdict_ba: Column) -> Column:

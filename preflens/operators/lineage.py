@@ -11,7 +11,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder.
 
     Read from `spark.checkpoint.dir`. Only a local-mode session without one gets
-    a temporary folder; on a cluster that would not be shared between executors.
+    a temporary folder, deleted when its JVM ends; on a cluster that would not be
+    shared between executors, so the setting is required there.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
@@ -21,6 +22,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if folder is None:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(folder)
+        place = spark._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir())
+        place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
     return context.getCheckpointDir()
 
 

@@ -76,9 +76,12 @@ def verdicts_by_order(verdicts: DataFrame, on: Sequence[str], verdict: str = "ve
 
 
 def judged_pairs(raw_verdicts: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Raw judge output -> one scored row per pair judged in both orders."""
+    """Raw judge output -> one row per pair, scored if it was judged in both orders.
+
+    A pair with a verdict missing or null in one order keeps a null score.
+    """
     parsed = raw_verdicts.select(*on, "ord", parse_verdict(F.col("raw")).alias("verdict"))
-    return with_swap_scores(verdicts_by_order(parsed, on)).where(F.col("score").isNotNull())
+    return with_swap_scores(verdicts_by_order(parsed, on))
 
 
 def scored_pairs(pairs: DataFrame, score: str = "rm_score") -> DataFrame:

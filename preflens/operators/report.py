@@ -165,11 +165,15 @@ def ablation_by_axis(scored: DataFrame, grid: DataFrame, run: str = "run_id") ->
 def overoptimisation_curve(points: DataFrame) -> DataFrame:
     """Steps along an axis where the reward rises but the judge's win-rate does not.
 
-    `points` holds one row per setting: axis, axis_value, reward, win_rate, kl.
+    `points` holds one row per setting: axis, axis_value, reward, win_rate, kl. A
+    NaN counts as unknown, and a step from or to an unknown value shows nothing.
     """
     along = Window.partitionBy("axis").orderBy("axis_value")
     step = lambda c: F.col(c) - F.lag(c).over(along)
-    steps = points.withColumns({f"{c}_change": step(c) for c in ("reward", "win_rate", "kl")})
+    known = points.withColumns(
+        {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in ("reward", "win_rate", "kl")}
+    )
+    steps = known.withColumns({f"{c}_change": step(c) for c in ("reward", "win_rate", "kl")})
     over = (F.col("reward_change") > 0) & (F.col("win_rate_change") <= 0)
     return steps.withColumn("over_optimised", F.coalesce(over, F.lit(False))).withColumn(
         "kl_climbing", F.coalesce(F.col("kl_change") > 0, F.lit(False))
@@ -177,18 +181,26 @@ def overoptimisation_curve(points: DataFrame) -> DataFrame:
 
 
 def axis_peak(by_axis: DataFrame) -> DataFrame:
-    """The setting with the best win-rate per axis; the smallest one of equals."""
-    best = F.struct("win_rate", -F.col("axis_value"))
+    """The setting with the best win-rate per axis; the smallest one of equals.
+
+    A null or NaN win-rate is never the best; an axis without any other gives nulls.
+    """
+    rate = F.nanvl(F.col("win_rate").cast("double"), F.lit(None).cast("double"))
+    best = F.when(rate.isNotNull(), F.struct(rate, -F.col("axis_value")))
     return by_axis.groupBy("axis").agg(
-        F.max_by("axis_value", best).alias("best_value"), F.max("win_rate").alias("win_rate")
+        F.max_by("axis_value", best).alias("best_value"), F.max(rate).alias("win_rate")
     )
 
 
-def log_tail(log: DataFrame, n: int = LOG_TAIL, run: str = "run_id", step: str = "step") -> DataFrame:
-    """The last n log entries of each run.
+def log_tail(
+    log: DataFrame, n: int = LOG_TAIL, run: str = "run_id", step: str = "step", entry: str | None = None
+) -> DataFrame:
+    """The rows of the last n log entries of each run.
 
-    Spark keeps only n rows per run and task before the shuffle (a window group
-    limit), so a long run does not travel whole.
+    A long log holds one row per metric, so an entry is all rows with one step
+    (and one `entry`, where several entries share a step). Spark keeps only n
+    entries per run and task before the shuffle (a window group limit).
     """
-    latest = Window.partitionBy(run).orderBy(F.col(step).desc())
-    return log.withColumn("_nth", F.row_number().over(latest)).where(F.col("_nth") <= n).drop("_nth")
+    order = [F.col(c).desc() for c in (step, entry) if c is not None]
+    latest = Window.partitionBy(run).orderBy(*order)
+    return log.withColumn("_nth", F.dense_rank().over(latest)).where(F.col("_nth") <= n).drop("_nth")

@@ -9,14 +9,14 @@ import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import losses, text
 from ..functions.columns import hash52
 from .lineage import materialise
 from .sampling import SEED, nested_fraction
-from .skew import join_group_facts, join_lookup
+from .skew import join_lookup
 
 # Our choices where the formulas leave them open.
 ADVANTAGE_EPSILON = 1e-4
@@ -52,20 +52,15 @@ def group_advantage(
 ) -> DataFrame:
     """Reward standardised within its prompt's group; 0 for a group of one.
 
-    A window would need a whole group in one task. The moments are pre-aggregated
-    instead and joined back, hot groups without a shuffle.
+    A group is the few samples of one prompt under one run, so a window holds it
+    and the rewards are read and shuffled once. Rows with null group keys form
+    groups of their own. Pass rewards, not texts.
     """
-    group = list(group)
-    moments = rollouts.groupBy(*group).agg(
-        F.avg(reward).alias("_mean"),
-        F.stddev_samp(reward).alias("_spread"),
-        F.count(F.lit(1)).alias("_samples"),
-    )
-    standardised = (F.col(reward) - F.col("_mean")) / (F.col("_spread") + epsilon)
-    return (
-        join_group_facts(rollouts, moments, group, "_samples")
-        .withColumn("advantage", F.when(F.col("_samples") == 1, F.lit(0.0)).otherwise(standardised))
-        .drop("_mean", "_spread", "_samples")
+    own = Window.partitionBy(*group)
+    mean, spread = F.avg(reward).over(own), F.stddev_samp(reward).over(own)
+    alone = F.count(F.lit(1)).over(own) == 1
+    return rollouts.withColumn(
+        "advantage", F.when(alone, F.lit(0.0)).otherwise((F.col(reward) - mean) / (spread + epsilon))
     )
 
 
@@ -90,7 +85,8 @@ def pair_scores(
 
     One completion may be part of very many pairs. Both sides of the pairs are
     looked up in one join, which keeps hot completions in place, and come
-    together again on the pair's own key.
+    together again on the pair's own key. A pair with one score keeps a null for
+    the other; a pair that a run scored neither side of is not the run's.
     """
     sides = F.array(
         *[
@@ -101,21 +97,30 @@ def pair_scores(
     wanted = pairs.select(*key, F.inline(sides))
     scored = join_lookup(wanted, scores.select(*run, completion, "rm_score"), [completion])
     score = lambda side: F.max(F.when(F.col("side") == side, F.col("rm_score")))
-    return (
-        scored.groupBy(*run, *key)
-        .agg(score("chosen").alias("score_chosen"), score("rejected").alias("score_rejected"))
-        .where(F.col("score_chosen").isNotNull() & F.col("score_rejected").isNotNull())
+    return scored.groupBy(*run, *key).agg(
+        score("chosen").alias("score_chosen"), score("rejected").alias("score_rejected")
     )
 
 
 def rm_pair_accuracy(scored_pairs: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Share of pairs whose chosen answer scores higher; ties are counted apart."""
+    """Share of pairs whose chosen answer scores higher.
+
+    Ties are counted apart. A NaN on either side is no tie and no success. Pairs
+    with a score missing are counted in `n_unscored` alone.
+    """
     chosen, rejected = F.col("score_chosen"), F.col("score_rejected")
-    decided = F.when(chosen != rejected, (chosen > rejected).cast("double"))
+    unscored = chosen.isNull() | rejected.isNull()
+    lost = F.isnan(chosen) | F.isnan(rejected)
+    decided = (
+        F.when(unscored, None)
+        .when(lost, F.lit(0.0))
+        .when(chosen != rejected, (chosen > rejected).cast("double"))
+    )
     return scored_pairs.groupBy(*by).agg(
         F.avg(decided).alias("eval_accuracy"),
-        F.count(F.lit(1)).alias("n_pairs"),
-        F.count_if(chosen == rejected).alias("n_ties"),
+        F.count_if(~unscored).alias("n_pairs"),
+        F.count_if(~lost & (chosen == rejected)).alias("n_ties"),
+        F.count_if(unscored).alias("n_unscored"),
     )
 
 
@@ -135,11 +140,11 @@ def _gap() -> Column:
 
 
 def dpo_margins(logprobs: DataFrame, beta: float, by: Sequence[str] = ()) -> DataFrame:
-    """Mean implicit-reward margin, and the share of pairs ranked right."""
+    """Mean implicit-reward margin, and the share of pairs ranked right; a NaN margin is not right."""
     margin = _gap() * F.lit(float(beta))
     return logprobs.groupBy(*by).agg(
         F.avg(margin).alias("reward_margin"),
-        F.avg((margin > 0).cast("double")).alias("reward_accuracy"),
+        F.avg((~F.isnan(margin) & (margin > 0)).cast("double")).alias("reward_accuracy"),
         F.count(F.lit(1)).alias("n_pairs"),
     )
 
@@ -236,7 +241,7 @@ def rm_linear_fit(
     seed: int = SEED,
     train_split: str = "train_prefs",
     eval_split: str = "test_prefs",
-    max_iter: int = 25,
+    max_iter: int = 200,
 ) -> DataFrame:
     """Fit a linear Bradley-Terry scorer on nested shares of the training pairs.
 
@@ -244,7 +249,8 @@ def rm_linear_fit(
     a logistic regression without intercept. Half of the differences, picked by
     hash, are negated and labelled 0: the loss is the same, and both labels
     occur. Features are computed once and written out, since each of the fits
-    passes over them many times. One row per share.
+    passes over them many times. One row per share; `converged` tells whether the
+    fit ended before `max_iter` steps. The penalty on the weights is 0.01.
     """
     both = _features(_features(pairs, "chosen"), "rejected")
     gap = F.zip_with("_chosen", "_rejected", lambda a, b: a - b)
@@ -273,6 +279,8 @@ def rm_linear_fit(
             F.col("n_pairs").alias("n_eval_pairs"),
             "n_ties",
             "eval_accuracy",
+            F.lit(fitted.summary.totalIterations).alias("iterations"),
+            F.lit(fitted.summary.totalIterations < max_iter).alias("converged"),
         )
         rows = row if rows is None else rows.unionByName(row)
     return rows

@@ -15,10 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import hash52
 from ..functions.text import MAX_LENGTH, word_tokens
 
-# The defaults of the loaders.
+# The defaults of the loaders. They take all rows unless the caller names a cap.
 SEED = 17
-MAX_TRAIN_SAMPLES = 20000
-MAX_EVAL_SAMPLES = 500
 EVAL_SHARE = 0.02
 
 # The hash is cut into 2**20 equal buckets to find where a sample ends.
@@ -112,7 +110,7 @@ def keep_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def instruction_data(
-    df: DataFrame, key: str, max_samples: int | None = MAX_TRAIN_SAMPLES, seed: int = SEED
+    df: DataFrame, key: str, max_samples: int | None = None, seed: int = SEED
 ) -> DataFrame:
     """Fine-tuning examples: subsampled, with a small held-out share marked 'eval'."""
     return train_eval_split(seeded_subsample(df, max_samples, seed, key), seed, key)
@@ -124,8 +122,8 @@ def preference_data(
     key: str,
     columns: Sequence[str],
     fraction: float = 1.0,
-    max_train_samples: int | None = MAX_TRAIN_SAMPLES,
-    max_eval_samples: int | None = MAX_EVAL_SAMPLES,
+    max_train_samples: int | None = None,
+    max_eval_samples: int | None = None,
     seed: int = SEED,
 ) -> DataFrame:
     """Preference pairs to train and evaluate on, in one table with a `split` column.
@@ -145,7 +143,7 @@ def preference_data(
 
 
 def prompt_source(
-    df: DataFrame, key: str, n: int | None = MAX_TRAIN_SAMPLES, seed: int = SEED
+    df: DataFrame, key: str, n: int | None = None, seed: int = SEED
 ) -> DataFrame:
     """Prompts only, subsampled: what a sampling policy is run on."""
     return keep_columns(seeded_subsample(df, n, seed, key), [key, "prompt"])
@@ -156,9 +154,9 @@ def eval_prompts(
     key: str,
     n: int | None = None,
     seed: int = SEED,
-    max_eval_samples: int | None = MAX_EVAL_SAMPLES,
+    max_eval_samples: int | None = None,
 ) -> DataFrame:
-    """Held-out prompts, drawn with a seed of their own; n of 0 or None means the default."""
+    """Held-out prompts, drawn with a seed of their own; n of 0 or None means `max_eval_samples`."""
     return keep_columns(seeded_subsample(df, n or max_eval_samples, seed + 1, key), [key, "prompt"])
 
 

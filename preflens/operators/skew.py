@@ -12,31 +12,16 @@ from pyspark.sql import functions as F
 HOT_PART = 1000
 
 
-def join_group_facts(
-    rows: DataFrame, facts: DataFrame, group: Sequence[str], size: str
-) -> DataFrame:
-    """rows x facts on `group`; `facts` has one row per group, `size` its row count.
-
-    A shuffle join sends all rows of a group to one task. Adaptive skew-join
-    handling does not help here, because `facts`, fresh from its aggregation,
-    already has the join's partitioning. So the few hot groups are joined by
-    broadcasting their facts (fewer than HOT_PART rows), where their rows lie;
-    only the others are shuffled. Every row takes exactly one of the two ways.
-    """
-    group = list(group)
-    total = facts.agg(F.sum(size)).scalar()
-    hot = facts.where(F.col(size) * HOT_PART > total)
-    in_place = rows.join(F.broadcast(hot), group)
-    shuffled = rows.join(F.broadcast(hot.select(*group)), group, "left_anti").join(facts, group)
-    return in_place.unionByName(shuffled)
-
-
 def join_lookup(rows: DataFrame, lookup: DataFrame, keys: Sequence[str]) -> DataFrame:
     """rows x lookup on `keys`, where a few keys may hold most of the rows.
 
     `lookup` has one row per key (or a few, such as one per reward model). Keys
-    are counted first, with partial sums before the shuffle; hot ones then go
-    the way of join_group_facts. `rows` is read three times: keep it narrow.
+    are counted first, with partial sums before the shuffle. Hot ones, fewer than
+    HOT_PART, are joined where their rows lie, by a broadcast of their lookup rows;
+    only the others are shuffled. Adaptive skew-join handling would not help a
+    lookup that comes out of an aggregation with the join's own partitioning.
+    Rows with a null key match nothing. `rows` is read three times: keep it and
+    the lookup narrow.
     """
     keys = list(keys)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))

@@ -11,11 +11,10 @@ from .registry import query, rounded
 from .tables import KEY, sql_hash, sql_r6, with_tables
 
 BY_SEED = ["run_id", "seed"]
-REPLICATES = 200
 
-SUMMARY = """avg(score) as win_rate, count(*) as n, count(*) filter (score = 1) as wins,
+SUMMARY = """avg(score) as win_rate, count(score) as n, count(*) filter (score = 1) as wins,
   count(*) filter (score = 0.5) as ties, count(*) filter (score = 0) as losses,
-  avg(consistent::int::double) as swap_consistency"""
+  avg(consistent::int::double) as swap_consistency, count(*) filter (score is null) as n_unjudged"""
 
 tables.CTES["v_by_seed"] = (
     ("v_judged",),
@@ -27,20 +26,55 @@ def sql_bootstrap(source: str, value: str, order: str) -> str:
     """Row by row: number the rows, draw positions, join the rows drawn."""
     placed = f"""select run_id, seed, {value} as value,
         row_number() over (partition by run_id, seed order by {order}) - 1 as position,
-        count(*) over (partition by run_id, seed) as n from {source}"""
+        count(*) over (partition by run_id, seed) as n from {source} where {value} is not null"""
     return f"""select run_id, seed, quantile_cont(mean, 0.025) as ci_lo, quantile_cont(mean, 0.975) as ci_hi
       from (select run_id, seed, replicate, avg(value) as mean
         from (select run_id, seed, replicate, {sql_hash('0', 'replicate', 'position')} % n as position
-          from ({placed}) cross join range({REPLICATES}) as r(replicate))
+          from ({placed}) cross join range({winrate.REPLICATES}) as r(replicate))
           join (select run_id, seed, position, value from ({placed})) using (run_id, seed, position)
         group by run_id, seed, replicate)
       group by run_id, seed"""
 
 
-tables.CTES["v_ci"] = (("v_judged",), sql_bootstrap("v_judged", "score", "score, prompt_id"))
+def sql_poisson(source: str, value: str, key: str) -> str:
+    """Row by row: weights from the key's hash, then weighted means per replicate."""
+    per = winrate.DRAWS_PER_DIGEST
+    weight = " ".join(
+        f"when u >= {below} then {count + 1}" for count, below in reversed([*enumerate(winrate.POISSON_STEPS)])
+    )
+    return f"""select run_id, seed, quantile_cont(mean, 0.025) as ci_lo, quantile_cont(mean, 0.975) as ci_hi
+      from (select run_id, seed, block, i, sum(weight * value) / sum(weight) as mean
+        from (select run_id, seed, value, block, i, case {weight} else 0 end as weight
+          from (select run_id, seed, value, block, i, ('0x' || substr(digest, 8 * i + 1, 8))::bigint as u
+            from (select run_id, seed, {value} as value, block, md5('0:' || block || ':' || {key}) as digest
+              from {source} cross join range({winrate.REPLICATES // per}) as r(block))
+              cross join range({per}) as q(i)))
+        where weight > 0 group by run_id, seed, block, i)
+      group by run_id, seed"""
+
+
+def sql_exact_bounds(summary: str) -> str:
+    """The distribution of a resampled win-rate, term by term: all ways to draw wins and ties."""
+    power = lambda k, base: f"case when {k} = 0 then 0 else {k} * ln({base} / n) end"
+    left = "n - w - t"
+    chance = f"""exp(lgamma(n + 1) - lgamma(w + 1) - lgamma(t + 1) - lgamma({left} + 1)
+        + {power('w', 'wins')} + {power('t', 'ties')} + {power(f'({left})', 'losses')})"""
+    return f"""select run_id, seed, min(s) filter (upto >= 0.025 - 1e-9) / (2.0e0 * n) as ci_lo,
+        min(s) filter (upto >= 0.975 - 1e-9) / (2.0e0 * n) as ci_hi
+      from (select run_id, seed, n, s, sum(p) over (partition by run_id, seed order by s) as upto
+        from (select run_id, seed, n, 2 * w + t as s, sum({chance}) as p
+          from (select *, unnest(range(0, n - w + 1)) as t
+            from (select *, unnest(range(0, n + 1)) as w from {summary} where n > 0))
+          where (wins > 0 or w = 0) and (ties > 0 or t = 0) and (losses > 0 or {left} = 0)
+          group by run_id, seed, n, 2 * w + t))
+      group by run_id, seed, n"""
+
+
+tables.CTES["v_draws_ci"] = (("v_judged",), sql_bootstrap("v_judged", "score", "score, prompt_id"))
+tables.CTES["v_ci"] = (("v_by_seed",), sql_exact_bounds("v_by_seed"))
 tables.CTES["v_gap_ci"] = (
     ("v_pairs",),
-    sql_bootstrap("v_pairs", "(length(completion_policy) - length(completion_baseline))::double", "prompt_id"),
+    sql_poisson("v_pairs", "(length(completion_policy) - length(completion_baseline))::double", "prompt_id"),
 )
 tables.CTES["v_results"] = (
     ("v_by_seed", "v_ci"),
@@ -56,8 +90,7 @@ def judged(spark, sf_dir) -> DataFrame:
 
 def judged_by_seed(spark, sf_dir) -> DataFrame:
     """Win-rate and bootstrap interval per run and seed."""
-    summary = winrate.win_rate_summary(judged(spark, sf_dir), BY_SEED)
-    return winrate.bootstrap_ci(summary, REPLICATES)
+    return winrate.bootstrap_ci_counts(winrate.win_rate_summary(judged(spark, sf_dir), BY_SEED))
 
 
 def results(spark, sf_dir) -> DataFrame:
@@ -87,13 +120,14 @@ def pair_policy_baseline(spark, sf_dir) -> DataFrame:
           sum(b * (1 - p))::bigint as baseline_only
         from (select run_id, seed, prompt_id, max((model_role = 'policy')::int) as p,
             max((model_role = 'baseline')::int) as b
-          from v_completions where length(completion) >= 100 group by run_id, seed, prompt_id)
+          from v_completions join labels using (doc_id) group by run_id, seed, prompt_id)
         group by run_id, seed""",
     ),
 )
 def pairing_coverage(spark, sf_dir) -> DataFrame:
-    """Pairs that stay whole when very short answers are left out."""
-    answered = tables.completions(spark, sf_dir).where(F.length("completion") >= 100)
+    """Pairs of which both answers, or one only, were labelled."""
+    labelled = tables.table(spark, sf_dir, "labels").select("doc_id")
+    answered = tables.completions(spark, sf_dir).join(labelled, "doc_id")
     return pairing.pairing_coverage(answered, KEY, BY_SEED)
 
 
@@ -135,7 +169,7 @@ def swap_scores(spark, sf_dir) -> DataFrame:
 
 RATES = ("win_rate", "swap_consistency", "mean_len_policy", "mean_len_baseline")
 
-REPORT_SQL = f"""select run_id, seed, {sql_r6('win_rate')} as win_rate, n, wins, ties, losses,
+REPORT_SQL = f"""select run_id, seed, {sql_r6('win_rate')} as win_rate, n, wins, ties, losses, n_unjudged,
   {sql_r6('swap_consistency')} as swap_consistency, {sql_r6('mean_len_policy')} as mean_len_policy,
   {sql_r6('mean_len_baseline')} as mean_len_baseline
 from (select run_id, seed, {SUMMARY} from {{judged}} group by run_id, seed)
@@ -167,13 +201,14 @@ def win_rate_summary_rm(spark, sf_dir) -> DataFrame:
 @query(
     "bootstrap_ci",
     with_tables(
-        "v_by_seed v_ci",
+        "v_by_seed v_draws_ci",
         f"""select run_id, seed, {sql_r6('win_rate')} as mean, n, {sql_r6('ci_lo')} as ci_lo,
-          {sql_r6('ci_hi')} as ci_hi from v_by_seed join v_ci using (run_id, seed)""",
+          {sql_r6('ci_hi')} as ci_hi from v_by_seed join v_draws_ci using (run_id, seed)""",
     ),
 )
 def bootstrap_ci(spark, sf_dir) -> DataFrame:
-    intervals = judged_by_seed(spark, sf_dir)
+    """The draw-by-draw form; it checks bootstrap_ci_counts and is meant for few pairs."""
+    intervals = winrate.bootstrap_ci(winrate.win_rate_summary(judged(spark, sf_dir), BY_SEED))
     mean = F.col("win_rate").alias("mean")
     return rounded(intervals.select(*BY_SEED, mean, "n", "ci_lo", "ci_hi"), "mean", "ci_lo", "ci_hi")
 
@@ -196,15 +231,21 @@ def bootstrap_ci_values(spark, sf_dir) -> DataFrame:
         *pairing.sides(lengths.select(*KEY, "model_role", "chars")), on=KEY, values=["chars"]
     )
     gaps = pairs.select(*KEY, (F.col("chars_policy") - F.col("chars_baseline")).alias("gap"))
-    intervals = winrate.bootstrap_ci_values(gaps, BY_SEED, "gap", ["prompt_id"], REPLICATES)
+    intervals = winrate.bootstrap_ci_values(gaps, BY_SEED, "gap", ["prompt_id"])
     return rounded(intervals, "mean", "ci_lo", "ci_hi")
 
 
-@query("bootstrap_ci_counts")
+@query(
+    "bootstrap_ci_counts",
+    with_tables(
+        "v_by_seed v_ci",
+        f"""select run_id, seed, {sql_r6('win_rate')} as win_rate, n, {sql_r6('ci_lo')} as ci_lo,
+          {sql_r6('ci_hi')} as ci_hi from v_by_seed join v_ci using (run_id, seed)""",
+    ),
+)
 def bootstrap_ci_counts(spark, sf_dir) -> DataFrame:
-    """The counts form draws with NumPy, which SQL cannot repeat."""
-    summary = winrate.win_rate_summary(judged(spark, sf_dir), BY_SEED)
-    return rounded(winrate.bootstrap_ci_counts(summary, BY_SEED), "win_rate", "ci_lo", "ci_hi")
+    intervals = judged_by_seed(spark, sf_dir).select(*BY_SEED, "win_rate", "n", "ci_lo", "ci_hi")
+    return rounded(intervals, "win_rate", "ci_lo", "ci_hi")
 
 
 @query(

@@ -22,9 +22,15 @@ tables.CTES["v_leaderboard"] = (
         left join v_results s on s.run_id = r.run_id
         left join v_diagnostics d on d.run_id = r.run_id""",
 )
+# One setting whose win-rate is unknown, for what is read off the axes.
+UNKNOWN = "grpo_g8"
+tables.CTES["v_axis_points"] = (
+    ("v_by_axis",),
+    f"select * replace (case when run_id = '{UNKNOWN}' then 'nan'::double else win_rate end as win_rate) from v_by_axis",
+)
 tables.CTES["v_by_axis"] = (
     ("v_judged", "v_grid"),
-    """select axis, axis_value, run_id, avg(score) as win_rate, count(*) as n,
+    """select axis, axis_value, run_id, avg(score) as win_rate, count(score) as n,
         avg(consistent::int::double) as swap_consistency
       from v_judged join v_grid using (run_id) group by axis, axis_value, run_id""",
 )
@@ -42,6 +48,11 @@ def by_axis(spark, sf_dir) -> DataFrame:
     return report.ablation_by_axis(judged(spark, sf_dir), report.ablation_grid(spark))
 
 
+def axis_points(spark, sf_dir) -> DataFrame:
+    unknown = F.when(F.col("run_id") == UNKNOWN, float("nan")).otherwise(F.col("win_rate"))
+    return by_axis(spark, sf_dir).withColumn("win_rate", unknown)
+
+
 @query(
     "leaderboard",
     with_tables(
@@ -111,14 +122,15 @@ CURVE = ("reward", "win_rate", "kl", "reward_change", "win_rate_change", "kl_cha
 @query(
     "overoptimisation_curve",
     with_tables(
-        "v_by_axis v_diagnostics",
+        "v_axis_points v_diagnostics",
         f"""select axis, axis_value, run_id, {", ".join(f"{sql_r6(c)} as {c}" for c in CURVE)},
           coalesce(reward_change > 0 and win_rate_change <= 0, false) as over_optimised,
           coalesce(kl_change > 0, false) as kl_climbing
         from (select *, reward - lag(reward) over w as reward_change,
             win_rate - lag(win_rate) over w as win_rate_change, kl - lag(kl) over w as kl_change
-          from (select axis, axis_value, run_id, mean_rm_score_policy as reward, win_rate,
-              kl_from_reference as kl from v_by_axis join v_diagnostics using (run_id))
+          from (select axis, axis_value, run_id, mean_rm_score_policy as reward,
+              case when not isnan(win_rate) then win_rate end as win_rate,
+              kl_from_reference as kl from v_axis_points join v_diagnostics using (run_id))
           window w as (partition by axis order by axis_value))""",
     ),
 )
@@ -126,7 +138,7 @@ def overoptimisation_curve(spark, sf_dir) -> DataFrame:
     diagnostics = diagnostics_of(spark, sf_dir).select(
         "run_id", F.col("mean_rm_score_policy").alias("reward"), F.col("kl_from_reference").alias("kl")
     )
-    points = by_axis(spark, sf_dir).join(diagnostics, "run_id")
+    points = axis_points(spark, sf_dir).join(diagnostics, "run_id")
     points = points.select("axis", "axis_value", "run_id", "reward", "win_rate", "kl")
     return rounded(report.overoptimisation_curve(points), *CURVE)
 
@@ -134,19 +146,20 @@ def overoptimisation_curve(spark, sf_dir) -> DataFrame:
 @query(
     "axis_peak",
     with_tables(
-        "v_by_axis",
-        f"""select axis, axis_value as best_value, {sql_r6('win_rate')} as win_rate from v_by_axis
+        "v_axis_points",
+        f"""select axis, axis_value as best_value, {sql_r6('win_rate')} as win_rate from v_axis_points
+        where not isnan(win_rate)
         qualify row_number() over (partition by axis order by win_rate desc, axis_value) = 1""",
     ),
 )
 def axis_peak(spark, sf_dir) -> DataFrame:
-    return rounded(report.axis_peak(by_axis(spark, sf_dir)), "win_rate")
+    return rounded(report.axis_peak(axis_points(spark, sf_dir)), "win_rate")
 
 
 @query(
     "log_tail",
-    """select event_type as run_id, event_id as step, value from events
-    qualify row_number() over (partition by event_type order by event_id desc) <= 50""",
+    """select event_type as run_id, event_id // 3 as step, 'metric' || (event_id % 3) as metric, value from events
+    qualify dense_rank() over (partition by event_type order by event_id // 3 desc) <= 50""",
 )
 def log_tail(spark, sf_dir) -> DataFrame:
     return report.log_tail(tables.training_log(spark, sf_dir))

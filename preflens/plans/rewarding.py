@@ -78,7 +78,7 @@ def incomplete_groups(spark, sf_dir) -> DataFrame:
     "rm_pair_accuracy",
     with_tables(
         "v_rm_eval",
-        f"select run_id, {sql_r6('eval_accuracy')} as eval_accuracy, n_pairs, n_ties from v_rm_eval",
+        f"select run_id, {sql_r6('eval_accuracy')} as eval_accuracy, n_pairs, n_ties, n_unscored from v_rm_eval",
     ),
 )
 def rm_pair_accuracy(spark, sf_dir) -> DataFrame:
@@ -110,12 +110,18 @@ GAP = "(pi_chosen - ref_chosen) - (pi_rejected - ref_rejected)"
     with_tables(
         "v_logprobs",
         f"""select split, {sql_r6(f'avg(0.1e0 * ({GAP}))')} as reward_margin,
-          {sql_r6(f'avg((0.1e0 * ({GAP}) > 0)::int::double)')} as reward_accuracy, count(*) as n_pairs
-        from v_logprobs group by split""",
+          {sql_r6(f'avg((not isnan({GAP}) and 0.1e0 * ({GAP}) > 0)::int::double)')} as reward_accuracy,
+          count(*) as n_pairs
+        from (select * replace (case when split = 'test_prefs' and pair_id % 31 = 4 then 'nan'::double
+          else pi_chosen end as pi_chosen) from v_logprobs) group by split""",
     ),
 )
 def dpo_margins(spark, sf_dir) -> DataFrame:
-    margins = rewards.dpo_margins(tables.sequence_logprobs(spark, sf_dir), 0.1, ["split"])
+    """Margins of both splits; a few of one are NaN."""
+    lost = (F.col("split") == "test_prefs") & (F.col("pair_id") % 31 == 4)
+    logprobs = tables.sequence_logprobs(spark, sf_dir)
+    logprobs = logprobs.withColumn("pi_chosen", F.when(lost, float("nan")).otherwise(F.col("pi_chosen")))
+    margins = rewards.dpo_margins(logprobs, 0.1, ["split"])
     return rounded(margins, "reward_margin", "reward_accuracy")
 
 

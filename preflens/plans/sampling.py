@@ -60,6 +60,10 @@ def keep_columns(spark, sf_dir) -> DataFrame:
     )
 
 
+# The cap named for the capped samples below: sampling is their feature.
+CAP = 500
+
+
 def _hash_order(seed: int, key: str = "doc_id") -> str:
     return f"row_number() over (order by {sql_hash(str(seed), key)}, {key})"
 
@@ -67,11 +71,11 @@ def _hash_order(seed: int, key: str = "doc_id") -> str:
 @query(
     "seeded_subsample",
     f"""select doc_id, lang, n_chars from documents
-    qualify {_hash_order(sampling.SEED)} <= {sampling.MAX_EVAL_SAMPLES}""",
+    qualify {_hash_order(sampling.SEED)} <= {CAP}""",
 )
 def seeded_subsample(spark, sf_dir) -> DataFrame:
     documents = tables.table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    return sampling.seeded_subsample(documents, sampling.MAX_EVAL_SAMPLES, sampling.SEED, "doc_id")
+    return sampling.seeded_subsample(documents, CAP, sampling.SEED, "doc_id")
 
 
 @query(
@@ -153,13 +157,22 @@ def preference_data(spark, sf_dir) -> DataFrame:
 @query(
     "instruction_data",
     f"""select doc_id, case when {_hash_order(sampling.SEED)} <= ceil((select
-        least(count(*), {sampling.MAX_EVAL_SAMPLES}) from documents) * {sampling.EVAL_SHARE}e0)
+        least(count(*), {CAP}) from documents) * {sampling.EVAL_SHARE}e0)
       then 'eval' else 'train' end as split
-    from documents qualify {_hash_order(sampling.SEED)} <= {sampling.MAX_EVAL_SAMPLES}""",
+    from documents qualify {_hash_order(sampling.SEED)} <= {CAP}""",
 )
 def instruction_data(spark, sf_dir) -> DataFrame:
     documents = tables.table(spark, sf_dir, "documents").select("doc_id")
-    return sampling.instruction_data(documents, "doc_id", sampling.MAX_EVAL_SAMPLES)
+    return sampling.instruction_data(documents, "doc_id", CAP)
+
+
+@query(
+    "instruction_data_whole",
+    f"""select doc_id, case when {_hash_order(sampling.SEED)} <= ceil((select count(*) from documents)
+        * {sampling.EVAL_SHARE}e0) then 'eval' else 'train' end as split from documents""",
+)
+def instruction_data_whole(spark, sf_dir) -> DataFrame:
+    return sampling.instruction_data(tables.table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
 @query(

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ..functions.columns import HASH_SPACE, hash52
 from ..operators.pairing import pair_policy_baseline, sides
 from ..operators.report import GRID
-from ..sources.tables import spread
 
 POLICY_RUNS = [f"{prefix}{value}" for (prefix, _), values in GRID.items() for value in values]
 RM_RUNS = {"rm_full": 1.0, "rm_f0.1": 0.1, "rm_f0.5": 0.5}
@@ -41,8 +40,7 @@ def run_of(prompt_id: Column) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, dealt over the cores for work on whole texts."""
-    return spread(table(spark, sf_dir, "documents"))
+    return table(spark, sf_dir, "documents")
 
 
 def completions(spark: SparkSession, sf_dir: str, texts: DataFrame | None = None) -> DataFrame:
@@ -82,7 +80,7 @@ def score_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Judge output as it comes, in both orders."""
+    """Judge output as it comes, in both orders; some is null, some pairs were judged once only."""
     answers = F.array(
         *[F.lit(a) for a in ("A", "A", "A", "B", "B", "B", "TIE", " b.", "answer: b", "")]
     )
@@ -91,7 +89,8 @@ def raw_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         shown.select(*KEY)
         .withColumn("ord", F.explode(F.array(F.lit("ab"), F.lit("ba"))))
-        .withColumn("raw", F.element_at(answers, picked))
+        .withColumn("raw", F.when(hash52("lost", F.col("ord"), F.col("prompt_id")) % 23 > 0, F.element_at(answers, picked)))
+        .where((F.col("ord") == "ab") | (F.col("prompt_id") % 29 != 7))
     )
 
 
@@ -163,7 +162,7 @@ def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of three reward models; more training data, better sight of quality."""
+    """Scores of three reward models; more training data, better sight of quality. One misses some, one gives NaN."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     share = F.create_map(*[F.lit(v) for pair in RM_RUNS.items() for v in pair])
     quality = F.coalesce(F.col("quality").cast("double"), F.lit(0.5))
@@ -173,7 +172,14 @@ def rm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id")
         .join(labels, "doc_id", "left")
         .withColumn("run_id", F.explode(F.array(*[F.lit(r) for r in RM_RUNS])))
-        .select("run_id", "doc_id", (F.floor(score * 50) / 50).alias("rm_score"))
+        .where((F.col("run_id") != "rm_f0.5") | (F.col("doc_id") % 53 != 10))
+        .select(
+            "run_id",
+            "doc_id",
+            F.when((F.col("run_id") == "rm_f0.1") & (F.col("doc_id") % 41 == 3), float("nan"))
+            .otherwise(F.floor(score * 50) / 50)
+            .alias("rm_score"),
+        )
     )
 
 
@@ -215,8 +221,12 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def training_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A long log with up to three metrics per step."""
     return table(spark, sf_dir, "events").select(
-        F.col("event_type").alias("run_id"), F.col("event_id").alias("step"), "value"
+        F.col("event_type").alias("run_id"),
+        quotient(F.col("event_id"), 3).alias("step"),
+        F.concat(F.lit("metric"), (F.col("event_id") % 3).cast("string")).alias("metric"),
+        "value",
     )
 
 
@@ -308,13 +318,15 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "v_verdicts": (
         ("v_completions",),
         f"""select run_id, seed, prompt_id, ord,
-            (['A', 'A', 'A', 'B', 'B', 'B', 'TIE', ' b.', 'answer: b', ''])
-              [{_hash('ord', 'prompt_id')} % 10 + 1] as raw
-          from v_completions, (values ('ab'), ('ba')) as o(ord) where model_role = 'policy'""",
+            case when {_hash("'lost'", 'ord', 'prompt_id')} % 23 > 0 then
+              (['A', 'A', 'A', 'B', 'B', 'B', 'TIE', ' b.', 'answer: b', ''])
+                [{_hash('ord', 'prompt_id')} % 10 + 1] end as raw
+          from v_completions, (values ('ab'), ('ba')) as o(ord)
+          where model_role = 'policy' and (ord = 'ab' or prompt_id % 29 <> 7)""",
     ),
     "v_parsed": (
         ("v_verdicts",),
-        """select *, case
+        """select *, case when raw is null then null
             when regexp_replace(upper(raw), '[^A-Za-z]', '', 'g') like 'A%' then 'A'
             when regexp_replace(upper(raw), '[^A-Za-z]', '', 'g') like 'B%' then 'B'
             else 'TIE' end as verdict
@@ -322,12 +334,13 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "v_judged": (
         ("v_parsed",),
-        """select *, case when verdict_ab = 'A' and verdict_ba = 'B' then 1.0e0
+        """select *, case when verdict_ab is null or verdict_ba is null then null
+              when verdict_ab = 'A' and verdict_ba = 'B' then 1.0e0
               when verdict_ab = 'B' and verdict_ba = 'A' then 0.0e0 else 0.5e0 end as score,
             verdict_ab || verdict_ba in ('AB', 'BA', 'TIETIE') as consistent
-          from (select a.run_id, a.seed, a.prompt_id, a.verdict as verdict_ab, b.verdict as verdict_ba
-            from v_parsed a join v_parsed b on a.run_id = b.run_id and a.seed = b.seed
-              and a.prompt_id = b.prompt_id and a.ord = 'ab' and b.ord = 'ba')""",
+          from (select run_id, seed, prompt_id, max(verdict) filter (ord = 'ab') as verdict_ab,
+              max(verdict) filter (ord = 'ba') as verdict_ba
+            from v_parsed group by run_id, seed, prompt_id)""",
     ),
     "v_rm_judged": (
         ("v_pairs",),
@@ -372,24 +385,30 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "v_rm_scores": (
         (),
-        f"""select run_id, doc_id, floor(({_unit('run_id', 'doc_id')}
-              + coalesce(quality::double, 0.5e0) * case run_id {_RM_SHARE} end) * 50) / 50 as rm_score
+        f"""select run_id, doc_id, case when run_id = 'rm_f0.1' and doc_id % 41 = 3 then 'nan'::double
+              else floor(({_unit('run_id', 'doc_id')}
+              + coalesce(quality::double, 0.5e0) * case run_id {_RM_SHARE} end) * 50) / 50 end as rm_score
           from documents left join labels using (doc_id),
-            (values {', '.join(f"('{r}')" for r in RM_RUNS)}) as m(run_id)""",
+            (values {', '.join(f"('{r}')" for r in RM_RUNS)}) as m(run_id)
+          where run_id <> 'rm_f0.5' or doc_id % 53 <> 10""",
     ),
     "v_rm_pairs": (
         ("v_pref", "v_rm_scores"),
-        """select c.run_id, v.pair_id, v.split, c.rm_score as score_chosen, r.rm_score as score_rejected
-          from v_pref v join v_rm_scores c on c.doc_id = v.chosen_id
-            join v_rm_scores r on r.doc_id = v.rejected_id and r.run_id = c.run_id""",
+        """select s.run_id, v.pair_id, v.split, max(rm_score) filter (doc_id = chosen_id) as score_chosen,
+            max(rm_score) filter (doc_id = rejected_id) as score_rejected
+          from v_pref v join v_rm_scores s on s.doc_id in (v.chosen_id, v.rejected_id)
+          group by s.run_id, v.pair_id, v.split""",
     ),
     "v_rm_eval": (
         ("v_rm_pairs",),
         """select run_id,
-            avg(case when score_chosen <> score_rejected
+            avg(case when score_chosen is null or score_rejected is null then null
+              when isnan(score_chosen) or isnan(score_rejected) then 0.0e0
+              when score_chosen <> score_rejected
               then (score_chosen > score_rejected)::int::double end) as eval_accuracy,
-            count(*) as n_pairs,
-            count(*) filter (score_chosen = score_rejected) as n_ties
+            count(*) filter (score_chosen is not null and score_rejected is not null) as n_pairs,
+            count(*) filter (score_chosen = score_rejected and not isnan(score_chosen)) as n_ties,
+            count(*) filter (score_chosen is null or score_rejected is null) as n_unscored
           from v_rm_pairs where split = 'test_prefs' group by run_id""",
     ),
     "v_rollouts": (

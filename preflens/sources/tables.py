@@ -63,13 +63,3 @@ def read_split(
     if fmt == "json":
         reader = reader.option("mode", "FAILFAST")
     return select_split(reader.format(fmt).load(path), split)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out over the cores if the files give fewer splits than that.
-
-    For per-row work that costs far more than moving the row, such as text
-    features over one small file. A table of many files is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

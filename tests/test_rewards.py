@@ -65,6 +65,28 @@ def test_pair_accuracy_leaves_ties_out(spark):
     assert none.eval_accuracy is None and none.n_ties == 1
 
 
+def test_pairs_without_a_number_are_no_success(spark):
+    nan = float("nan")
+    values = [(nan, 1.0), (1.0, nan), (nan, nan), (2.0, 1.0), (None, 1.0), (3.0, None)]
+    row = rewards.rm_pair_accuracy(spark.createDataFrame(values, "score_chosen double, score_rejected double"), []).first()
+    assert (row.eval_accuracy, row.n_pairs, row.n_ties, row.n_unscored) == (0.25, 4, 0, 2)
+    names = "pi_chosen double, pi_rejected double, ref_chosen double, ref_rejected double"
+    margins = rewards.dpo_margins(spark.createDataFrame([(nan, 0.0, 0.0, 0.0), (2.0, 1.0, 0.0, 0.0)], names), 0.1).first()
+    assert margins.reward_accuracy == 0.5
+
+
+def test_logits_of_different_vocabularies_fail(spark):
+    df = spark.createDataFrame([([1.0, 2.0], [1.0])], "policy array<double>, reference array<double>")
+    with pytest.raises(Exception, match="differ in length"):
+        df.select(losses.token_kl(F.col("policy"), F.col("reference"))).collect()
+
+
+def test_null_group_keys_keep_their_rows(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 2.0), (None, 2.0)], "run_id string, reward double")
+    out = sorted(r.advantage for r in rewards.group_advantage(df, ["run_id"]).collect())
+    assert len(out) == 4 and out[1] == out[2] == 0.0 and out[0] == -out[3]
+
+
 def test_pair_scores_with_a_hot_completion(spark):
     """Completion 0 is the rejected side of most pairs."""
     pairs = spark.range(3000).select(

@@ -1,5 +1,7 @@
+import hashlib
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -68,29 +70,64 @@ def test_summary_counts(spark):
     assert row.swap_consistency == 0.5
 
 
-def test_intervals_bracket_the_mean(spark):
-    scored = scores(spark, 60, 0, 40)
-    summary = winrate.win_rate_summary(scored, ["run_id"])
-    forms = [
-        winrate.bootstrap_ci(summary, 2000).withColumnRenamed("win_rate", "mean"),
-        winrate.bootstrap_ci_counts(summary, ["run_id"], 2000).withColumnRenamed("win_rate", "mean"),
-        winrate.bootstrap_ci_values(scored, ["run_id"], "score", ["prompt_id"], 2000),
-    ]
-    for form in forms:
-        row = form.first()
-        assert row.mean == pytest.approx(0.6)
-        assert row.ci_lo < 0.6 < row.ci_hi and row.ci_hi - row.ci_lo < 0.25
-        assert row.ci_lo == pytest.approx(0.505, abs=0.02) and row.ci_hi == pytest.approx(0.695, abs=0.02)
-
-
-def test_draws_by_count_equal_draws_by_row(spark):
-    """With rows ordered by score both forms make the very same draws."""
-    scored = scores(spark, 20, 13, 9).unionByName(scores(spark, 3, 1, 2, "s"))
+def exact_bounds(wins, ties, losses, shares=(0.025, 0.975)):
+    """Quantiles of the resampled sum by folding the distribution of one draw with itself."""
+    n, total = wins + ties + losses, np.array([1.0])
+    for _ in range(n):
+        total = np.convolve(total, np.array([losses, ties, wins]) / n)
+    return [int(np.searchsorted(np.cumsum(total), s - 1e-9)) / (2 * n) for s in shares]
+
+
+@pytest.mark.parametrize("counts", [(1, 0, 0), (0, 3, 0), (2, 1, 1), (31, 8, 22), (0, 40, 3), (150, 1, 49), (400, 300, 200)])
+def test_bounds_from_counts_are_those_of_the_exact_distribution(counts):
+    assert winrate.resampled_bounds(*counts) == pytest.approx(exact_bounds(*counts), abs=1e-12)
+
+
+def test_bounds_from_counts_do_not_cost_more_for_many_pairs():
+    started = time.perf_counter()
+    lo, hi = winrate.resampled_bounds(5_200_000, 1_300_000, 3_500_000)
+    assert time.perf_counter() - started < 2
+    mean, spread = 0.585, math.sqrt((0.52 + 0.13 / 4 - 0.585**2) / 1e7)
+    assert (lo, hi) == (pytest.approx(mean - 1.959964 * spread, abs=2e-7), pytest.approx(mean + 1.959964 * spread, abs=2e-7))
+
+
+def test_all_forms_agree_on_an_interval(spark):
+    scored = scores(spark, 52, 17, 43)
     summary = winrate.win_rate_summary(scored, ["run_id"])
-    by_count = winrate.bootstrap_ci(summary, 100, seed=4)
-    by_row = winrate.bootstrap_ci_values(scored, ["run_id"], "score", ["score", "prompt_id"], 100, seed=4)
-    pick = lambda df: {r.run_id: (r.n, pytest.approx(r.ci_lo), pytest.approx(r.ci_hi)) for r in df.collect()}
-    assert pick(by_row) == {r.run_id: (r.n, r.ci_lo, r.ci_hi) for r in by_count.collect()}
+    lo, hi = exact_bounds(52, 17, 43)
+    by_count = winrate.bootstrap_ci_counts(summary).first()
+    assert (by_count.ci_lo, by_count.ci_hi, by_count.n) == (pytest.approx(lo), pytest.approx(hi), 112)
+    by_draw = winrate.bootstrap_ci(summary, 3000).first()
+    by_row = winrate.bootstrap_ci_values(scored, ["run_id"], "score", ["prompt_id"], 3000).first()
+    assert by_row.mean == pytest.approx(121 / 224) and by_row.n == 112
+    for row in (by_draw, by_row):
+        assert row.ci_lo == pytest.approx(lo, abs=0.012) and row.ci_hi == pytest.approx(hi, abs=0.012)
+
+
+def test_poisson_draws_match_brute_force(spark):
+    rng = random.Random(6)
+    values = [rng.gauss(3, 2) for _ in range(40)]
+    rows = [("r", i, v) for i, v in enumerate(values)] + [("r", 90, math.nan), ("r", 91, None), ("empty", 1, None)]
+    df = spark.createDataFrame(rows, "run_id string, k int, v double")
+    got = {r.run_id: r for r in winrate.bootstrap_ci_values(df, ["run_id"], "v", ["k"], 30, seed=2).collect()}
+    steps = [sum(math.exp(-1) / math.factorial(i) for i in range(c + 1)) for c in range(11)]
+    means = []
+    for b in range(30):
+        weights = []
+        for i in range(40):
+            digest = hashlib.md5(f"2:{b // 4}:{i}".encode()).hexdigest()
+            u = int(digest[8 * (b % 4) : 8 * (b % 4) + 8], 16) / 2**32
+            weights.append(sum(u >= step for step in steps))
+        means.append(np.dot(weights, values) / sum(weights))
+    lo, hi = np.quantile(means, [0.025, 0.975])
+    assert set(got) == {"r"} and (got["r"].ci_lo, got["r"].ci_hi, got["r"].n) == (pytest.approx(lo), pytest.approx(hi), 40)
+
+
+def test_no_exchange_carries_rows_times_replicates(spark):
+    df = spark.range(2000).selectExpr("'r' as run_id", "id", "id * 1.0d as v")
+    plan = winrate.bootstrap_ci_values(df, ["run_id"], "v", ["id"], 40)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    assert all("partial_" in lines[i + 1] or "Aggregate" in lines[i + 1] for i, line in enumerate(lines) if "Exchange hashpartitioning" in line)
 
 
 def test_draws_match_brute_force_across_pieces(spark):
@@ -110,9 +147,8 @@ def test_draws_match_brute_force_across_pieces(spark):
 
 
 def test_interval_edge_cases(spark):
-    empty = winrate.multinomial_interval((0, 0, 0), (1.0, 0.5, 0.0), 100, 0.05, [0])
-    assert all(math.isnan(v) for v in empty)
-    assert winrate.multinomial_interval((5, 0, 0), (1.0, 0.5, 0.0), 100, 0.05, [0]) == (1.0, 1.0, 1.0)
+    assert all(math.isnan(v) for v in winrate.resampled_bounds(0, 0, 0))
+    assert winrate.resampled_bounds(5, 0, 0) == (1.0, 1.0) and winrate.resampled_bounds(0, 0, 9) == (0.0, 0.0)
     one = scores(spark, 0, 1, 0)
     summary = winrate.win_rate_summary(one, ["run_id"])
     row = winrate.bootstrap_ci(summary, 50).first()
@@ -120,7 +156,10 @@ def test_interval_edge_cases(spark):
     unscored = one.withColumn("score", F.lit(None).cast("double"))
     row = winrate.bootstrap_ci(winrate.win_rate_summary(unscored, ["run_id"]), 50).first()
     assert (row.win_rate, row.n, row.ci_lo, row.ci_hi) == (None, 0, None, None)
-    assert tuple(winrate.bootstrap_ci_counts(summary, ["run_id"], 50).first())[1:] == (0.5, 0.5, 0.5)
+    row = winrate.bootstrap_ci_counts(summary).first()
+    assert (row.win_rate, row.ci_lo, row.ci_hi) == (0.5, 0.5, 0.5)
+    row = winrate.bootstrap_ci_counts(winrate.win_rate_summary(unscored, ["run_id"])).first()
+    assert (row.n, row.n_unjudged, row.ci_lo, row.ci_hi) == (0, 1, None, None)
 
 
 @pytest.mark.parametrize("partitions", [1, 16])
@@ -128,7 +167,7 @@ def test_intervals_do_not_depend_on_partitions(spark, partitions):
     def intervals(scored):
         summary = winrate.win_rate_summary(scored, ["run_id"])
         return [
-            tuple(winrate.bootstrap_ci_counts(summary, ["run_id"], 500).first()),
+            tuple(winrate.bootstrap_ci_counts(summary).first()),
             tuple(winrate.bootstrap_ci(summary, 50).first()),
             tuple(winrate.bootstrap_ci_values(scored, ["run_id"], "score", ["prompt_id"], 50).first()),
         ]

@@ -72,18 +72,18 @@ def test_style_markers(rows):
     assert min(found) >= 3
 
 
-def test_length_penalty_is_bounded_and_peaks_at_target(spark):
-    df = spark.createDataFrame([("x" * 100,), ("x" * 50,), ("x" * 10000,), ("",)], "t string")
-    at, below, far, empty = [r.p for r in df.select(text.length_penalty(F.col("t"), 100).alias("p")).collect()]
-    assert at == 0.0 and str(at) == "0.0"
-    assert below == -0.5 and far == -1.0 and empty == -1.0
-
-
-def test_loops_are_penalised(spark):
-    varied = "the quick brown fox jumps over the lazy dog today"
-    df = spark.createDataFrame([(varied,), ("a b c d " * 30,), ("too short",)], "t string")
-    scores = [r.p for r in df.select(text.repetition_penalty(F.col("t")).alias("p")).collect()]
-    assert scores[0] == 0.0 and scores[1] < -0.5 and scores[2] == 0.0
+def test_length_penalty_falls_off_linearly_and_stops_at_minus_one(spark):
+    sizes = [0, 1, 16, 32, 40, 63, 64, 65, 900]
+    df = spark.createDataFrame([(n, "é" * n) for n in sizes], "n int, t string")
+    got = {r.n: r.p for r in df.select("n", text.length_penalty(F.col("t"), 32).alias("p")).collect()}
+    assert got == {n: max(-1.0, -abs(n - 32) / 32) for n in sizes} and str(got[32]) == "0.0"
+
+
+def test_repetition_penalty_is_the_share_of_repeated_ngrams(spark):
+    cases = {"one two three": 0.0, "red green blue black white grey": 0.0, "la la la la la la": -2 / 3, "p q r s p q r s": -1 / 5}
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    got = {r.t: r.p for r in df.select("t", text.repetition_penalty(F.col("t")).alias("p")).collect()}
+    assert got == {t: pytest.approx(p) for t, p in cases.items()}
 
 
 def test_completion_text_of_each_shape(spark):

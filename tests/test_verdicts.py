@@ -75,7 +75,8 @@ def test_pairs_judged_once_only_are_left_out(spark):
     raw = spark.createDataFrame(
         [(1, "ab", "A"), (1, "ba", "B"), (2, "ab", "A")], "id int, ord string, raw string"
     )
-    assert [(r.id, r.score) for r in pairing.judged_pairs(raw, ["id"]).collect()] == [(1, 1.0)]
+    out = {r.id: (r.score, r.consistent) for r in pairing.judged_pairs(raw, ["id"]).collect()}
+    assert out == {1: (1.0, True), 2: (None, None)}
 
 
 def test_pairing_drops_and_counts_rows_without_partner(spark):
@@ -108,8 +109,8 @@ def test_fixed3_rounds_like_printf(spark):
         (r.v, r.s) for r in df.select("v", fixed3(F.col("v")).alias("s")).collect() if r.s != f"{r.v:.3f}"
     ]
     assert not wrong
-    odd = spark.createDataFrame([(NAN,), (None,)], "v double").select(fixed3(F.col("v")).alias("s"))
-    assert [r.s for r in odd.collect()] == ["nan", None]
+    odd = spark.createDataFrame([(NAN,), (None,), (-0.0,), (INF,), (-INF,)], "v double").select(fixed3(F.col("v")).alias("s"))
+    assert [r.s for r in odd.collect()] == ["nan", None, "-0.000", "inf", "-inf"]
 
 
 def test_hash52_is_the_md5_prefix(spark):
