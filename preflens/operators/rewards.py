@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from typing import Any
 
 import pandas as pd
@@ -234,6 +235,48 @@ def _features(df: DataFrame, side: str) -> DataFrame:
     return counted.withColumn(f"_{side}", F.concat(style, share)).drop("_words", "_counts")
 
 
+STYLE_FEATURES = ("log_chars", "length_penalty", "distinct_4", "has_header", "has_bullet", "has_enthusiasm")
+
+
+def rm_feature_gaps(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
+    """key, split, gap: features of the chosen answer less those of the rejected one, style features first."""
+    both = _features(_features(pairs, "chosen"), "rejected")
+    return both.select(key, "split", F.zip_with("_chosen", "_rejected", lambda a, b: a - b).alias("gap"))
+
+
+def rm_training_rows(gaps: DataFrame, key: str = "pair_id") -> DataFrame:
+    """key, label, features: half of the gaps, picked by hash, negated and labelled 0."""
+    flip = hash52("side", F.col(key)) % 2 == 0
+    return gaps.select(
+        key,
+        F.when(flip, 0.0).otherwise(1.0).alias("label"),
+        F.transform("gap", lambda v: F.when(flip, -v).otherwise(v)).alias("features"),
+    )
+
+
+def rm_design_sums(
+    pairs: DataFrame,
+    key: str = "pair_id",
+    fractions: Sequence[float] = RM_FRACTIONS,
+    seed: int = SEED,
+    train_split: str = "train_prefs",
+) -> DataFrame:
+    """What the fits are made of: per share, pairs, flipped labels and sums of the style features."""
+    train = rm_training_rows(rm_feature_gaps(pairs.where(F.col("split") == train_split), key), key)
+    style = [F.col("features")[i].alias(name) for i, name in enumerate(STYLE_FEATURES)]
+    train = train.select(key, "label", *style)
+    rows = [
+        nested_fraction(train, fraction, seed, key).agg(
+            F.lit(float(fraction)).alias("rm_pair_fraction"),
+            F.count(F.lit(1)).alias("n_train_pairs"),
+            F.count_if(F.col("label") == 0).alias("n_flipped"),
+            *[F.sum(name).alias(name) for name in STYLE_FEATURES],
+        )
+        for fraction in fractions
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def rm_linear_fit(
     pairs: DataFrame,
     key: str = "pair_id",
@@ -252,22 +295,15 @@ def rm_linear_fit(
     passes over them many times. One row per share; `converged` tells whether the
     fit ended before `max_iter` steps. The penalty on the weights is 0.01.
     """
-    both = _features(_features(pairs, "chosen"), "rejected")
-    gap = F.zip_with("_chosen", "_rejected", lambda a, b: a - b)
-    gaps = materialise(both.select(key, "split", gap.alias("gap")))
+    gaps = materialise(rm_feature_gaps(pairs, key))
     held_out = gaps.where(F.col("split") == eval_split)
-    flip = hash52("side", F.col(key)) % 2 == 0
-    train = gaps.where(F.col("split") == train_split).select(
-        key,
-        F.when(flip, 0.0).otherwise(1.0).alias("label"),
-        array_to_vector(F.transform("gap", lambda v: F.when(flip, -v).otherwise(v))).alias("features"),
-    )
+    train = rm_training_rows(gaps.where(F.col("split") == train_split), key)
     model = LogisticRegression(fitIntercept=False, regParam=0.01, maxIter=max_iter)
 
     rows = None
     for fraction in fractions:
         chosen = nested_fraction(train, fraction, seed, key)
-        fitted = model.fit(chosen.select("label", "features"))
+        fitted = model.fit(chosen.select("label", array_to_vector("features").alias("features")))
         weights = F.array(*[F.lit(float(w)) for w in fitted.coefficients])
         margin = F.aggregate(
             F.zip_with("gap", weights, lambda v, w: v * w), F.lit(0.0), lambda acc, v: acc + v

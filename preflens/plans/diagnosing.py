@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import diagnostics, winrate
+from ..sources import artifacts
 from . import tables
 from .comparison import BY_SEED, judged
 from .features import STYLE_SQL, sql_distinct_of
@@ -121,6 +122,24 @@ def diagnostics_row(spark, sf_dir) -> DataFrame:
     return rounded(row, *SIDED, "rm_judged_win_rate", "length_reward_corr", "kl_from_reference")
 
 
+@query(
+    "diagnostics_documents",
+    with_tables(
+        "v_diagnostics",
+        "select run_id, n_prompts, "
+        + ", ".join(
+            f"{sql_r6(c)} as {c}"
+            for c in (*SIDED, "rm_judged_win_rate", "length_reward_corr", "kl_from_reference")
+        )
+        + " from v_diagnostics",
+    ),
+)
+def diagnostics_documents(spark, sf_dir) -> DataFrame:
+    """The diagnostics written as JSON documents and parsed again."""
+    written = artifacts.diagnostics_documents(diagnostics_row(spark, sf_dir))
+    return artifacts.parse_diagnostics(written).drop("policy", "reference", "reward_model")
+
+
 @query(
     "goodhart_gap",
     with_tables(

@@ -11,6 +11,7 @@ from ..operators import rewards
 from ..operators.skew import deal_out
 from ..sources.tables import select_split
 from . import tables
+from .features import STYLE_SQL
 from .registry import query, r6, rounded
 from .tables import sql_hash, sql_r6, with_tables
 
@@ -150,6 +151,44 @@ def preference_losses(spark, sf_dir) -> DataFrame:
     return rounded(losses, "loss")
 
 
+def _side_sql(expression: str, side: str) -> str:
+    return expression.replace("completion", side)
+
+
+def _gap_sql(expression: str) -> str:
+    return f"{_side_sql(expression, 'chosen')} - {_side_sql(expression, 'rejected')}"
+
+
+_FLIP = f"{sql_hash(repr('side'), 'pair_id')} % 2 = 0"
+_DESIGN = {
+    "log_chars": _gap_sql("ln(1 + length(completion))"),
+    "length_penalty": _gap_sql("greatest(-1.0e0, -abs(length(completion) - 1200) / 1200.0e0)"),
+    **{
+        f"has_{name}": _gap_sql(f"({STYLE_SQL[f'{name}_rate']})")
+        for name in ("header", "bullet", "enthusiasm")
+    },
+}
+
+
+@query(
+    "rm_design_sums",
+    with_tables(
+        "v_pref_texts",
+        f"""select rm_pair_fraction, count(*) as n_train_pairs, count(*) filter (flip) as n_flipped,
+          {", ".join(f"{sql_r6(f'sum(case when flip then -g_{n} else g_{n} end)')} as {n}" for n in _DESIGN)}
+        from (select *, {_FLIP} as flip, {", ".join(f"{e} as g_{n}" for n, e in _DESIGN.items())}
+          from (select * from v_pref_texts, (values {", ".join(f"({f}e0)" for f in rewards.RM_FRACTIONS)}) as t(rm_pair_fraction)
+            where split = 'train_prefs'
+            qualify row_number() over (partition by rm_pair_fraction order by {sql_hash('17', 'pair_id')}, pair_id)
+              <= greatest(1, floor((select count(*) from v_pref_texts where split = 'train_prefs') * rm_pair_fraction))))
+        group by rm_pair_fraction""",
+    ),
+)
+def rm_design_sums(spark, sf_dir) -> DataFrame:
+    sums = rewards.rm_design_sums(tables.preference_pairs(spark, sf_dir))
+    return rounded(sums.drop("distinct_4"), *_DESIGN)
+
+
 @query("rm_linear_fit")
 def rm_linear_fit(spark, sf_dir) -> DataFrame:
     """An iterative fit, which SQL cannot express."""

@@ -67,6 +67,54 @@ def test_markdown_table(spark, runs_dir):
     assert table[5].startswith(f"| rm_full | rm | — | — | 1.000 | {0.7125:.3f} |")
 
 
+def test_stored_runs_are_analysed_again(spark, tmp_path):
+    """Every field of the artifacts, from files to summaries, gap, flags and curve."""
+    style = lambda h: {"header_rate": h, "bullet_rate": 0.1, "enthusiasm_rate": 0.2, "mean_chars": 90.5}
+    record = lambda ab, ba, score: {"prompt": "p", "verdict_ab": ab, "verdict_ba": ba, "score": score, "len_policy": 7, "len_baseline": 5}
+    for run, reward, rate in (("grpo_g4", 0.2, 0.55), ("grpo_g8", 0.4, 0.5)):
+        (tmp_path / run).mkdir()
+        (tmp_path / run / "results.json").write_text(json.dumps({
+            "policy": run, "judge": "rm", "n_prompts": 3, "seeds": [7], "win_rate_mean": rate, "win_rate_min": 0.5, "win_rate_max": 0.6,
+            "per_seed": [{"seed": 7, "n": 3, "ci95": [0.1, 0.9], "swap_consistency": 1.0,
+                          "records": [record("A", "B", 1.0), record("B", "A", 0.0), record("A", "A", 0.5)]}],
+        }))
+        (tmp_path / run / "diagnostics.json").write_text(json.dumps({
+            "policy": run, "n_prompts": 3, "mean_rm_score_policy": reward, "rm_judged_win_rate": 0.7, "length_reward_corr": 0.6,
+            "distinct_4_policy": 0.9, "distinct_4_reference": 0.8, "style_policy": style(0.5), "style_reference": style(0.4), "kl_from_reference": reward,
+        }))
+    (tmp_path / "dpo").mkdir()
+    (tmp_path / "dpo" / "dpo_eval.json").write_text('{"beta": 0.2, "loss_type": "ipo", "eval_rewards/accuracies": 0.75}')
+    folder = str(tmp_path)
+    records = artifacts.read_records(spark, folder)
+    summary = winrate.win_rate_summary(records, ["run_id", "seed"]).where("run_id = 'grpo_g4'").first()
+    assert (summary.win_rate, summary.n, summary.swap_consistency) == (0.5, 3, pytest.approx(2 / 3))
+    assert artifacts.read_results_by_seed(spark, folder).first().ci_hi == 0.9
+    assert artifacts.read_results(spark, folder).where("run_id = 'grpo_g8'").first().win_rate_max == 0.6
+    gaps = {r.run_id: r.goodhart_gap for r in artifacts.run_goodhart_gap(spark, folder).collect()}
+    assert gaps == {"grpo_g4": pytest.approx(0.15), "grpo_g8": pytest.approx(0.2)}
+    flags = artifacts.run_hacking_flags(spark, folder).first()
+    assert flags.length_driven and flags.header_climbing and not flags.degenerate and not flags.bullet_climbing
+    curve = {r.run_id: r.over_optimised for r in artifacts.run_overoptimisation_curve(spark, folder).collect()}
+    assert curve == {"grpo_g4": False, "grpo_g8": True}
+    dpo = artifacts.read_dpo_eval(spark, folder).first()
+    assert (dpo.run_id, dpo.beta, dpo.loss_type, dpo.reward_accuracy) == ("dpo", 0.2, "ipo", 0.75)
+
+
+def test_an_unknown_win_rate_is_never_the_peak(spark):
+    nan = float("nan")
+    rows = [("a", 0.1, nan), ("a", 0.2, 0.3), ("a", 0.3, None), ("b", 1.0, nan)]
+    df = spark.createDataFrame(rows, "axis string, axis_value double, win_rate double")
+    assert {(r.axis, r.best_value, r.win_rate) for r in report.axis_peak(df).collect()} == {("a", 0.2, 0.3), ("b", None, None)}
+    points = df.selectExpr("*", "axis_value as reward", "axis_value as kl")
+    assert not any(r.over_optimised for r in report.overoptimisation_curve(points).collect())
+
+
+def test_log_tail_keeps_entries_whole(spark):
+    log = spark.range(600).selectExpr("'r' as run_id", "id div 3 as step", "id % 3 as metric")
+    tail = report.log_tail(log, 50)
+    assert tail.count() == 150 and tail.agg(F.min("step")).first()[0] == 150
+
+
 def test_a_folder_without_runs_gives_no_rows(spark, tmp_path):
     (tmp_path / "notes").mkdir()
     assert artifacts.collect_runs(spark, str(tmp_path)).count() == 0
