@@ -83,21 +83,22 @@ def tokenised(
     return saved(
         rows.withColumns(
             {"row_id": F.monotonically_increasing_id(), "n_tokens": (F.octet_length("ids") / 4).cast("bigint")}
-        ),
-        codec="snappy",
+        )
     )
 
 
 def _queue_places(tokens: DataFrame, buckets: int) -> DataFrame:
-    """row_id, doc_id, source, n_tokens and first: the place of a document's first token in its source's queue."""
+    """row_id, doc_id, source, n_tokens, the size of its source's queue, and first: its first token's place there."""
     rows = tokens.select(
         "row_id", "doc_id", "source", "n_tokens", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket")
     )
     sums = rows.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n"))
+    queue = Window.partitionBy("source")
     before = sums.select(
         "source",
         "bucket",
-        (F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("before"),
+        (F.sum("n").over(queue.orderBy("bucket")) - F.col("n")).alias("before"),
+        F.sum("n").over(queue).alias("size"),
     )
     inside = F.sum("n_tokens").over(
         Window.partitionBy("source", "bucket").orderBy("doc_id", "row_id").rowsBetween(Window.unboundedPreceding, 0)
@@ -105,7 +106,7 @@ def _queue_places(tokens: DataFrame, buckets: int) -> DataFrame:
     return (
         rows.withColumn("inside", inside - F.col("n_tokens"))
         .join(before, ["source", "bucket"])
-        .select("row_id", "doc_id", "source", "n_tokens", (F.col("before") + F.col("inside")).alias("first"))
+        .select("row_id", "doc_id", "source", "n_tokens", "size", (F.col("before") + F.col("inside")).alias("first"))
     )
 
 
@@ -127,17 +128,16 @@ def schedule(
 ) -> DataFrame:
     """Pieces of the rows of `tokens`: row_id, doc_id, doc_tokens, start, length, window, sequence_id, offset."""
     places = saved(_queue_places(tokens, buckets))
-    queues = places.groupBy("source").agg(F.sum("n_tokens").alias("size"))
     total = places.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     if targets is None:
         rounds = -(-total // window) or 1
-        queues = queues.withColumns({"rate": F.col("size"), "per": F.lit(rounds).cast("bigint")})
+        rate, per = F.col("size"), rounds
     else:
         weight = F.lit(1).cast("bigint")
         for name, value in targets.items():
             weight = F.when(F.col("source") == name, F.lit(value).cast("bigint")).otherwise(weight)
-        per = queues.agg(F.coalesce(F.sum(weight), F.lit(1))).first()[0]
-        queues = queues.withColumns({"rate": weight * window, "per": F.lit(per).cast("bigint")})
+        rate = weight * window
+        per = places.select("source").distinct().agg(F.coalesce(F.sum(weight), F.lit(1))).first()[0]
 
     # The round in which a quantum leaves: the first whose credit covers the quantum's end.
     quanta = F.expr(f"sequence(first div {quantum}, (first + n_tokens - 1) div {quantum})")
@@ -146,7 +146,7 @@ def schedule(
         F.transform(quanta, lambda c: F.call_function("div", due(c) + F.col("rate") - 1, F.col("rate")))
     )
     units = (
-        places.join(queues, "source")
+        places.withColumns({"rate": rate, "per": F.lit(per).cast("bigint")})
         .withColumn("round", F.explode(rounds_of))
         .withColumns(
             {
