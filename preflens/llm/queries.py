@@ -6,6 +6,7 @@ from . import (  # noqa: F401
     exact_dedup,
     html_text,
     jaccard_join,
+    line_dedup,
     packing,
     quality_rules,
     suffix_dedup,
