@@ -25,6 +25,8 @@ Pieces and texts of any length take linear time. Other columns are untouched.
 from __future__ import annotations
 
 import base64
+import gc
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -204,7 +206,35 @@ class Transducer:
         yield self._read_back(tokens, len(tokens))
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(self.run(piece)))
+        if len(piece) >= 8 * self.longest:
+            return tuple(chain.from_iterable(self.run(piece)))
+        state, tokens = self.start, []
+        for byte in piece:
+            state = state.next.get(byte) or self._grow(state, byte)
+            tokens.append(state.token)
+        return tuple(self._read_back(tokens, len(tokens)))
+
+
+def single_byte_pattern(pattern: str) -> str:
+    """The pattern for texts of characters below U+0100, with classes written out, for the faster engine."""
+    below = [chr(c) for c in range(256)]
+
+    def spelt(name: str) -> str:
+        return "".join(f"\\x{ord(c):02x}" for c in below if regex.match(name, c))
+
+    names = {name: spelt(name) for name in (r"\p{L}", r"\p{N}", r"\s")}
+    out, inside = [], False
+    for part in re.split(r"(\\p\{[LN]\}|\\[sS]|[\[\]])", pattern):
+        if part in "[]":
+            inside = part == "[" if part else inside
+        if part == r"\S":
+            if inside:
+                raise ValueError("a negated class inside brackets")
+            part = f"[^{names[chr(92) + 's']}]"
+        elif part in names:
+            part = names[part] if inside else f"[{names[part]}]"
+        out.append(part)
+    return "".join(out)
 
 
 class Encoder(dict):
@@ -217,6 +247,7 @@ class Encoder(dict):
         super().__init__()
         self.transducer = Transducer(ranks)
         self.pieces = regex.compile(pattern).findall
+        self.pieces_below_256 = re.compile(single_byte_pattern(pattern)).findall
         self.old: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
@@ -231,7 +262,12 @@ class Encoder(dict):
         return ids
 
     def encode(self, text: str) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, self.pieces(text))), dtype="<u4")
+        try:
+            text.encode("latin-1")
+            pieces = self.pieces_below_256(text)
+        except UnicodeEncodeError:
+            pieces = self.pieces(text)
+        return np.array(list(chain.from_iterable(map(self.__getitem__, pieces))), dtype="<u4")
 
 
 #: Bytes that an unfinished character still waits for, by its first byte.
@@ -277,7 +313,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
-    """One per Python worker."""
+    """One per Python worker. Its many small objects live long, so the cyclic collector looks at them rarely."""
+    gc.set_threshold(100_000, 50, 100)
     return Encoder(read_ranks(path), pattern)
 
 
