@@ -4,9 +4,11 @@ Every text becomes the set of its distinct shingles. Equal sets are one set from
 then on. A pair of sets is a link if 100 * intersection >= percent * union; the
 result names the class of sets connected by links.
 
-1. Columns of the matrix. The shingles of a set are ordered, rare ones first. Two
-   linked sets share `COMMON` shingles among the first few of both (the prefix),
-   so only prefix shingles found in two sets or more are matrix columns.
+1. Columns of the matrix. The shingles of a set are ordered, rare ones first. If
+   two sets have c shingles in common, the first k of these lie among the first
+   n - c + k of each. So linked sets share k shingles in that prefix, and only
+   prefix shingles found in two sets or more are matrix columns. With k a share of
+   n, sets that have just a passage in common fall short of it.
 2. Groups. Sets with an equal minimum hash are compared with the first of them,
    its leader; those linked with it form its group and need no more comparisons
    with each other. The rest try again under the next hash.
@@ -32,27 +34,31 @@ columns are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .registry import query, table
-from .store import saved
+from .store import rows_per_batch, saved
 
 WORDS = 3
 PERCENT = 90
-#: Shared prefix shingles asked of two sets (fewer for sets of fewer shingles).
-COMMON = 3
+#: Shared prefix shingles asked of two sets: this share of the smaller one, and this number at least.
+COMMON_SHARE, COMMON_LEAST = 0.03, 3
 HASHES = 3
 #: A shingle is frequent above all shingles / FREQUENT, so fewer than FREQUENT are broadcast.
 FREQUENT = 1 << 18
-#: Local count from which a task reports a shingle.
-_REPORT = 4
-BLOCK = 128
+#: Local count from which a task reports a shingle, and the shingles it counts at a time.
+_REPORT, _COUNTED = 4, 1 << 21
+#: Shingles in a block of a group.
+BLOCK = 1 << 16
+#: Rows in an Arrow batch of texts or pairs, and of blocks.
+ROWS, BLOCK_ROWS = 256, 16
 
 _ODD = np.random.Generator(np.random.PCG64(7)).integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -92,6 +98,15 @@ def needed(n, percent: int = PERCENT):
     return -(-(n * percent) // 100)
 
 
+def common(n: int) -> int:
+    """Shared prefix shingles asked of a set of n and any set not smaller."""
+    return min(n, max(COMMON_LEAST, math.ceil(COMMON_SHARE * n)))
+
+
+def _common(n: Column) -> Column:
+    return F.least(n, F.greatest(F.lit(COMMON_LEAST), F.ceil(n * F.lit(COMMON_SHARE))))
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> tuple[bool, float]:
     """Whether two sorted sets are linked, and their similarity."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -105,21 +120,28 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def _frequent_rows(words: int):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for batch in batches:
-            held, size = [], 0
             for s in (shingles(t, words) for t in batch["text"]):
                 held.append(s)
                 size += len(s)
-            if size:
-                token, n = np.unique(np.concatenate(held), return_counts=True)
-                many = n >= _REPORT
-                token, n = np.r_[_signed(token[many]), np.int64(0)], np.r_[n[many], size]
-                # The last row tells how many shingles the batch has.
-                yield pd.DataFrame({"token": token, "n": n, "all": np.r_[np.zeros(len(n) - 1, bool), True]})
+                if size >= _COUNTED:
+                    yield _counted(held, size)
+                    held, size = [], 0
+        if size:
+            yield _counted(held, size)
 
     return count
 
 
+def _counted(held: list[np.ndarray], size: int) -> pd.DataFrame:
+    """Shingles counted often enough to report, and a row that tells how many there were in all."""
+    token, n = np.unique(np.concatenate(held), return_counts=True)
+    many = n >= _REPORT
+    token, n = np.r_[_signed(token[many]), np.int64(0)], np.r_[n[many], size]
+    return pd.DataFrame({"token": token, "n": n, "all": np.r_[np.zeros(len(n) - 1, bool), True]})
+
+
 def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The frequent shingles and their counts: fewer than FREQUENT, since all counts add up to the total."""
     counts = docs.mapInPandas(_frequent_rows(words), "token long, n long, all boolean").groupBy("all", "token").agg(
@@ -143,7 +165,7 @@ def _set_rows(words: int, percent: int, top):
             prefixes = []
             for s in sets:
                 n = len(s)
-                length = min(n, n - needed(n, percent) + COMMON)
+                length = min(n, n - needed(n, percent) + common(n))
                 if len(token) and n:
                     at = np.minimum(np.searchsorted(token, s), len(token) - 1)
                     weight = np.where(token[at] == s, count[at], 0)
@@ -167,11 +189,19 @@ def _content_rows(words: int):
     """The sets of candidate rows with their minimum hashes; rows whose text is another set's are left out."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, done = None, set()  # rows that repeat a doc_id come one after the other
         for batch in batches:
             out = []
-            for sid, d1, d2, text in zip(batch["sid"], batch["d1"], batch["d2"], batch["text"]):
+            for doc, sid, d1, d2, text in zip(batch["doc_id"], batch["sid"], batch["d1"], batch["d2"], batch["text"]):
+                if doc != last:
+                    last, done = doc, set()
+                if sid in done:
+                    continue
+                done.add(sid)
                 s = shingles(text, words)
-                if int(_signed(_mixed(s, 8)).sum()) == d1 and int(_signed(_mixed(s, 9)).sum()) == d2:
+                if int(_signed(_mixed(s, 8)).sum()) != d1 or int(_signed(_mixed(s, 9)).sum()) != d2:
+                    done.discard(sid)
+                else:
                     out.append((sid, len(s), s.tobytes(), *[int(_signed(_mixed(s, 10 + k).min(keepdims=True))[0]) for k in range(HASHES)]))
             yield pd.DataFrame(out, columns=["sid", "n", "content", *[f"h{k}" for k in range(HASHES)]])
 
@@ -206,7 +236,7 @@ def _compatible(a: str, b: str, percent: int):
 
 def _groups(sets: DataFrame, percent: int) -> DataFrame:
     """sid and the leader of its group: itself, or a set it is linked with."""
-    narrow = saved(sets.drop("content"))
+    narrow = saved(sets.drop("content").dropDuplicates(["sid"]))
     found = None
     for k in range(HASHES):
         seekers = narrow if found is None else narrow.join(found, "sid", "left_anti")
@@ -275,6 +305,11 @@ def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id, first_of_component (one row of each class)."""
+    with rows_per_batch(docs.sparkSession, ROWS):
+        return _near_duplicates(docs, key, text, words, percent)
+
+
+def _near_duplicates(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
     context = docs.sparkSession.sparkContext
     rows = docs.select(docs[key].cast("bigint").alias("doc_id"), docs[text].alias("text"))
     top = context.broadcast(frequent(rows.select("text"), words))
@@ -287,15 +322,15 @@ def near_duplicates(
     columns = distinct.select("sid", "n", F.explode("prefix").alias("token"))
     shared = columns.groupBy("token").count().where("count > 1").select("token")
     columns = saved(columns.join(shared, "token", "left_semi"))
-    enough = F.least(F.lit(COMMON), F.col("n"))
+    # The smallest set that a set of n may be linked with has `percent` of n.
+    enough = _common(F.ceil(F.col("n") * percent / 100))
     candidates = columns.groupBy("sid", "n").count().where(F.col("count") >= enough).select("sid")
     wanted = distinct.join(candidates, "sid").select("sid", "d1", "d2", F.col("first").alias("__first"))
     content = "sid long, n long, content binary, " + ", ".join(f"h{k} long" for k in range(HASHES))
     sets = saved(
         rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["__first"]))
-        .select("sid", "d1", "d2", "text")
-        .mapInPandas(_content_rows(words), content)
-        .dropDuplicates(["sid"]),
+        .select("doc_id", "sid", "d1", "d2", "text")
+        .mapInPandas(_content_rows(words), content),
         codec="snappy",
     )
 
@@ -314,7 +349,7 @@ def near_duplicates(
         .where(f"100 * one.high >= {percent} * two.low and 100 * two.high >= {percent} * one.low")
         .groupBy(F.col("one.leader").alias("x"), F.col("two.leader").alias("y"))
         .agg(F.count("*").alias("c"), F.min("one.low").alias("a"), F.min("two.low").alias("b"))
-        .where(F.col("c") >= F.least(F.lit(COMMON), "a", "b"))
+        .where(F.col("c") >= F.least(_common(F.col("a")), _common(F.col("b"))))
         .select("x", "y")
     )
     compared = _compare(pairs, sets, percent)
@@ -323,7 +358,7 @@ def near_duplicates(
     classes = components(leaders, links)
 
     # Distance is a metric: leaders of linked members are at most three links apart, two if one group is a single set.
-    sizes = groups.groupBy("leader").agg(F.count("*").alias("members"))
+    sizes = groups.groupBy("leader").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     side = lambda x, c: classes.join(sizes.withColumnRenamed("leader", "node"), "node").select(
         F.col("node").alias(x), F.col("label").alias(f"{x}_class"), F.col("members").alias(c)
     )
@@ -343,7 +378,7 @@ def near_duplicates(
         blocks = (
             groups.join(opened, "leader", "left_semi")
             .join(sizes, "leader")
-            .withColumn("block", F.pmod(F.xxhash64("sid"), F.ceil(F.col("members") / BLOCK)))
+            .withColumn("block", F.pmod(F.xxhash64("sid"), F.ceil(F.col("shingles") / BLOCK)))
             .select("sid", "leader", "block")
             .join(sets.select("sid", "content"), "sid")
             .groupBy("leader", "block")
@@ -358,7 +393,9 @@ def near_duplicates(
             .where("link")
             .select("x", "y")
         )
-        classes = components(leaders, saved(links.union(more)))
+        with rows_per_batch(docs.sparkSession, BLOCK_ROWS):
+            more = saved(more)
+        classes = components(leaders, links.union(more))
 
     of_set = distinct.select("sid", *digest, "first").join(
         groups.select("sid", "leader").join(classes.withColumnRenamed("node", "leader"), "leader").select("sid", "label"),
