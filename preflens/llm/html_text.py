@@ -237,18 +237,20 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
         )
     )
     sizes = parsed.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    suffixes = saved(parsed.select("row_id", "host", "blocks").mapInPandas(_suffixes, "row_id long, host long, name long"))
-    marked = (
+    suffixes = parsed.select("row_id", "host", "blocks").mapInPandas(_suffixes, "row_id long, host long, name long")
+    # A name on half of a host's pages: a host has at most twice as many as a page of it has on average.
+    marked = saved(
         suffixes.groupBy("host", "name")
         .agg(F.count("*").alias("n"))
         .where(F.col("n") >= LEAST_PAGES)
         .join(sizes, "host")
         .where(F.col("n") >= SHARE * F.col("pages"))
-        .select("host", "name")
+        .groupBy("host")
+        .agg(F.collect_list("name").alias("names"))
     )
-    per_row = suffixes.join(marked, ["host", "name"]).groupBy("row_id").agg(F.collect_list("name").alias("names"))
+    # Spark broadcasts this table if its size on disk is below the session's limit, and else shuffles both sides.
     return (
-        parsed.join(per_row, "row_id", "left")
+        parsed.join(marked, "host", "left")
         .select("page_id", "url", "blocks", "names")
         .mapInPandas(_texts, f"page_id {kind}, url string, text string")
     )
