@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from preflens.functions.columns import let
@@ -100,11 +100,14 @@ def _grams(text: Column) -> Column:
     )
 
 
-def _log_ratios(grams: DataFrame, counts: DataFrame) -> DataFrame:
+def _log_ratios(counts: DataFrame) -> DataFrame:
     """gram, ratio: the difference of both models' log probabilities of a gram's last character, in millionths.
 
-    `counts` has gram, accepted, rejected over all training URLs. Shorter grams
-    are sums of longer ones, so each order is one aggregation of the one above.
+    `counts` has gram, accepted, rejected for all grams to be scored; its sums are
+    the training URLs'. Shorter grams are sums of longer ones. Probabilities rise
+    from the shortest grams: each level joins the one below on its suffix, and the
+    totals of a context come from the grams that share it, at most one for each
+    character.
     """
     sides = ("accepted", "rejected")
     levels = {ORDER + 1: counts}
@@ -112,45 +115,41 @@ def _log_ratios(grams: DataFrame, counts: DataFrame) -> DataFrame:
         levels[n] = levels[n + 1].groupBy(F.expr(f"right(gram, {n})").alias("gram")).agg(
             *[F.sum(s).alias(s) for s in sides]
         )
-    out = grams.withColumns({f"p_{s}": F.lit(1.0 / ALPHABET) for s in sides})
+    below = None
     for n in range(1, ORDER + 2):
-        seen = levels[n].select(F.col("gram").alias("g"), *[F.col(s).alias(f"n_{s}") for s in sides])
-        context = levels[n].groupBy(F.expr(f"left(gram, {n - 1})").alias("c")).agg(
-            *[F.sum(s).alias(f"t_{s}") for s in sides],
-            *[F.sum((F.col(s) > 0).cast("bigint")).alias(f"k_{s}") for s in sides],
-        )
-        out = (
-            out.withColumns({"g": F.expr(f"right(gram, {n})"), "c": F.expr(f"left(right(gram, {n}), {n - 1})")})
-            .join(seen, "g", "left")
-            .join(context, "c", "left")
+        context = Window.partitionBy(F.expr(f"left(gram, {n - 1})"))
+        level = levels[n].withColumns(
+            {f"t_{s}": F.sum(s).over(context) for s in sides}
+            | {f"k_{s}": F.count_if(F.col(s) > 0).over(context) for s in sides}
         )
+        if below is None:
+            level = level.withColumns({f"p_{s}": F.lit(1.0 / ALPHABET) for s in sides})
+        else:
+            level = level.withColumn("suffix", F.expr(f"right(gram, {n - 1})")).join(below, "suffix")
         new = {}
         for s in sides:
-            total, kinds, n_s = (F.coalesce(f"{x}_{s}", F.lit(0)) for x in ("t", "k", "n"))
-            new[f"p_{s}"] = F.when(total > 0, (n_s + kinds * F.col(f"p_{s}")) / (total + kinds)).otherwise(F.col(f"p_{s}"))
-        out = out.withColumns(new).select("gram", *[f"p_{s}" for s in sides])
+            total, kinds, seen, p = (F.col(f"{x}{s}") for x in ("t_", "k_", "", "p_"))
+            new[f"p_{s}"] = F.when(total > 0, (seen + kinds * p) / (total + kinds)).otherwise(p)
+        # Written out, so that the next level's plan starts from a table.
+        level = saved(level.withColumns(new).select("gram", *[f"p_{s}" for s in sides]))
+        below = level.withColumnRenamed("gram", "suffix")
     ratio = F.round(SCALE * (F.log("p_accepted") - F.log("p_rejected"))).cast("bigint")
-    return out.select("gram", ratio.alias("ratio"))
+    return level.select("gram", ratio.alias("ratio"))
 
 
 def _scores(rows: DataFrame, training: Column) -> DataFrame:
     """row_id, score of every row: the mean log ratio under the models trained on the rows that `training` picks."""
-    grams = rows.select("row_id", "verdict", F.explode(_grams(F.col("text"))).alias("gram"))
-    counted = (
-        grams.where(training)
-        .groupBy("gram")
-        .agg(
-            F.sum((F.col("verdict") == "allow").cast("bigint")).alias("accepted"),
-            F.sum((F.col("verdict") == "block").cast("bigint")).alias("rejected"),
-        )
+    grams = rows.select(
+        "row_id",
+        F.coalesce(training & (F.col("verdict") == "allow"), F.lit(False)).cast("bigint").alias("accepted"),
+        F.coalesce(training & (F.col("verdict") == "block"), F.lit(False)).cast("bigint").alias("rejected"),
+        F.explode(_grams(F.col("text"))).alias("gram"),
     )
-    distinct = grams.select("gram").distinct()
+    counts = grams.groupBy("gram").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
     # One row per distinct gram, copied SALTS times: a frequent gram's rows spread over as many tasks.
-    model = _log_ratios(distinct, saved(counted)).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    )
+    model = _log_ratios(saved(counts)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (
-        grams.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
+        grams.select("row_id", "gram", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int").alias("salt"))
         .join(model, ["gram", "salt"])
         .groupBy("row_id")
         .agg((F.sum("ratio") / F.count("*") / SCALE).alias("score"))
