@@ -9,8 +9,8 @@ result names the class of sets connected by links.
    n - c + k of each. So linked sets share k shingles in that prefix, and only
    prefix shingles found in two sets or more are matrix columns. With k a share of
    n, sets that have just a passage in common fall short of it.
-2. Groups. Sets with an equal minimum hash are compared with the first of them,
-   its leader; those linked with it form its group and need no more comparisons
+2. Groups. Sets with an equal minimum hash are compared with one of them, its
+   leader: the one with the largest share of columns in its prefix. Those linked with it form its group and need no more comparisons
    with each other. The rest try again under the next hash.
 3. Matrix. A row is a group, its columns the union of its members' prefixes.
    Pairs of groups that share enough columns are candidates; their leaders are
@@ -192,7 +192,8 @@ def _content_rows(words: int):
         last, done = None, set()  # rows that repeat a doc_id come one after the other
         for batch in batches:
             out = []
-            for doc, sid, d1, d2, text in zip(batch["doc_id"], batch["sid"], batch["d1"], batch["d2"], batch["text"]):
+            fields = (batch[c] for c in ("doc_id", "sid", "d1", "d2", "shared", "text"))
+            for doc, sid, d1, d2, shared, text in zip(*fields):
                 if doc != last:
                     last, done = doc, set()
                 if sid in done:
@@ -202,8 +203,8 @@ def _content_rows(words: int):
                 if int(_signed(_mixed(s, 8)).sum()) != d1 or int(_signed(_mixed(s, 9)).sum()) != d2:
                     done.discard(sid)
                 else:
-                    out.append((sid, len(s), s.tobytes(), *[int(_signed(_mixed(s, 10 + k).min(keepdims=True))[0]) for k in range(HASHES)]))
-            yield pd.DataFrame(out, columns=["sid", "n", "content", *[f"h{k}" for k in range(HASHES)]])
+                    out.append((sid, len(s), shared, s.tobytes(), *[int(_signed(_mixed(s, 10 + k).min(keepdims=True))[0]) for k in range(HASHES)]))
+            yield pd.DataFrame(out, columns=["sid", "n", "shared", "content", *[f"h{k}" for k in range(HASHES)]])
 
     return rows
 
@@ -240,7 +241,11 @@ def _groups(sets: DataFrame, percent: int) -> DataFrame:
     found = None
     for k in range(HASHES):
         seekers = narrow if found is None else narrow.join(found, "sid", "left_anti")
-        first = seekers.groupBy(f"h{k}").agg(F.min("sid").alias("y"), F.min_by("n", "sid").alias("ny"), F.count("*").alias("c"))
+        # Copies of one text each have shingles of their own; the text itself shares most of its prefix.
+        middle = F.max_by(F.struct("sid", "n"), F.struct("shared", -F.col("sid")))
+        first = seekers.groupBy(f"h{k}").agg(middle.alias("m"), F.count("*").alias("c")).select(
+            f"h{k}", "c", F.col("m.sid").alias("y"), F.col("m.n").alias("ny")
+        )
         pairs = (
             seekers.select(F.col("sid").alias("x"), f"h{k}", "n")
             .join(first.where("c > 1"), f"h{k}")
@@ -324,12 +329,13 @@ def _near_duplicates(docs: DataFrame, key: str, text: str, words: int, percent:
     columns = saved(columns.join(shared, "token", "left_semi"))
     # The smallest set that a set of n may be linked with has `percent` of n.
     enough = _common(F.ceil(F.col("n") * percent / 100))
-    candidates = columns.groupBy("sid", "n").count().where(F.col("count") >= enough).select("sid")
-    wanted = distinct.join(candidates, "sid").select("sid", "d1", "d2", F.col("first").alias("__first"))
-    content = "sid long, n long, content binary, " + ", ".join(f"h{k} long" for k in range(HASHES))
+    candidates = columns.groupBy("sid", "n").count().where(F.col("count") >= enough)
+    candidates = candidates.select("sid", (F.col("count") / F.col("n")).alias("shared"))
+    wanted = distinct.join(candidates, "sid").select("sid", "d1", "d2", "shared", F.col("first").alias("__first"))
+    content = "sid long, n long, shared double, content binary, " + ", ".join(f"h{k} long" for k in range(HASHES))
     sets = saved(
         rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["__first"]))
-        .select("doc_id", "sid", "d1", "d2", "text")
+        .select("doc_id", "sid", "d1", "d2", "shared", "text")
         .mapInPandas(_content_rows(words), content),
         codec="snappy",
     )
