@@ -11,7 +11,8 @@ result names the class of sets connected by links.
    n, sets that have just a passage in common fall short of it.
 2. Groups. Sets with an equal minimum hash are compared with one of them, its
    leader: the one with the largest share of columns in its prefix. Those linked with it form its group and need no more comparisons
-   with each other. The rest try again under the next hash.
+   with each other. The rest try again under the next hash. A leader that others
+   have joined stays in its own group, so a group of one set is its leader alone.
 3. Matrix. A row is a group, its columns the union of its members' prefixes.
    Pairs of groups that share enough columns are candidates; their leaders are
    compared.
@@ -240,7 +241,9 @@ def _groups(sets: DataFrame, percent: int) -> DataFrame:
     narrow = saved(sets.drop("content").dropDuplicates(["sid"]))
     found = None
     for k in range(HASHES):
-        seekers = narrow if found is None else narrow.join(found, "sid", "left_anti")
+        seekers = narrow
+        if found is not None:
+            seekers = narrow.join(found.select("sid").union(found.select("leader")), "sid", "left_anti")
         # Copies of one text each have shingles of their own; the text itself shares most of its prefix.
         middle = F.max_by(F.struct("sid", "n"), F.struct("shared", -F.col("sid")))
         first = seekers.groupBy(f"h{k}").agg(middle.alias("m"), F.count("*").alias("c")).select(

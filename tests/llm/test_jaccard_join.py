@@ -35,6 +35,24 @@ def test_chains_and_many_near_copies(spark, monkeypatch):
     assert found(docs) == j.classes_by_brute_force(texts)
 
 
+@pytest.mark.parametrize("words, percent", [(3, 90), (5, 80)])
+def test_random_chains_of_edited_copies(spark, words, percent):
+    """Leaders that are linked with leaders of other hashes: no link of a chain may be lost."""
+    texts, want = {}, {}
+    for seed in range(1200):
+        rng, family = random.Random(seed), {}
+        line = [f"s{seed}w{rng.randrange(10**6)}" for _ in range(rng.randint(40, 90))]
+        for _ in range(rng.randint(3, 8)):
+            family[len(texts) + len(family)] = " ".join(line)
+            for _ in range(rng.randint(1, 2)):
+                line = list(line)
+                line[rng.randrange(len(line))] = f"s{seed}n{rng.randrange(10**6)}"
+        texts |= family
+        want |= j.classes_by_brute_force(family, words, percent)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    assert found(docs, words=words, percent=percent) == want
+
+
 def test_repeated_rows_and_null_ids(spark):
     docs = spark.createDataFrame([(4, "a b c d"), (4, "a b c d"), (None, "A b\tc d"), (None, "x y z"), (2, None)], "doc_id long, text string")
     out = sorted(((r.doc_id, r.component_id, r.n_shingles, r.first_of_component) for r in j.near_duplicates(docs).collect()), key=str)
