@@ -46,8 +46,8 @@ LEAST_PAGES = 5
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S
 )
-_NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "textarea", "select", "title"}
 _NEVER = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "head", "label", "input", "option", "figure"} - {"figure"}
 _VOID = {"br", "img", "hr", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
@@ -62,6 +62,8 @@ _WORDS = set(
     "notice notices pagination popup promo promoted promotion related respond search share sharing sidebar signup "
     "social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Inside main text these are left out by tag, role or being hidden, not by a word of their class or id.
+_PROSE = set("h1 h2 h3 h4 h5 h6 hgroup header p a blockquote pre b i em strong span mark cite q code".split())
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -70,11 +72,15 @@ def _is_side(tag: str, attributes: str, inside_main: bool) -> bool:
         return True
     if not attributes or tag in ("body", "html", "article", "main"):
         return False
-    if _HIDDEN.search(attributes):
+    named: dict[str, str] = {}
+    for found in _ATTRIBUTE.finditer(attributes):
+        named.setdefault(found[1].lower(), found[2] or found[3] or found[4] or "")  # the first of a name counts
+    if "hidden" in named or named.get("aria-hidden", "").strip().lower() == "true":
         return True
-    for found in _NAMED.finditer(attributes):
-        words = _SPLIT.split(found[1] or found[2] or found[3] or "")
-        if any(w.lower() in _WORDS for w in words):
+    if _NO_DISPLAY.search(named.get("style", "")):
+        return True
+    for name in ("role",) if inside_main and tag in _PROSE else ("role", "class", "id"):
+        if any(w.lower() in _WORDS for w in _SPLIT.split(named.get(name, ""))):
             return True
     return False
 

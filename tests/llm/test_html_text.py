@@ -12,6 +12,21 @@ def test_blocks_follow_markup():
     assert h.blocks("<p>a</p><nav>m</nav><div>b") == ["a", "b"]
 
 
+def test_attributes_rule_out_by_name_and_value():
+    for kept in ('style="overflow:hidden"', 'class="overflow-hidden"', 'aria-hidden="false"', 'title="The hidden hand"', "data-x='display:none'"):
+        assert h.blocks(f"<div {kept}><article><p>text</p></article></div>") == ["text"], kept
+    for gone in ("hidden", 'HIDDEN=""', 'aria-hidden="true"', "aria-hidden=TRUE", 'style="color:red; display : none"', 'class="side-menu"', "role=navigation"):
+        assert h.blocks(f"<p>text</p><div {gone}><p>no</p></div>") == ["text"], gone
+    assert h.blocks('<p>see <a href="/hidden-gems">the gems</a></p>') == ["see the gems"]
+
+
+def test_words_of_a_class_or_id_keep_prose_inside_main():
+    page = """<h2 class="ads">no</h2><main><h1 class="post-header">one</h1><header id="entry-header">two</header>
+<h2 id="social-life">three</h2><p class="related">four <a id="comment-1" href="#">five</a></p><div class="share">no</div>
+<h3 hidden>no</h3><a role="navigation">no</a></main>"""
+    assert h.blocks(page) == ["one", "two", "three", "four five"]
+
+
 def test_broken_pages_do_not_fail():
     assert h.blocks(None) == h.blocks("") == h.blocks("<!-- open <p>x") == h.blocks("<script>x") == []
     assert h.blocks("plain  text & 1 < 2") == ["plain text & 1 < 2"]
