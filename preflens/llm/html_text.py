@@ -6,11 +6,15 @@
    element, only what lies inside counts.
 2. Host suffix array. The blocks of a page are one stream of tokens. Of the
    suffixes of all streams those at anchors are kept (the smallest name among the
-   starts in a long string, so equal long strings have equal anchors), named by
-   doubling over tokens, and grouped by (host, name). A name found on at least
-   half of a host's pages, and on five at least, marks boilerplate.
-3. Runs of marked anchors at least `LONG` tokens long are cut out; when less
-   than a window is left at a block's end, the run takes that too. Unique runs stay.
+   starts in a string of LONG tokens, so equal strings have equal anchors), named
+   by doubling over tokens, and grouped by (host, name). Names found on enough
+   pages of a host are candidates.
+3. The strings of LONG tokens whose anchor is a candidate are named as a whole and
+   grouped by (host, name). Those found on at least half of a host's pages, and on
+   five at least, are boilerplate.
+4. Exactly the tokens that lie in such a string are cut out; all others stay.
+
+Names are 64-bit hashes; strings of a host with one name count as equal.
 
 Half a host's pages are asked for because copies of an article are no
 boilerplate. For the same reason no page is compared with pages of other hosts.
@@ -141,25 +145,36 @@ def blocks(page: str | None) -> list[str]:
     return main if any_main else everywhere
 
 
-def _names(tokens: list[str]) -> np.ndarray:
-    """Names of the strings of ANCHOR tokens at every place, by doubling."""
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    name = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return name ^ (name >> np.uint64(32))
+
+
+def _names(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the strings of ANCHOR tokens and of LONG tokens at every place, by doubling."""
     name = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in tokens), dtype=np.uint64, count=len(tokens))
-    n = 1
-    while n < ANCHOR:
-        name = name[:-n] * np.uint64(0x9E3779B97F4A7C15) + (name[n:] ^ (name[n:] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        name ^= name >> np.uint64(32)
+    n, short = 1, name
+    while 2 * n <= LONG:
+        name = _joined(name[:-n], name[n:])
         n *= 2
-    return name
+        short = name if n == ANCHOR else short
+    rest = LONG - n
+    return short, _joined(name[: len(name) - rest], name[rest:]) if rest else name
 
 
-def anchors(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Places and names of the anchors of all strings of LONG tokens."""
+def _strings(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The name of the anchor and of the whole of the string of LONG tokens at every place."""
     if len(tokens) < LONG:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    name = _names(tokens)
-    windows = np.lib.stride_tricks.sliding_window_view(name, WINDOW)
-    place = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
-    return place, name[place].view(np.int64)
+    short, whole = _names(tokens)
+    windows = np.lib.stride_tricks.sliding_window_view(short, WINDOW)
+    return windows.min(axis=1).view(np.int64), whole.view(np.int64)
+
+
+def anchors(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Places and names of all strings of LONG tokens."""
+    whole = _strings(tokens)[1]
+    return np.arange(len(whole)), whole
 
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,11 +196,30 @@ def _host(url: str | None) -> str:
     return re.split(r"[/?#]", rest, maxsplit=1)[0].lower()
 
 
+def _stream(parts) -> list[str]:
+    return " ".join(parts).split(" ")
+
+
 def _suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The anchors of every page."""
     for batch in batches:
         row, host, name = [], [], []
         for r, h, b in zip(batch["row_id"], batch["host"], batch["blocks"]):
-            found = np.unique(anchors(" ".join(b).split(" "))[1])
+            found = np.unique(_strings(_stream(b))[0])
+            row.append(np.full(len(found), r))
+            host.append(np.full(len(found), h))
+            name.append(found)
+        if row:
+            yield pd.DataFrame({"row_id": np.concatenate(row), "host": np.concatenate(host), "name": np.concatenate(name)})
+
+
+def _long_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The strings of LONG tokens whose anchors are candidates."""
+    for batch in batches:
+        row, host, name = [], [], []
+        for r, h, b, candidates in zip(batch["row_id"], batch["host"], batch["blocks"], batch["names"]):
+            anchor, whole = _strings(_stream(b))
+            found = np.unique(whole[np.isin(anchor, candidates)])
             row.append(np.full(len(found), r))
             host.append(np.full(len(found), h))
             name.append(found)
@@ -194,28 +228,15 @@ def _suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _without(parts: list[str], marked: set[int]) -> list[str]:
-    """Blocks without runs of marked anchors."""
+    """Blocks without the tokens that lie in a marked string of LONG tokens."""
     tokens = [p.split(" ") for p in parts]
     stream = [t for p in tokens for t in p]
-    place, name = anchors(stream)
-    hit = [int(p) for p, n in zip(place, name) if int(n) in marked]
-    runs: list[list[int]] = []
-    for p in hit:
-        if runs and p <= runs[-1][1]:
-            runs[-1][1] = p + ANCHOR
-        elif runs and p - (runs[-1][1] - ANCHOR) <= WINDOW:
-            runs[-1][1] = p + ANCHOR
-        else:
-            runs.append([p, p + ANCHOR])
-    gone = np.zeros(len(stream), dtype=bool)
+    starts = np.flatnonzero(np.isin(anchors(stream)[1], np.fromiter(marked, np.int64, len(marked))))
+    steps = np.zeros(len(stream) + 1, dtype=np.int64)
+    steps[starts] += 1
+    steps[starts + LONG] -= 1
+    gone = np.cumsum(steps[:-1]) > 0
     edges = np.cumsum([0, *[len(p) for p in tokens]])
-    for start, end in runs:
-        first = edges[np.searchsorted(edges, start, side="right") - 1]
-        last = edges[np.searchsorted(edges, end, side="left")]
-        start = first if start - first < WINDOW else start
-        end = last if last - end < WINDOW else end
-        if end - start >= LONG:
-            gone[start:end] = True
     out = []
     for k, p in enumerate(tokens):
         kept = [t for t, g in zip(p, gone[edges[k] : edges[k + 1]]) if not g]
@@ -233,6 +254,12 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts})
 
 
+def _on_enough_pages(names: DataFrame, sizes: DataFrame) -> DataFrame:
+    """host, name of the names that stand on enough pages of their host."""
+    counted = names.groupBy("host", "name").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    return counted.join(sizes, "host").where(F.col("n") >= SHARE * F.col("pages")).select("host", "name")
+
+
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text of every row of `pages`."""
     kind = pages.schema[key].dataType.simpleString()
@@ -243,20 +270,18 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
         )
     )
     sizes = parsed.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    suffixes = parsed.select("row_id", "host", "blocks").mapInPandas(_suffixes, "row_id long, host long, name long")
-    # A name on half of a host's pages: a host has at most twice as many as a page of it has on average.
-    marked = saved(
-        suffixes.groupBy("host", "name")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= LEAST_PAGES)
-        .join(sizes, "host")
-        .where(F.col("n") >= SHARE * F.col("pages"))
-        .groupBy("host")
-        .agg(F.collect_list("name").alias("names"))
+    kind_of_name = "row_id long, host long, name long"
+    suffixes = parsed.select("row_id", "host", "blocks").mapInPandas(_suffixes, kind_of_name)
+    candidates = saved(_on_enough_pages(suffixes, sizes))
+    near = suffixes.join(candidates, ["host", "name"]).groupBy("row_id").agg(F.collect_list("name").alias("names"))
+    strings = saved(
+        parsed.select("row_id", "host", "blocks").join(near, "row_id").mapInPandas(_long_strings, kind_of_name)
     )
-    # Spark broadcasts this table if its size on disk is below the session's limit, and else shuffles both sides.
+    marked = saved(_on_enough_pages(strings, sizes))
+    # Names go to the pages they stand on, so a host of many pages makes no large list.
+    names = strings.join(marked, ["host", "name"]).groupBy("row_id").agg(F.collect_list("name").alias("names"))
     return (
-        parsed.join(marked, "host", "left")
+        parsed.join(names, "row_id", "left")
         .select("page_id", "url", "blocks", "names")
         .mapInPandas(_texts, f"page_id {kind}, url string, text string")
     )

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 from preflens.llm import html_text as h
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head>
@@ -60,3 +63,31 @@ def test_run_inside_a_block_is_cut_and_the_rest_stays():
     left = h._without(parts, marked)[0].split()
     assert left[:30] == words(30).split() and left[-30:] == words(30, 300).split()
     assert len(left) - 60 <= 2 * h.WINDOW
+
+
+def without_repeats(streams, least):
+    """The definition: tokens outside all strings of LONG tokens that stand on `least` pages, for pages of one block."""
+    starts = lambda t: [(i, tuple(t[i : i + h.LONG])) for i in range(len(t) - h.LONG + 1)]
+    pages = Counter(s for t in {tuple(t) for t in streams} for s in {s for _, s in starts(t)})
+    out = []
+    for t in streams:
+        gone = {k for i, s in starts(t) if pages[s] >= least for k in range(i, i + h.LONG)}
+        out.append(" ".join(w for k, w in enumerate(t) if k not in gone))
+    return out
+
+
+def test_exactly_the_tokens_of_repeated_strings_go(spark):
+    rng = random.Random(5)
+    own = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    shared = [own(n) for n in (19, 20, 21, 25, 30, 35, 60, 8)]
+    streams = []
+    for i in range(12):
+        stream = own(rng.randint(1, 15))
+        for k, s in enumerate(shared):
+            if (i + k) % 4:
+                stream += s + own(rng.choice([0, 1, 3, 11, 40]))
+        streams.append(stream)
+    rows = [(i, "http://a.example/", "<p>" + " ".join(s) + "</p>") for i, s in enumerate(streams)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    out = {r.page_id: r.text for r in h.main_text(pages).collect()}
+    assert [out[i] for i in range(12)] == without_repeats(streams, 6)
