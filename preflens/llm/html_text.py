@@ -10,18 +10,17 @@
    by doubling over tokens, and grouped by (host, name). Names found on enough
    pages of a host are candidates.
 3. The strings of LONG tokens whose anchor is a candidate are named as a whole and
-   grouped by (host, name). Those found on at least half of a host's pages, and on
-   five at least, are boilerplate.
+   grouped by (host, name). Those found on LEAST_PAGES pages of a host or more are
+   boilerplate. Pages of a host with equal streams count as one page.
 4. Exactly the tokens that lie in such a string are cut out; all others stay.
 
 Names are 64-bit hashes; strings of a host with one name count as equal.
 
-Half a host's pages are asked for because copies of an article are no
-boilerplate. For the same reason no page is compared with pages of other hosts.
+Copies of one article stay whole, since they are one page; copies that differ in
+a token are different pages. No page is compared with pages of other hosts.
 
 Defined cases: null html gives no blocks and an empty text, a null url the host
-''. Pages without any markup are one block. Repeated rows count as pages of
-their own. Broken markup never fails: unknown or unclosed elements end with
+''. Pages without any markup are one block. Repeated rows are equal streams. Broken markup never fails: unknown or unclosed elements end with
 their parent, an unclosed comment or script ends with the page. An empty table
 gives no rows. Only the three named columns are read.
 """
@@ -44,8 +43,8 @@ from .store import saved
 LONG = 20
 ANCHOR = 8
 WINDOW = LONG - ANCHOR + 1
-SHARE = 0.5
-LEAST_PAGES = 5
+#: Distinct pages of a host on which boilerplate stands.
+LEAST_PAGES = 4
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S
@@ -177,16 +176,20 @@ def anchors(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(whole)), whole
 
 
+def _signed_digest(text: str) -> np.int64:
+    return np.uint64(xxhash.xxh3_64_intdigest(text)).view(np.int64)
+
+
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
+        found = [blocks(h) for h in batch["html"]]
         yield pd.DataFrame(
             {
                 "page_id": batch["page_id"],
                 "url": batch["url"],
-                "host": [
-                    np.int64(np.uint64(xxhash.xxh3_64_intdigest(_host(u))).view(np.int64)) for u in batch["url"]
-                ],
-                "blocks": [blocks(h) for h in batch["html"]],
+                "host": [_signed_digest(_host(u)) for u in batch["url"]],
+                "blocks": found,
+                "stream": [_signed_digest(" ".join(b)) for b in found],
             }
         )
 
@@ -216,15 +219,17 @@ def _suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _long_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The strings of LONG tokens whose anchors are candidates."""
     for batch in batches:
-        row, host, name = [], [], []
-        for r, h, b, candidates in zip(batch["row_id"], batch["host"], batch["blocks"], batch["names"]):
+        row, host, stream, name = [], [], [], []
+        for r, h, d, b, candidates in zip(*(batch[c] for c in ("row_id", "host", "stream", "blocks", "names"))):
             anchor, whole = _strings(_stream(b))
             found = np.unique(whole[np.isin(anchor, candidates)])
             row.append(np.full(len(found), r))
             host.append(np.full(len(found), h))
+            stream.append(np.full(len(found), d))
             name.append(found)
         if row:
-            yield pd.DataFrame({"row_id": np.concatenate(row), "host": np.concatenate(host), "name": np.concatenate(name)})
+            fields = {"row_id": row, "host": host, "stream": stream, "name": name}
+            yield pd.DataFrame({k: np.concatenate(v) for k, v in fields.items()})
 
 
 def _without(parts: list[str], marked: set[int]) -> list[str]:
@@ -254,10 +259,9 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts})
 
 
-def _on_enough_pages(names: DataFrame, sizes: DataFrame) -> DataFrame:
+def _on_enough_pages(names: DataFrame) -> DataFrame:
     """host, name of the names that stand on enough pages of their host."""
-    counted = names.groupBy("host", "name").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
-    return counted.join(sizes, "host").where(F.col("n") >= SHARE * F.col("pages")).select("host", "name")
+    return names.groupBy("host", "name").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES).select("host", "name")
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -265,19 +269,20 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     kind = pages.schema[key].dataType.simpleString()
     rows = pages.select(pages[key].alias("page_id"), pages[url].alias("url"), pages[html].alias("html"))
     parsed = saved(
-        rows.mapInPandas(_parsed, f"page_id {kind}, url string, host long, blocks array<string>").withColumn(
+        rows.mapInPandas(_parsed, f"page_id {kind}, url string, host long, blocks array<string>, stream long").withColumn(
             "row_id", F.monotonically_increasing_id()
         )
     )
-    sizes = parsed.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    kind_of_name = "row_id long, host long, name long"
-    suffixes = parsed.select("row_id", "host", "blocks").mapInPandas(_suffixes, kind_of_name)
-    candidates = saved(_on_enough_pages(suffixes, sizes))
+    suffixes = parsed.select("row_id", "host", "blocks").mapInPandas(_suffixes, "row_id long, host long, name long")
+    # Equal streams are not merged yet, so these are more than the names on enough pages, never less.
+    candidates = saved(_on_enough_pages(suffixes))
     near = suffixes.join(candidates, ["host", "name"]).groupBy("row_id").agg(F.collect_list("name").alias("names"))
     strings = saved(
-        parsed.select("row_id", "host", "blocks").join(near, "row_id").mapInPandas(_long_strings, kind_of_name)
+        parsed.select("row_id", "host", "stream", "blocks")
+        .join(near, "row_id")
+        .mapInPandas(_long_strings, "row_id long, host long, stream long, name long")
     )
-    marked = saved(_on_enough_pages(strings, sizes))
+    marked = saved(_on_enough_pages(strings.select("host", "name", "stream").distinct()))
     # Names go to the pages they stand on, so a host of many pages makes no large list.
     names = strings.join(marked, ["host", "name"]).groupBy("row_id").agg(F.collect_list("name").alias("names"))
     return (

@@ -90,4 +90,20 @@ def test_exactly_the_tokens_of_repeated_strings_go(spark):
     rows = [(i, "http://a.example/", "<p>" + " ".join(s) + "</p>") for i, s in enumerate(streams)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     out = {r.page_id: r.text for r in h.main_text(pages).collect()}
-    assert [out[i] for i in range(12)] == without_repeats(streams, 6)
+    assert [out[i] for i in range(12)] == without_repeats(streams, h.LEAST_PAGES)
+
+
+def test_boilerplate_on_a_minority_of_pages_goes_and_copies_stay(spark):
+    rng = random.Random(6)
+    own = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    notice, article = own(30), own(60)
+    streams = [own(25) + (notice if i < h.LEAST_PAGES else own(30)) + own(5) for i in range(40)]
+    rows = [(i, "http://a.example/", "<p>" + " ".join(s) + "</p>") for i, s in enumerate(streams)]
+    copies = [(100 + i, f"http://b.example/{i}", f"<div class='ad'>{i}</div><p>" + " ".join(article) + "</p>") for i in range(9)]
+    few = [(200 + i, f"http://c.example/{i}", "<p>" + " ".join([*article, *([f"more{i}"] if i < 2 else [])]) + "</p>") for i in range(6)]
+    pages = spark.createDataFrame(rows + copies + few, "page_id long, url string, html string").repartition(3)
+    out = {r.page_id: r.text for r in h.main_text(pages).collect()}
+    assert [out[i] for i in range(40)] == without_repeats(streams, h.LEAST_PAGES)
+    assert all(" ".join(notice) not in out[i] for i in range(40))
+    assert all(out[100 + i] == " ".join(article) for i in range(9))
+    assert all(" ".join(article) in out[200 + i] for i in range(6))
