@@ -8,6 +8,7 @@ from . import (  # noqa: F401
     jaccard_join,
     line_dedup,
     packing,
+    quality_classifier,
     quality_rules,
     suffix_dedup,
     url_filter,
