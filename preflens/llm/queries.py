@@ -3,6 +3,7 @@
 from . import (  # noqa: F401
     bpe,
     chat_format,
+    conversation_repair,
     exact_dedup,
     html_text,
     jaccard_join,
