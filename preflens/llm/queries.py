@@ -7,6 +7,7 @@ from . import (  # noqa: F401
     exact_dedup,
     html_text,
     jaccard_join,
+    lexical_search,
     line_dedup,
     packing,
     quality_classifier,
