@@ -9,7 +9,7 @@ its own, so that repetition shows. Every n-gram adds to one of `2**BITS` places;
 a text's vector holds log(1 + count) there, scaled to length 1 for each of the two
 sequences. The score is the logistic function of one sparse dot product.
 
-Training: at most `SAMPLE` labelled rows, chosen by the hash of their key (the
+Training: about `SAMPLE` labelled rows at most, chosen by the hash of their key (the
 bound makes them safe to broadcast to the documents), dealt by hash into shards of
 about `SHARD_ROWS`. Each shard is one task, which holds its rows' sparse vectors
 (bounded, since a vector has at most `2**BITS` entries, however long the text) and
@@ -25,17 +25,15 @@ columns are named by the caller; all others pass through.
 
 from __future__ import annotations
 
-import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from preflens.functions.columns import hash52
-from preflens.operators.sampling import seeded_subsample
+from preflens.functions.columns import HASH_SPACE, hash52
 
 from .registry import query, table
 
@@ -49,18 +47,12 @@ FOLDS = 5
 # FTRL-Proximal: learning rate, its smoothing, and the two penalties.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.0005, 0.01
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _REPEATED = np.uint64(0x27D4EB2F165667C5)
-_CACHED_WORDS = 200_000
-
-
-def _hash64(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
 class _Kinds(dict):
-    """Code point -> its kind, for `str.translate`."""
+    """Code point -> its kind, for `str.translate`; blanks between words stay."""
 
     def __missing__(self, code: int) -> str:
         c = chr(code)
@@ -69,30 +61,20 @@ class _Kinds(dict):
 
 
 _KINDS = _Kinds()
-_RUN = re.compile(r"(.)\1+", re.DOTALL)
-
-
-def shape(word: str) -> str:
-    """The word with runs of each kind of character written once."""
-    return _RUN.sub(r"\1", word.translate(_KINDS))
 
 
-class _Words(dict):
-    """word -> (hash of the lower-cased word, hash of its shape), computed once for frequent words."""
+def shapes(text: str) -> str:
+    """The text with runs of each kind of character written once."""
+    kinds = np.frombuffer(text.translate(_KINDS).encode("utf-32-le", "surrogatepass"), "<u4")
+    first = np.ones(len(kinds), bool)
+    first[1:] = kinds[1:] != kinds[:-1]
+    return kinds[first].tobytes().decode("utf-32-le", "surrogatepass")
 
-    def __init__(self):
-        self.shapes: dict[str, int] = {}
 
-    def __missing__(self, word: str) -> tuple[int, int]:
-        form = shape(word)
-        if form not in self.shapes:
-            if len(self.shapes) >= _CACHED_WORDS:
-                self.shapes.clear()
-            self.shapes[form] = _hash64(form)
-        found = _hash64(word.lower()), self.shapes[form]
-        if len(self) < _CACHED_WORDS and len(word) < 100:
-            self[word] = found
-        return found
+def _hashes(text: str) -> np.ndarray:
+    """A hash of every word; splitting bytes splits at the six blanks only."""
+    words = text.encode("utf-8", "surrogatepass").split()
+    return np.fromiter(map(zlib.crc32, words), "u8", len(words))
 
 
 def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -107,14 +89,12 @@ def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mixed
 
 
-def vector(text: str | None, words: _Words | None = None) -> tuple[np.ndarray, np.ndarray]:
+def vector(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The sparse vector of a text: ascending places and their values."""
-    words = _Words() if words is None else words
-    found = [words[w] for w in _WORD.findall(text or "")]
-    if not found:
+    lower = _hashes((text or "").lower())
+    if not len(lower):
         return np.empty(0, "u4"), np.empty(0, "f4")
-    both = np.array(found, "u8")
-    lower, form = both[:, 0], both[:, 1].copy()
+    form = _hashes(shapes(text))
     windows = _grams(lower, 4)
     if len(windows):
         _, first = np.unique(windows, return_index=True)
@@ -163,7 +143,7 @@ class Ftrl:
 
 def _train_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by shard -> one row per shard: its weights, and how many rows made them."""
-    words, rows, current = _Words(), [], None
+    rows, current = [], None
 
     def trained() -> pd.DataFrame:
         model = Ftrl()
@@ -178,7 +158,7 @@ def _train_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield trained()
                 rows = []
             current = shard
-            rows.append((*vector(text, words), float(label)))
+            rows.append((*vector(text), float(label)))
     if rows:
         yield trained()
 
@@ -196,21 +176,21 @@ def fit(
     pairs = labels.select(labels[key].alias("key"), labels[label].cast("double").alias("label"))
     pairs = pairs.where("key is not null and label is not null").distinct()
     pairs = pairs.withColumn("place", F.concat_ws(":", "key", "label"))
-    # At most `sample` rows, so the broadcast has a bound whatever the tables hold.
-    chosen = F.broadcast(seeded_subsample(pairs, sample, seed, "place").select("key", "label", "place"))
-    rows = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(chosen, "key")
-    count = min(pairs.count(), sample)
-    shards = max(1, -(-count // SHARD_ROWS))
+    count = pairs.count()
+    # About `sample` rows of however many, so the broadcast has a bound whatever the tables hold.
+    taken = hash52("sample", seed, F.col("place")) < F.lit(HASH_SPACE * min(1.0, sample / max(count, 1)))
+    rows = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(F.broadcast(pairs.where(taken)), "key")
+    shards = max(1, -(-min(count, sample) // SHARD_ROWS))
     shard = F.pmod(hash52("shard", seed, F.col("place")), F.lit(shards)).alias("shard")
     dealt = (
         rows.select(shard, hash52("order", seed, F.col("place")).alias("at"), "text", "label")
-        .repartition(shards, "shard")
+        .repartition(4 * shards, "shard")
         .sortWithinPartitions("shard", "at", "text")
         .select("shard", "text", "label")
     )
     # One row of fixed size per shard, at most sample / SHARD_ROWS of them.
     total, weights = 0, np.zeros((1 << BITS) + 1)
-    for n, part in dealt.mapInPandas(_train_shards, "n long, weights binary").toLocalIterator():
+    for n, part in dealt.mapInPandas(_train_shards, "n long, weights binary").collect():
         total += n
         weights += n * np.frombuffer(part, "<f8")
     return weights / max(total, 1)
@@ -222,11 +202,11 @@ def score(text: Column, weights: np.ndarray) -> Column:
 
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words, bias = _Words(), float(weights[-1])
+        bias = float(weights[-1])
         for texts in parts:
             sums = np.empty(len(texts))
             for i, one in enumerate(texts):
-                places, values = vector(one, words)
+                places, values = vector(one)
                 sums[i] = weights[places] @ values + bias
             yield pd.Series(1.0 / (1.0 + np.exp(-sums)))
 
