@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import pairing, report, winrate
+from ..operators import pairing, report, resampling, winrate
 from . import tables
 from .registry import query, rounded
 from .tables import KEY, sql_hash, sql_r6, with_tables
@@ -36,20 +36,32 @@ def sql_bootstrap(source: str, value: str, order: str) -> str:
       group by run_id, seed"""
 
 
+def sql_counter_hash(source: str, columns: str) -> str:
+    """`columns` and `z`, the counter hash of `resampling.poisson_weights`, from `draw` and `replicate`."""
+    word = lambda x: f"(({x}) & 4294967295::ubigint)"
+
+    def mixed(rows: str, kept: str) -> str:
+        for shift, factor in zip(resampling.MIX_SHIFTS, resampling.MIX_FACTORS):
+            rows = f"select {kept}, {word(f'xor(z, z >> {shift}) * {factor}::ubigint')} as z from ({rows})"
+        return f"select {kept}, xor(z, z >> {resampling.MIX_SHIFTS[-1]}) as z from ({rows})"
+
+    start = f"xor({word('draw::ubigint')}, {word(f'replicate::ubigint * {resampling.COUNTER_STEP}::ubigint')})"
+    once = mixed(f"select {columns}, draw, {start} as z from {source}", f"{columns}, draw")
+    return mixed(f"select {columns}, {word('z + (draw::ubigint >> 32)')} as z from ({once})", columns)
+
+
 def sql_poisson(source: str, value: str, key: str) -> str:
-    """Row by row: weights from the key's hash, then weighted means per replicate."""
-    per = winrate.DRAWS_PER_DIGEST
+    """Row by row: weights from the key's hash and the replicate, then weighted means per replicate."""
     weight = " ".join(
-        f"when u >= {below} then {count + 1}" for count, below in reversed([*enumerate(winrate.POISSON_STEPS)])
+        f"when z >= {below} then {count + 1}" for count, below in reversed([*enumerate(resampling.POISSON_STEPS)])
     )
+    draws = f"""((select run_id, seed, {value} as value, {sql_hash('0', key)} as draw from {source})
+        cross join range(1, {winrate.REPLICATES + 1}) as r(replicate))"""
     return f"""select run_id, seed, quantile_cont(mean, 0.025) as ci_lo, quantile_cont(mean, 0.975) as ci_hi
-      from (select run_id, seed, block, i, sum(weight * value) / sum(weight) as mean
-        from (select run_id, seed, value, block, i, case {weight} else 0 end as weight
-          from (select run_id, seed, value, block, i, ('0x' || substr(digest, 8 * i + 1, 8))::bigint as u
-            from (select run_id, seed, {value} as value, block, md5('0:' || block || ':' || {key}) as digest
-              from {source} cross join range({winrate.REPLICATES // per}) as r(block))
-              cross join range({per}) as q(i)))
-        where weight > 0 group by run_id, seed, block, i)
+      from (select run_id, seed, replicate, sum(weight * value) / sum(weight) as mean
+        from (select run_id, seed, value, replicate, case {weight} else 0 end as weight
+          from ({sql_counter_hash(draws, 'run_id, seed, value, replicate')}))
+        where weight > 0 group by run_id, seed, replicate)
       group by run_id, seed"""
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from preflens.operators import diagnostics, winrate
+from preflens.operators import diagnostics, resampling, winrate
 from preflens.operators.ranking import with_position
 from tests import plain
 
@@ -111,23 +111,52 @@ def test_poisson_draws_match_brute_force(spark):
     df = spark.createDataFrame(rows, "run_id string, k int, v double")
     got = {r.run_id: r for r in winrate.bootstrap_ci_values(df, ["run_id"], "v", ["k"], 30, seed=2).collect()}
     steps = [sum(math.exp(-1) / math.factorial(i) for i in range(c + 1)) for c in range(11)]
+    word = 2**32
+
+    def mixed(z):
+        z = ((z ^ z >> 16) * 0x85EBCA6B) % word
+        z = ((z ^ z >> 13) * 0xC2B2AE35) % word
+        return z ^ z >> 16
+
+    def uniform(draw, b):
+        return mixed((mixed(draw % word ^ b * 0x9E3779B9 % word) + draw // word) % word) / word
+
     means = []
-    for b in range(30):
-        weights = []
-        for i in range(40):
-            digest = hashlib.md5(f"2:{b // 4}:{i}".encode()).hexdigest()
-            u = int(digest[8 * (b % 4) : 8 * (b % 4) + 8], 16) / 2**32
-            weights.append(sum(u >= step for step in steps))
+    for b in range(1, 31):
+        weights = [sum(uniform(plain.hash52(f"2:{i}"), b) >= step for step in steps) for i in range(40)]
         means.append(np.dot(weights, values) / sum(weights))
     lo, hi = np.quantile(means, [0.025, 0.975])
     assert set(got) == {"r"} and (got["r"].ci_lo, got["r"].ci_hi, got["r"].n) == (pytest.approx(lo), pytest.approx(hi), 40)
 
 
-def test_no_exchange_carries_rows_times_replicates(spark):
-    df = spark.range(2000).selectExpr("'r' as run_id", "id", "id * 1.0d as v")
-    plan = winrate.bootstrap_ci_values(df, ["run_id"], "v", ["id"], 40)._jdf.queryExecution().executedPlan().toString()
-    lines = plan.split("\n")
-    assert all("partial_" in lines[i + 1] or "Aggregate" in lines[i + 1] for i, line in enumerate(lines) if "Exchange hashpartitioning" in line)
+def test_weights_are_poisson_and_independent_between_rows():
+    drawn = np.array([resampling.poisson_weights(plain.hash52(f"0:{i}"), 4000) for i in range(200)])
+    for count in range(5):
+        assert (drawn == count).mean() == pytest.approx(math.exp(-1) / math.factorial(count), abs=2e-3)
+    between = np.corrcoef(drawn)
+    np.fill_diagonal(between, 0)
+    assert np.abs(between).max() < 0.09 and abs(np.corrcoef(drawn[:, :-1].ravel(), drawn[:, 1:].ravel())[0, 1]) < 5e-3
+
+
+def test_only_slices_of_sums_are_shuffled(spark, monkeypatch):
+    """Two tasks, three groups and four slices: 24 rows at most, however many rows and replicates there are."""
+    monkeypatch.setattr(resampling, "SLICE", 250)
+    df = spark.range(3000).repartition(2).selectExpr("id % 3 as g", "id", "id * 1.0d as v")
+    out = winrate.bootstrap_ci_values(df, ["g"], "v", ["id"], 1000)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+    means = resampling.resampled_means(df, ["g"], F.col("v"), ["id"], 1000, 0)
+    assert means.count() == 12 and means.selectExpr("sum(_n)", "sum(size(means))").first() == (3000, 3000)
+    assert all(abs(r.mean - 1499.5) < 2 and r.ci_lo < r.mean < r.ci_hi and r.n == 1000 for r in out.collect())
+
+
+def test_many_small_groups_and_null_keys(spark):
+    df = spark.range(400).selectExpr("if(id < 5, null, id % 200) as g", "'x' as h", "id", "cast(id as double) as v")
+    rows = winrate.bootstrap_ci_values(df, ["g", "h"], "v", ["id"], 20).collect()
+    assert len(rows) == 201 and sum(r.n for r in rows) == 400
+    one = next(r for r in rows if r.g == 3)
+    assert one.n == 1 and one.ci_lo == one.ci_hi == one.mean
+    assert winrate.bootstrap_ci_values(df.where("id < 0"), ["g"], "v", ["id"], 20).count() == 0
 
 
 def test_draws_match_brute_force_across_pieces(spark):
