@@ -35,6 +35,19 @@ def let2(first: Column, second: Column, body: Callable[[Column, Column], Column]
     return let(F.struct(first.alias("a"), second.alias("b")), lambda s: body(s["a"], s["b"]))
 
 
+def exact_mean(value: Column) -> Column:
+    """The mean of doubles, the same in whatever order and parts they are added.
+
+    Terms are added as decimals of 12 places. Means of values on a coarse grid, such
+    as scores of one decimal, often lie on a rounding edge, where the order of
+    floating-point additions would decide. NaN, infinite and huge terms make it a
+    plain mean.
+    """
+    fits = F.abs(value) < 1e15
+    odd = F.count_if(~fits)
+    return F.when(odd > 0, F.avg(value)).otherwise(F.avg(F.when(fits, value).cast("decimal(38,12)")).cast("double"))
+
+
 def fixed3(value: Column) -> Column:
     """A double with three decimals, rounded half-even on its exact binary value.
 

@@ -66,16 +66,66 @@ def ngrams(text: Column, n: int = NGRAM) -> Column:
     return let(word_tokens(text), lambda tokens: token_ngrams(tokens, n))
 
 
-def distinct_share(grams: Column) -> Column:
-    """Share of different entries of an array; 1.0 for an empty one."""
-    return F.when(F.size(grams) == 0, F.lit(1.0)).otherwise(
-        F.size(F.array_distinct(grams)) / F.size(grams)
+def _paired(items: Column, step: int) -> Column:
+    """A 64-bit hash of every entry with the one `step` places on; the last `step` hashes mean nothing."""
+    return let(
+        items,
+        lambda x: F.zip_with(
+            x, F.slice(x, step + 1, F.greatest(F.size(x) - step, F.lit(0))), lambda a, b: F.xxhash64(a, b)
+        ),
     )
 
 
+def _ngram_hashes(tokens: Column, n: int) -> Column:
+    """One hash per n-gram, from zips of windows whose width doubles."""
+    hashes, width = _paired(tokens, 1), 2
+    while width < n:
+        step = min(width, n - width)
+        hashes, width = _paired(hashes, step), width + step
+    return F.slice(hashes, F.lit(1), F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
+
+
+def _distinct_ngrams(tokens: Column, hashes: Column, n: int) -> Column:
+    """Number of different n-grams. Only n-grams whose hash repeats are compared by their words."""
+
+    def again(s: Column) -> Column:
+        """Places of the hashes that occur more than once, from (hash, place) in order."""
+        near = lambda x, k: F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
+        return F.filter(s, lambda x, k: near(x, k - 1) | near(x, k + 1))
+
+    def words(place: Column) -> Column:
+        return F.concat_ws(" ", *[F.get(tokens, place + k) for k in range(n)])
+
+    def counted(h: Column) -> Column:
+        ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        repeated = let(let(ordered, again), lambda r: F.size(F.array_distinct(F.transform(r, lambda x: words(x["i"])))) - F.size(r))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.size(h)).otherwise(F.size(h) + repeated)
+
+    return let(hashes, counted)
+
+
+def ngram_counts(text: Column, n: int = NGRAM) -> Column:
+    """A struct of the numbers of n-grams (`total`) and of different ones (`distinct`).
+
+    N-grams are hashes beside the tokens, not strings; memory is linear in the text.
+    """
+
+    def counts(tokens: Column) -> Column:
+        total = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+        different = F.size(F.array_distinct(tokens)) if n == 1 else _distinct_ngrams(tokens, _ngram_hashes(tokens, n), n)
+        return F.struct(total.alias("total"), different.alias("distinct"))
+
+    return let(word_tokens(text), counts)
+
+
+def distinct_share(counts: Column) -> Column:
+    """Share of different n-grams; 1.0 where there is none."""
+    return F.when(counts["total"] == 0, F.lit(1.0)).otherwise(counts["distinct"] / counts["total"])
+
+
 def distinct_n(text: Column, n: int = NGRAM) -> Column:
     """Share of distinct n-grams; 1.0 for a text of fewer than n words."""
-    return let(ngrams(text, n), distinct_share)
+    return let(ngram_counts(text, n), distinct_share)
 
 
 def repetition_penalty(text: Column, n: int = NGRAM) -> Column:

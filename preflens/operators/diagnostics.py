@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import losses, text
+from ..functions.columns import exact_mean
 from ..functions.verdicts import score_outcome
-from .lineage import materialise
 from .ranking import with_position
 
 # Fixed value: the largest correlation of length and score that passes unflagged.
@@ -22,6 +22,10 @@ def _mean(value: Column) -> Column:
     return F.coalesce(F.avg(value.cast("double")), F.lit(0.0))
 
 
+def _exact(value: Column) -> Column:
+    return F.coalesce(exact_mean(value), F.lit(0.0))
+
+
 def style_measures(completion: Column) -> dict[str, Column]:
     return {
         "header_rate": text.has_header(completion),
@@ -62,17 +66,18 @@ def length_reward_corr(
     """Spearman correlation of length and score by ordinal ranks.
 
     Equal values get different ranks, in key order; a single row gives 0.0. Both
-    ranks are exact positions found without gathering a run in one task.
+    ranks are exact positions found without gathering a run in one task; no job runs
+    before the result is asked for.
     """
     by, key = list(by), list(key)
     rows = scored.select(*by, *key, length, score).where(
         F.col(length).isNotNull() & F.col(score).isNotNull()
     )
-    # Written out once: ranking reads its input several times, and measuring the
-    # lengths may mean reading every text.
-    rows = materialise(rows)
+    # Measuring the lengths may mean reading every text: the narrow rows are dealt out
+    # once, and everything below reads that one shuffle.
+    rows = rows.repartition(*by, *key)
     ranked = with_position(rows, by, [length, *key], "length_rank")
-    ranked = with_position(ranked.drop(length), by, [score, *key], "score_rank")
+    ranked = with_position(ranked.drop(length), by, [score, *key], "score_rank", base=rows)
     rho = F.corr(F.col("length_rank").cast("double"), F.col("score_rank").cast("double"))
     return ranked.groupBy(*by).agg(
         F.when(F.count(F.lit(1)) == 1, F.lit(0.0)).otherwise(rho).alias("length_reward_corr")
@@ -106,8 +111,8 @@ def text_diagnostics(scored: DataFrame, by: Sequence[str], n: int = text.NGRAM)
     }
     features = scored.select(*by, "model_role", *[c.alias(m) for m, c in measures.items()])
     means = [
-        _mean(F.when(F.col("model_role") == role, F.col(m).cast("double"))).alias(f"{m}_{side}")
-        for m in measures
+        mean(F.when(F.col("model_role") == role, F.col(m).cast("double"))).alias(f"{m}_{side}")
+        for m, mean in ((m, _exact if m == "mean_rm_score" else _mean) for m in measures)
         for role, side in (("policy", "policy"), ("baseline", "reference"))
     ]
     prompts = F.count_if(F.col("model_role") == "policy").alias("n_prompts")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import losses, text
-from ..functions.columns import hash52
+from ..functions.columns import exact_mean, hash52
 from .lineage import materialise
 from .sampling import SEED, nested_fraction
 from .skew import join_lookup
@@ -129,8 +129,8 @@ def bt_loss(scored_pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     """Bradley-Terry loss and centring term, before its coefficient."""
     scores = F.col("score_chosen"), F.col("score_rejected")
     return scored_pairs.groupBy(*by).agg(
-        F.avg(losses.bradley_terry_loss(*scores)).alias("loss"),
-        F.avg(losses.centring_penalty(*scores)).alias("centring"),
+        exact_mean(losses.bradley_terry_loss(*scores)).alias("loss"),
+        exact_mean(losses.centring_penalty(*scores)).alias("centring"),
     )
 
 

@@ -11,7 +11,7 @@ from . import tables
 from .comparison import BY_SEED, judged
 from .features import STYLE_SQL, sql_distinct_of
 from .registry import query, r6, rounded
-from .tables import KEY, sql_r6, with_tables
+from .tables import KEY, sql_mean, sql_r6, with_tables
 
 RUN = ["run_id"]
 MEASURES = ("mean_rm_score", "distinct_4", *STYLE_SQL)
@@ -38,7 +38,7 @@ tables.CTES["v_text_diagnostics"] = (
     ("v_scores",),
     "select run_id, count(*) filter (model_role = 'policy') as n_prompts, "
     + ", ".join(
-        f"avg({m}) filter (model_role = '{role}') as {m}_{side}"
+        f"{sql_mean(m, f"model_role = '{role}'") if m == 'mean_rm_score' else f"avg({m}) filter (model_role = '{role}')"} as {m}_{side}"
         for m in MEASURES
         for role, side in (("policy", "policy"), ("baseline", "reference"))
     )

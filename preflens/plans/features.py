@@ -79,11 +79,11 @@ def word_tokens(spark, sf_dir) -> DataFrame:
       from (select doc_id, {sql_words('text')} as words from documents))""",
 )
 def distinct_n(spark, sf_dir) -> DataFrame:
-    grams = tables.documents(spark, sf_dir).select("doc_id", text.ngrams(F.col("text")).alias("grams"))
-    return grams.select(
+    counts = tables.documents(spark, sf_dir).select("doc_id", text.ngram_counts(F.col("text")).alias("counts"))
+    return counts.select(
         "doc_id",
-        F.size("grams").cast("bigint").alias("n_grams"),
-        r6(text.distinct_share(F.col("grams"))).alias("distinct_4"),
+        F.col("counts.total").cast("bigint").alias("n_grams"),
+        r6(text.distinct_share(F.col("counts"))).alias("distinct_4"),
     )
 
 

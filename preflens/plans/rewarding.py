@@ -13,7 +13,7 @@ from ..sources.tables import select_split
 from . import tables
 from .features import STYLE_SQL
 from .registry import query, r6, rounded
-from .tables import sql_hash, sql_r6, with_tables
+from .tables import sql_hash, sql_mean, sql_r6, with_tables
 
 GROUP = ["run_id", "prompt_id"]
 LENGTH_WEIGHT = 0.5
@@ -93,7 +93,7 @@ SOFT = "greatest(-d, 0) + ln(1 + exp(-abs(d)))"
     "bt_loss",
     with_tables(
         "v_rm_pairs",
-        f"""select run_id, split, {sql_r6(f'avg({SOFT})')} as loss, {sql_r6('avg(s * s)')} as centring
+        f"""select run_id, split, {sql_r6(sql_mean(SOFT))} as loss, {sql_r6(sql_mean('s * s'))} as centring
         from (select run_id, split, score_chosen - score_rejected as d,
             score_chosen + score_rejected as s from v_rm_pairs)
         group by run_id, split""",

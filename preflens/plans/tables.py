@@ -283,6 +283,12 @@ def sql_r6(expression: str) -> str:
     return f"(round({expression}, 6) + 0.0e0)"
 
 
+def sql_mean(value: str, where: str = "true") -> str:
+    """`exact_mean`: added as decimals, unless some term is none."""
+    return f"""case when bool_or(not coalesce(abs({value}) < 1e15, true)) filter ({where}) then avg({value}) filter ({where})
+      else avg(case when abs({value}) < 1e15 then ({value})::decimal(38, 12) end) filter ({where}) end"""
+
+
 def sql_run(prompt_id: str) -> str:
     names = ", ".join(f"'{r}'" for r in POLICY_RUNS)
     return f"([{names}])[({prompt_id}) % 9 + 1]"

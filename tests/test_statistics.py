@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from preflens.operators import diagnostics, resampling, winrate
+from preflens.functions.columns import exact_mean
+from preflens.operators import diagnostics, ranking, resampling, winrate
 from preflens.operators.ranking import with_position
 from tests import plain
 
@@ -35,10 +36,45 @@ def test_positions_equal_row_numbers(spark, skewed, partitions):
     assert joined.where((F.col("position") != F.col("want")) | (F.col("n") != F.col("size"))).count() == 0
 
 
-def test_a_big_group_is_spread_over_ranges(spark, skewed):
-    ranged = skewed.repartitionByRange(8, "g", "v", "id").withColumn("p", F.spark_partition_id())
-    sizes = [r["count"] for r in ranged.groupBy("p").count().collect()]
-    assert len(sizes) == 8 and max(sizes) < 2 * 6000 / 8
+@pytest.mark.parametrize("rows_per_range", [3000, 100, 3])
+def test_positions_over_many_ranges(spark, skewed, monkeypatch, rows_per_range):
+    """Few, many and the most ranges; equal, null and NaN values; a null group."""
+    monkeypatch.setattr(ranking, "ROWS_PER_RANGE", rows_per_range)
+    value = F.when(F.col("id") % 11 == 0, float("nan")).when(F.col("id") % 13 > 0, F.col("v") * 0.5)
+    rows = skewed.select(F.when(F.col("g") != "g7", F.col("g")).alias("g"), "id", value.alias("v")).repartition(9)
+    window = Window.partitionBy("g").orderBy("v", "id")
+    got = with_position(rows, ["g"], ["v", "id"], "position", "n")
+    want = rows.withColumn("want", F.row_number().over(window) - 1).select("id", "want")
+    assert got.join(want, "id").where("position = want").count() == 6000
+    assert {r.n for r in got.where("g is null").collect()} == {rows.where("g is null").count()}
+    ranges = ranking._cut_points(rows, ["g"], ["v", "id"]).where("g = 'big'").select(F.size("_cuts")).first()
+    assert ranges[0] == min(1024, -(-4000 // rows_per_range)) - 1
+
+
+def test_ranges_of_a_big_group_are_even(spark, skewed, monkeypatch):
+    monkeypatch.setattr(ranking, "ROWS_PER_RANGE", 200)
+    cuts = ranking._cut_points(skewed, ["g"], ["v", "id"]).where("g = 'big'")
+    ranged = skewed.where("g = 'big'").join(cuts, "g").select(ranking._range_of(F.col("_cuts"), F.struct("v", "id")).alias("r"))
+    sizes = [r["count"] for r in ranged.groupBy("r").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 3 * 200
+
+
+def test_building_a_ranking_starts_no_job_and_writes_nothing(spark, skewed):
+    rows = skewed.withColumn("s", F.col("v") * 0.5)
+    spark.sparkContext.setJobGroup("building", "")
+    built = diagnostics.length_reward_corr(rows, ["g"], ["id"], length="v", score="s")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "Generate" not in plan
+
+
+def test_exact_means(spark):
+    values = [0.1] * 10 + [0.7, -0.3, 1e12]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", float("nan")), ("b", 1.0), ("c", None), ("d", 1e300)], "g string, v double")
+    means = [{r.g: r.m for r in df.repartition(n).groupBy("g").agg(exact_mean(F.col("v")).alias("m")).collect()} for n in (1, 4, 13)]
+    assert means[0]["a"] == means[1]["a"] == means[2]["a"] == pytest.approx(sum(values) / 13)
+    assert math.isnan(means[0]["b"]) and means[0]["c"] is None and means[0]["d"] == 1e300
 
 
 def test_spearman_by_ordinal_rank(spark):

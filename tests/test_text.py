@@ -9,7 +9,7 @@ from tests import plain
 DOCUMENTS = "/root/testdata/sf0.001/documents.parquet"
 
 EDGES = [
-    "", "one", "one two three", "a b c d", "a b c d e", "Élan_9 naïve 中文 x_1 42", "a b c d " * 30,
+    "", "one", "one two three", "a b c d", "a b c d e", "Élan_9 naïve 中文 x_1 42", "la di da " * 25,
     "## head", "   # head", "    # head", "text\n## head\nmore", "text\r## head", "mid ## head", "#nohead",
     "####### seven", " # nbsp head", "- item", "text\n   * item", "text\r- item", " - x", "-item",
     "1 - 2", "+ plus", "Certainly! yes", "écertainly", "certainly_", "well, GREAT question?", "happy to help",
@@ -29,7 +29,7 @@ def rows(spark):
         text.ngrams(c).alias("grams"),
         text.ngrams(c, 1).alias("unigrams"),
         text.distinct_n(c).alias("distinct"),
-        text.distinct_n(c, 2).alias("distinct_2"),
+        *[text.distinct_n(c, n).alias(f"distinct_{n}") for n in (1, 2, 3, 5, 7)],
         text.repetition_penalty(c).alias("repetition"),
         text.length_penalty(c, 100).alias("length_penalty"),
         text.has_header(c).alias("header"),
@@ -49,11 +49,28 @@ def test_words_and_ngrams(rows):
         assert row.grams == plain.grams(source)
         assert row.unigrams == plain.words(source)
         assert row.distinct == pytest.approx(plain.distinct(source))
-        assert row.distinct_2 == pytest.approx(plain.distinct(source, 2))
+        for n in (1, 2, 3, 5, 7):
+            assert row[f"distinct_{n}"] == pytest.approx(plain.distinct(source, n))
         assert row.repetition == pytest.approx(plain.distinct(source) - 1)
         assert row.chars == len(source)
 
 
+def test_equal_hashes_are_told_apart_by_words(spark):
+    """All hashes forced to be equal, or equal for one first word."""
+    c = F.split("t", " ")
+    df = spark.createDataFrame([("a b a b a c a b",), ("x",), ("a a a a",)], "t string")
+    for modulus in (1, 2, 3):
+        hashes = F.transform(F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0))), lambda w: F.ascii(w) % modulus)
+        got = [r[0] for r in df.select(text._distinct_ngrams(c, hashes, 2)).collect()]
+        assert got == [4, 0, 1]
+
+
+def test_distinct_share_of_a_million_words(spark):
+    long = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(1_000_000)), lambda i: F.concat(F.lit("w"), i % 1000)))
+    row = spark.range(1).select(text.ngram_counts(long).alias("c")).first().c
+    assert (row.total, row.distinct) == (999_997, 1000)
+
+
 def test_caps_keep_head_and_tail(rows):
     for source, row in rows:
         w = plain.words(source)
