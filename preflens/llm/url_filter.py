@@ -186,7 +186,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "page_id
     )
     rows = saved(rows.withColumn("row_id", F.monotonically_increasing_id()))
     labelled = rows.where("verdict is not null")
-    held_out = F.pmod(F.xxhash64("row_id"), F.lit(FOLDS)) == 0
+    held_out = F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0
     tuning = _scores(labelled, ~held_out).join(labelled.where(held_out).select("row_id", "verdict"), "row_id")
     limit = threshold(tuning)
     scores = _scores(rows, F.col("verdict").isNotNull())

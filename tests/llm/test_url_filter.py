@@ -76,3 +76,9 @@ def test_odd_rows_and_missing_classes(spark):
     out = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in u.judge(pages).collect() if r.rule is None)
     assert [o[0] for o in out] == [1, 1, 2, 4] and {o[4] for o in out} <= {"allow", "block"} and out[0] == out[1]
     assert u.judge(pages.where("page_id > 9")).count() == 0
+
+
+def test_verdicts_depend_on_urls_alone(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    results = [u.judge(pages.repartition(n)).select("page_id", "verdict", "threshold").collect() for n in (1, 5)]
+    assert sorted(map(tuple, results[0])) == sorted(map(tuple, results[1]))
