@@ -31,10 +31,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def let2(first: Column, second: Column, body: Callable[[Column, Column], Column]) -> Column:
-    return let(F.struct(first.alias("a"), second.alias("b")), lambda s: body(s["a"], s["b"]))
-
-
 def exact_mean(value: Column) -> Column:
     """The mean of doubles, the same in whatever order and parts they are added.
 

@@ -91,11 +91,44 @@ def token_kl(logits: DataFrame, by: Sequence[str]) -> DataFrame:
     `total_tokens` describe the truncated text: positions cut off do not count,
     and neither do prompts that leave no room for an answer.
     """
-    kept = logits.where(F.col("prompt_tokens") + F.col("pos") < F.col("total_tokens"))
     kl = losses.token_kl(F.col("policy"), F.col("reference"))
-    return kept.groupBy(*by).agg(
-        _mean(kl).alias("kl_from_reference"), F.count(F.lit(1)).alias("tokens")
+    return _mean_kl(_kept_positions(logits).select(*by, kl.alias("_kl")), by)
+
+
+def token_kl_sharded(
+    logits: DataFrame, by: Sequence[str], position: Sequence[str], shard: str, vocabulary: int | None = None
+) -> DataFrame:
+    """token_kl of logits stored in parts of the vocabulary, one row per position and part.
+
+    Each part leaves six numbers where it lies, and only these are shuffled; a
+    position's few states are merged in the order of `shard`. Positions whose parts
+    do not add up to `vocabulary` entries (by default, as
+    many as the group's largest has) fail the job, as do parts of different lengths.
+    """
+    state = losses.softmax_state("policy", "reference")
+    parts = _kept_positions(logits).select(*by, *position, F.col(shard).alias("_shard"), state.alias("_state"))
+    states = F.transform(F.array_sort(F.collect_list(F.struct("_shard", "_state"))), lambda s: s["_state"])
+    whole = parts.groupBy(*by, *position).agg(losses.merged_states(states).alias("_state"))
+    sizes = whole.select(*by, F.col("_state.size").alias("_size"), losses.kl_of_state(F.col("_state")).alias("_kl"))
+    found = sizes.groupBy(*by).agg(
+        _mean(F.col("_kl")).alias("kl_from_reference"),
+        F.count(F.lit(1)).alias("tokens"),
+        F.min("_size").alias("_least"),
+        F.max("_size").alias("_most"),
     )
+    wanted = F.col("_most") if vocabulary is None else F.lit(vocabulary)
+    missing = F.raise_error(F.lit("token_kl: parts of a position's logits are missing")).cast("double")
+    complete = (F.col("_least") == wanted) & (F.col("_most") == wanted)
+    kl = F.when(complete | F.col("_least").isNull(), F.col("kl_from_reference")).otherwise(missing)
+    return found.select(*by, kl.alias("kl_from_reference"), "tokens")
+
+
+def _kept_positions(logits: DataFrame) -> DataFrame:
+    return logits.where(F.col("prompt_tokens") + F.col("pos") < F.col("total_tokens"))
+
+
+def _mean_kl(tokens: DataFrame, by: Sequence[str]) -> DataFrame:
+    return tokens.groupBy(*by).agg(_mean(F.col("_kl")).alias("kl_from_reference"), F.count(F.lit(1)).alias("tokens"))
 
 
 def text_diagnostics(scored: DataFrame, by: Sequence[str], n: int = text.NGRAM) -> DataFrame:

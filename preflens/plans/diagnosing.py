@@ -105,6 +105,18 @@ def token_kl(spark, sf_dir) -> DataFrame:
     return rounded(diagnostics.token_kl(tables.logits(spark, sf_dir), RUN), "kl_from_reference")
 
 
+@query(
+    "token_kl_sharded",
+    with_tables(
+        "v_kl", f"select run_id, {sql_r6('kl_from_reference')} as kl_from_reference, tokens from v_kl"
+    ),
+)
+def token_kl_sharded(spark, sf_dir) -> DataFrame:
+    """The same from logits that lie in four parts of the vocabulary."""
+    parts = tables.logits_in_parts(spark, sf_dir)
+    return rounded(diagnostics.token_kl_sharded(parts, RUN, ["prompt_id", "pos"], "shard", 64), "kl_from_reference")
+
+
 @query(
     "diagnostics_row",
     with_tables(

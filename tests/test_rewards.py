@@ -184,6 +184,40 @@ def test_token_kl_is_stable(spark):
     assert out == [pytest.approx(1000.0), 0.0]
 
 
+def test_masked_and_missing_logits(spark):
+    low = -math.inf
+    df = spark.createDataFrame(
+        [(1, [0.0, low, 1.0], [0.0, 2.0, 1.0]), (2, [], []), (3, None, [1.0]), (4, [0.0, 0.0], [0.0, low])],
+        "i int, p array<double>, q array<double>",
+    )
+    out = {r.i: r.k for r in df.select("i", losses.token_kl(F.col("p"), F.col("q")).alias("k")).collect()}
+    assert out[1] == pytest.approx(math.log(1 + math.e + math.e**2) - math.log(1 + math.e)) and out[3] is None
+    assert out[4] == math.inf and out[2] is None
+
+
+def test_sharded_logits_give_the_same_kl(spark):
+    """A vocabulary of 1,500 entries in parts of very different sizes and magnitudes."""
+    rng = np.random.default_rng(1)
+    rows, want = [], []
+    for pos in range(5):
+        p, q = rng.normal(scale=[1, 20, 300, 3, 3][pos], size=(2, 1_500))
+        want.append(plain.kl(p, q))
+        for shard, part in enumerate(np.split(np.arange(1_500), [1, 70, 1_400, 1_400])):
+            rows.append((pos, "r", 0, 5, shard, p[part].tolist(), q[part].tolist()))
+    schema = "pos int, run_id string, prompt_tokens int, total_tokens int, shard int, policy array<double>, reference array<double>"
+    df = spark.createDataFrame(rows, schema)
+    got = diagnostics.token_kl_sharded(df.repartition(7), ["run_id"], ["pos"], "shard").first()
+    assert got.tokens == 5 and got.kl_from_reference == pytest.approx(np.mean(want), rel=1e-9)
+    lost = df.where("pos <> 2 or shard <> 1")
+    with pytest.raises(Exception, match="parts of a position's logits are missing"):
+        diagnostics.token_kl_sharded(lost, ["run_id"], ["pos"], "shard").collect()
+    with pytest.raises(Exception, match="missing"):
+        diagnostics.token_kl_sharded(df.where("shard <> 1"), ["run_id"], ["pos"], "shard", 1_500).collect()
+    uneven = df.withColumn("reference", F.slice("reference", 1, 60))
+    with pytest.raises(Exception, match="differ in length"):
+        diagnostics.token_kl_sharded(uneven, ["run_id"], ["pos"], "shard").collect()
+
+
 def test_rm_win_rate_compares_exactly(spark):
     nan = math.nan
     df = spark.createDataFrame(
