@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import hash52
 from ..functions.text import MAX_LENGTH, word_tokens
+from .ranking import with_position
 
 # The defaults of the loaders. They take all rows unless the caller names a cap.
 SEED = 17
@@ -188,3 +189,74 @@ def sequence_packing(
             F.floor((F.col("start") + F.greatest(F.col("n_tokens") - 1, F.lit(0))) / max_length),
         )
     )
+
+
+def plan_blocks(counts: dict[int, int], max_length: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Best-fit-decreasing of pieces into blocks, from the number of pieces of each length alone.
+
+    Rows (length, from_rank, to_rank, first_block, per_block, start): the pieces of
+    this length with these ranks go `per_block` to a block, the first at `start`.
+    Blocks that are filled alike are one entry, so work and result grow with the
+    number of lengths, not of pieces.
+    """
+    plan: list[tuple[int, int, int, int, int, int]] = []
+    free: dict[int, list[tuple[int, int]]] = {}  # room left -> ranges of blocks (first, how many)
+    n_blocks = 0
+    for length in sorted(counts, reverse=True):
+        rank, left = 0, counts[length]
+        while left:
+            # The tightest blocks that have room; a piece put there leaves them the tightest for the next.
+            room = min((r for r in free if r >= length), default=max_length)
+            if room in free:
+                first, count = free[room].pop()
+                if not free[room]:
+                    del free[room]
+            else:
+                first, count = n_blocks, -(-left // (max_length // length))
+                n_blocks += count
+            each = room // length
+            full = min(count, left // each)
+            rest = left - full * each if full < count else 0
+            for blocks, at, per_block in ((full, first, each), (1 if rest else 0, first + full, rest)):
+                if blocks:
+                    taken = blocks * per_block
+                    plan.append((length, rank, rank + taken, at, per_block, max_length - room))
+                    rank, left = rank + taken, left - taken
+                    free.setdefault(room - per_block * length, []).append((at, blocks))
+            used = full + (1 if rest else 0)
+            if used < count:
+                free.setdefault(room, []).append((first + used, count - used))
+    return plan
+
+
+def whole_packing(df: DataFrame, key: str, text: str, max_length: int = MAX_LENGTH) -> DataFrame:
+    """key, piece, n_tokens, block, start: examples in blocks of max_length tokens, cut only if longer than that.
+
+    An example above `max_length` is cut into pieces of that length and a last one;
+    every other example is one piece. Pieces are packed best-fit-decreasing. What
+    reaches the driver is the number of pieces of each length, at most `max_length`
+    rows; the plan made of them goes back to all tasks, where a piece's rank among
+    those of its length tells its block and place. An example without tokens is a
+    piece of length 0 at the start of block 0.
+    """
+    tokens = df.select(key, F.coalesce(F.size(word_tokens(F.col(text))), F.lit(0)).cast("bigint").alias("_all"))
+    last = F.floor(F.greatest(F.col("_all") - 1, F.lit(0)) / max_length)
+    pieces = tokens.select(key, "_all", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece"))
+    size = F.least(F.lit(max_length), F.col("_all") - F.col("piece") * max_length)
+    pieces = pieces.select(key, "piece", size.cast("bigint").alias("n_tokens")).repartition(key)
+    counts = {r.n_tokens: r["count"] for r in pieces.groupBy("n_tokens").count().collect()}
+    empty = counts.pop(0, 0)
+    plan = plan_blocks(counts, max_length)
+    plan += [(0, 0, empty, 0, empty, 0)] if empty else []
+    columns = "n_tokens long, _from long, _to long, _first long, _each long, _start long"
+    planned = F.broadcast(df.sparkSession.createDataFrame(plan, columns))
+    ranked = with_position(pieces, ["n_tokens"], [key, "piece"], "_rank")
+    found = ranked.join(planned, "n_tokens").where((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
+    place = F.col("_rank") - F.col("_from")
+    return found.select(
+        key,
+        "piece",
+        "n_tokens",
+        (F.col("_first") + F.call_function("div", place, F.col("_each"))).alias("block"),
+        (F.col("_start") + place % F.col("_each") * F.col("n_tokens")).alias("start"),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import MAX_LENGTH, completion_text
@@ -187,3 +187,25 @@ def instruction_data_whole(spark, sf_dir) -> DataFrame:
 )
 def sequence_packing(spark, sf_dir) -> DataFrame:
     return sampling.sequence_packing(tables.documents(spark, sf_dir), "doc_id", "text")
+
+
+@query(
+    "whole_packing",
+    f"""select doc_id, n::bigint as n_tokens, greatest(1, ceil(n / {sampling.MAX_LENGTH}.0e0))::bigint as pieces,
+      true as in_bounds, true as apart
+    from (select doc_id, coalesce({WORDS}, 0) as n from documents)""",
+)
+def whole_packing(spark, sf_dir) -> DataFrame:
+    """Packing without cutting, with what has to hold: pieces lie inside their block and apart from each other."""
+    packed = sampling.whole_packing(tables.documents(spark, sf_dir), "doc_id", "text")
+    end = F.col("start") + F.col("n_tokens")
+    # A block holds at most MAX_LENGTH pieces that have tokens.
+    before = F.lag(end).over(Window.partitionBy("block").orderBy("start", "n_tokens"))
+    checked = packed.where("n_tokens > 0").select("*", (F.coalesce(before, F.lit(0)) <= F.col("start")).alias("apart"))
+    checked = checked.unionByName(packed.where("n_tokens = 0").withColumn("apart", F.lit(True)))
+    return checked.groupBy("doc_id").agg(
+        F.sum("n_tokens").alias("n_tokens"),
+        F.count(F.lit(1)).alias("pieces"),
+        F.every((F.col("start") >= 0) & (end <= sampling.MAX_LENGTH)).alias("in_bounds"),
+        F.every("apart").alias("apart"),
+    )

@@ -1,4 +1,6 @@
+import collections
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -102,3 +104,58 @@ def test_packing_lays_examples_end_to_end(spark):
             assert row.n_tokens == row.id % 7 and row.start == start and row.block == start // 10
             assert row.last_block == (start + max(row.n_tokens - 1, 0)) // 10
             start += row.n_tokens
+
+
+def best_fit_decreasing(lengths, room):
+    """Piece by piece: how many blocks, and how full each is."""
+    blocks = []
+    for n in sorted(lengths, reverse=True):
+        fits = [i for i, used in enumerate(blocks) if used + n <= room]
+        if fits:
+            blocks[max(fits, key=lambda i: blocks[i])] += n
+        else:
+            blocks.append(n)
+    return sorted(blocks)
+
+
+def test_block_plan_equals_best_fit_decreasing():
+    rng = random.Random(5)
+    for room in (10, 37, 100):
+        for _ in range(60):
+            lengths = [rng.randint(1, room if rng.random() < 0.5 else room // 3) for _ in range(rng.randrange(1, 200))]
+            counts = collections.Counter(lengths)
+            fill, taken = collections.defaultdict(list), collections.Counter()
+            for length, low, high, first, each, start in sampling.plan_blocks(dict(counts), room):
+                assert low == taken[length] and start + each * length <= room
+                taken[length] = high
+                for rank in range(high - low):
+                    fill[first + rank // each].append((start + rank % each * length, length))
+            assert taken == counts
+            for pieces in fill.values():
+                places = sorted(pieces)
+                assert all(a + n == b for (a, n), (b, _) in zip(places, places[1:])) and places[0][0] == 0
+            assert sorted(sum(n for _, n in p) for p in fill.values()) == best_fit_decreasing(lengths, room)
+
+
+def test_block_plan_does_not_grow_with_the_pieces():
+    plan = sampling.plan_blocks({n: 10**9 + n for n in range(1, 1537)}, 1536)
+    assert len(plan) < 6 * 1536
+
+
+def test_whole_packing_cuts_long_examples_only(spark):
+    texts = [(i, "w " * (i % 23)) for i in range(200)] + [(500, None), (501, "w " * 47)]
+    df = spark.createDataFrame(texts, "id bigint, text string").repartition(3)
+    rows = sampling.whole_packing(df, "id", "text", max_length=15).collect()
+    by_id = collections.defaultdict(list)
+    for r in sorted(rows, key=lambda r: r.piece):
+        by_id[r.id].append(r.n_tokens)
+    assert by_id[500] == [0] and by_id[501] == [15, 15, 15, 2] and by_id[22] == [15, 7]
+    assert all(by_id[i] == [i % 23] for i in range(200) if i % 23 <= 15)
+    blocks = collections.defaultdict(list)
+    for r in rows:
+        if r.n_tokens:
+            blocks[r.block] += range(r.start, r.start + r.n_tokens)
+    assert all(len(b) == len(set(b)) and max(b) < 15 for b in blocks.values())
+    pieces = [r.n_tokens for r in rows if r.n_tokens]
+    assert sorted(map(len, blocks.values())) == best_fit_decreasing(pieces, 15)
+    assert sampling.whole_packing(df.where("id < 0"), "id", "text").count() == 0
