@@ -1,4 +1,5 @@
 import collections
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -53,3 +54,13 @@ def test_empty_table_and_a_clashing_ledger_name(no_documents, documents):
     assert q.apply_policy(no_documents).count() == 0
     both = documents.withColumn("ledger", F.lit("mine"))
     assert q.apply_policy(both).columns == both.columns
+
+
+def test_scripts_without_spaces_are_kept(spark):
+    rng = random.Random(6)
+    chinese = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(rng.randrange(110, 200))) for _ in range(14)]
+    japanese = ["".join(chr(rng.randrange(0x3041, 0x3096)) for _ in range(rng.randrange(110, 200))) for _ in range(14)]
+    docs = spark.createDataFrame([(1, "\n".join(chinese), "mine"), (2, "\n".join(japanese), "mine"), (3, "short", "mine")], "doc_id long, text string, __ledger string")
+    kept = q.apply_policy(docs)
+    assert kept.columns == docs.columns and {(r.doc_id, r["__ledger"]) for r in kept.collect()} == {(1, "mine"), (2, "mine")}
+    assert q.apply_policy(docs, q.STRICT).count() == 0 and q.apply_policy(docs, q.BASE).count() == 2
