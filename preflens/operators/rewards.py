@@ -7,16 +7,16 @@ from functools import reduce
 from typing import Any
 
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import losses, text
 from ..functions.columns import exact_mean, hash52
 from .lineage import materialise
-from .sampling import SEED, nested_fraction
+from .logistic import Fit, logistic_fits
+from .sampling import SEED, nested_fraction, nested_share
 from .skew import join_lookup
 
 # Our choices where the formulas leave them open.
@@ -277,6 +277,55 @@ def rm_design_sums(
     return reduce(DataFrame.unionByName, rows)
 
 
+# The penalty on the weights of a linear reward model.
+RM_PENALTY = 0.01
+
+
+def rm_fits(
+    gaps: DataFrame,
+    key: str = "pair_id",
+    fractions: Sequence[float] = RM_FRACTIONS,
+    seed: int = SEED,
+    width: int = len(STYLE_FEATURES) + WORD_FEATURES,
+    max_iter: int = 200,
+) -> dict[float, Fit]:
+    """Weights of a linear Bradley-Terry scorer for each nested share of the pairs' feature gaps.
+
+    P(chosen beats rejected) = sigmoid(w . (features(chosen) - features(rejected))),
+    a logistic regression without intercept. Half of the differences, picked by
+    hash, are negated and labelled 0: the loss is the same, and both labels
+    occur. All shares are fitted in the same passes over `gaps`, each pass being
+    one aggregation, so `gaps` should be stored.
+    """
+    order = sorted(set(fractions))
+    train = rm_training_rows(gaps, key)
+    rows = train.select("label", "features", nested_share(train, order, seed, key).alias("share")).where("share is not null")
+    return dict(zip(order, logistic_fits(rows, order, width, RM_PENALTY, max_iter)))
+
+
+def rm_style_weights(
+    pairs: DataFrame,
+    features: Sequence[str] = STYLE_FEATURES,
+    key: str = "pair_id",
+    fractions: Sequence[float] = RM_FRACTIONS,
+    seed: int = SEED,
+    train_split: str = "train_prefs",
+    max_iter: int = 200,
+) -> DataFrame:
+    """rm_pair_fraction, n_train_pairs, feature, weight: what style alone tells about the chosen answer."""
+    gaps = rm_feature_gaps(pairs.where(F.col("split") == train_split), key)
+    style = F.array(*[F.col("gap")[STYLE_FEATURES.index(name)] for name in features])
+    fits = rm_fits(materialise(gaps.select(key, style.alias("gap"))), key, fractions, seed, len(features), max_iter)
+    rows = [
+        (float(fraction), fit.n, name, float(weight))
+        for fraction, fit in fits.items()
+        for name, weight in zip(features, fit.weights)
+    ]
+    return pairs.sparkSession.createDataFrame(
+        rows, "rm_pair_fraction double, n_train_pairs bigint, feature string, weight double"
+    )
+
+
 def rm_linear_fit(
     pairs: DataFrame,
     key: str = "pair_id",
@@ -286,37 +335,32 @@ def rm_linear_fit(
     eval_split: str = "test_prefs",
     max_iter: int = 200,
 ) -> DataFrame:
-    """Fit a linear Bradley-Terry scorer on nested shares of the training pairs.
+    """How well linear scorers fitted on nested shares of the training pairs rank the held-out pairs.
 
-    P(chosen beats rejected) = sigmoid(w . (features(chosen) - features(rejected))),
-    a logistic regression without intercept. Half of the differences, picked by
-    hash, are negated and labelled 0: the loss is the same, and both labels
-    occur. Features are computed once and written out, since each of the fits
-    passes over them many times. One row per share; `converged` tells whether the
-    fit ended before `max_iter` steps. The penalty on the weights is 0.01.
+    See `rm_fits`. Features are computed once and written out. One row per share;
+    `converged` tells whether the fit ended before `max_iter` passes.
     """
     gaps = materialise(rm_feature_gaps(pairs, key))
     held_out = gaps.where(F.col("split") == eval_split)
-    train = rm_training_rows(gaps.where(F.col("split") == train_split), key)
-    model = LogisticRegression(fitIntercept=False, regParam=0.01, maxIter=max_iter)
+    fits = rm_fits(gaps.where(F.col("split") == train_split), key, fractions, seed, max_iter=max_iter)
+
+    def margin(fit: Fit) -> Column:
+        weights = F.array(*[F.lit(float(w)) for w in fit.weights])
+        return F.aggregate(F.zip_with("gap", weights, lambda v, w: v * w), F.lit(0.0), lambda acc, v: acc + v)
 
-    rows = None
+    rows = []
     for fraction in fractions:
-        chosen = nested_fraction(train, fraction, seed, key)
-        fitted = model.fit(chosen.select("label", array_to_vector("features").alias("features")))
-        weights = F.array(*[F.lit(float(w)) for w in fitted.coefficients])
-        margin = F.aggregate(
-            F.zip_with("gap", weights, lambda v, w: v * w), F.lit(0.0), lambda acc, v: acc + v
-        )
-        scored = held_out.select(margin.alias("score_chosen"), F.lit(0.0).alias("score_rejected"))
-        row = rm_pair_accuracy(scored, []).select(
-            F.lit(float(fraction)).alias("rm_pair_fraction"),
-            chosen.agg(F.count(F.lit(1))).scalar().alias("n_train_pairs"),
-            F.col("n_pairs").alias("n_eval_pairs"),
-            "n_ties",
-            "eval_accuracy",
-            F.lit(fitted.summary.totalIterations).alias("iterations"),
-            F.lit(fitted.summary.totalIterations < max_iter).alias("converged"),
+        fit = fits[fraction]
+        scored = held_out.select(margin(fit).alias("score_chosen"), F.lit(0.0).alias("score_rejected"))
+        rows.append(
+            rm_pair_accuracy(scored, []).select(
+                F.lit(float(fraction)).alias("rm_pair_fraction"),
+                F.lit(fit.n).cast("bigint").alias("n_train_pairs"),
+                F.col("n_pairs").alias("n_eval_pairs"),
+                "n_ties",
+                "eval_accuracy",
+                F.lit(fit.steps).alias("iterations"),
+                F.lit(fit.converged).alias("converged"),
+            )
         )
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
+    return reduce(DataFrame.unionByName, rows)

@@ -87,12 +87,26 @@ def nested_fraction(
     """
     if fraction >= 1.0:
         return seeded_subsample(df, max_samples, seed, key)
+    return df.where(_first_in_hash_order(df, key, seed, _fraction_of(fraction, max_samples)))
 
+
+def _fraction_of(fraction: float, max_samples: int | None) -> Callable[[Column], Column]:
     def target(total: Column) -> Column:
         available = total if max_samples is None else F.least(total, F.lit(max_samples))
         return F.greatest(F.lit(1), F.floor(available * F.lit(float(fraction))))
 
-    return df.where(_first_in_hash_order(df, key, seed, target))
+    return target
+
+
+def nested_share(df: DataFrame, fractions: Sequence[float], seed: int, key: str) -> Column:
+    """The number of the first of the rising fractions whose nested sample holds the row; null if none does."""
+    share = F.lit(None).cast("int")
+    for number, fraction in reversed(list(enumerate(fractions))):
+        inside = F.lit(True)
+        if fraction < 1.0:
+            inside = _first_in_hash_order(df, key, seed, _fraction_of(fraction, None))
+        share = F.when(inside, F.lit(number)).otherwise(share)
+    return share
 
 
 def train_eval_split(

@@ -189,9 +189,80 @@ def rm_design_sums(spark, sf_dir) -> DataFrame:
     return rounded(sums.drop("distinct_4"), *_DESIGN)
 
 
+# The style features that SQL repeats, and Newton steps enough to converge from zero weights.
+_STYLE = tuple(_DESIGN)
+_NEWTON_STEPS = 9
+
+
+def _style_fit_sql() -> str:
+    """The same minimum by Newton steps written out: sums, elimination and substitution as nested selects."""
+    k = len(_STYLE)
+    x = [f"x{i}" for i in range(k)]
+    upper = [(i, j) for i in range(k) for j in range(i, k)]
+    penalty = f"{rewards.RM_PENALTY}e0"
+
+    def step(before: str) -> str:
+        margin = " + ".join(f"w{i} * x{i}" for i in range(k))
+        sums = ", ".join(
+            [f"any_value(w{i}) as w{i}" for i in range(k)]
+            + [
+                f"case when any_value(v{i}) > 0 then avg((y - p) * x{i}) - {penalty} * any_value(v{i} * w{i}) else 0.0e0 end as b{i}"
+                for i in range(k)
+            ]
+            + [
+                f"case when any_value(v{i}) > 0 and any_value(v{j}) > 0 then avg(p * (1 - p) * x{i} * x{j}) else 0.0e0 end"
+                + (f" + case when any_value(v{i}) > 0 then {penalty} * any_value(v{i}) else 1.0e0 end" if i == j else "")
+                + f" as a{i}_{j}"
+                for i, j in upper
+            ]
+            + [f"0.0e0 as d{i}" for i in range(k)]
+        )
+        select = f"""select rm_pair_fraction, {sums} from (
+            select *, 1.0e0 / (1.0e0 + exp(-({margin}))) as p
+            from v_style_rows join v_style_spread using (rm_pair_fraction) join {before} using (rm_pair_fraction))
+          group by rm_pair_fraction"""
+        for c in range(k - 1):
+            ratio = lambda r: f"a{c}_{r} / a{c}_{c}"
+            less = [f"a{i}_{j} - {ratio(i)} * a{c}_{j} as a{i}_{j}" for i, j in upper if i > c]
+            less += [f"b{i} - {ratio(i)} * b{c} as b{i}" for i in range(c + 1, k)]
+            select = f"select * replace ({', '.join(less)}) from ({select})"
+        for c in reversed(range(k)):
+            known = "".join(f" - a{c}_{j} * d{j}" for j in range(c + 1, k))
+            select = f"select * replace ((b{c}{known}) / a{c}_{c} as d{c}) from ({select})"
+        return f"select rm_pair_fraction, {', '.join(f'w{i} + d{i} as w{i}' for i in range(k))} from ({select})"
+
+    rows = f"""select rm_pair_fraction, case when {_FLIP} then 0.0e0 else 1.0e0 end as y,
+          {", ".join(f"case when {_FLIP} then -({e}) else {e} end as {n}" for n, e in zip(x, _DESIGN.values()))}
+        from (select * from v_pref_texts, (values {", ".join(f"({f}e0)" for f in rewards.RM_FRACTIONS)}) as t(rm_pair_fraction)
+          where split = 'train_prefs'
+          qualify row_number() over (partition by rm_pair_fraction order by {sql_hash('17', 'pair_id')}, pair_id)
+            <= greatest(1, floor((select count(*) from v_pref_texts where split = 'train_prefs') * rm_pair_fraction)))"""
+    spread = ", ".join(f"coalesce(var_samp({n}), 0.0e0) as v{i}" for i, n in enumerate(x))
+    views = [
+        f"v_style_rows as materialized ({rows})",
+        f"v_style_spread as materialized (select rm_pair_fraction, count(*) as n, {spread} from v_style_rows group by rm_pair_fraction)",
+        f"v_fit0 as (select rm_pair_fraction, {', '.join(f'0.0e0 as w{i}' for i in range(k))} from v_style_spread)",
+        *[f"v_fit{s} as materialized ({step(f'v_fit{s - 1}')})" for s in range(1, _NEWTON_STEPS + 1)],
+    ]
+    last = f"select * from v_fit{_NEWTON_STEPS} join v_style_spread using (rm_pair_fraction)"
+    weights = " union all ".join(
+        f"select rm_pair_fraction, n as n_train_pairs, '{name}' as feature, round(w{i}, 4) as weight from ({last})"
+        for i, name in enumerate(_STYLE)
+    )
+    return ", ".join(views) + "\n" + weights
+
+
+@query("rm_style_weights", with_tables("v_pref_texts", "").rstrip() + ", " + _style_fit_sql())
+def rm_style_weights(spark, sf_dir) -> DataFrame:
+    """Weights to four decimals; both sides run to convergence."""
+    pairs = deal_out(tables.preference_pairs(spark, sf_dir))
+    weights = rewards.rm_style_weights(pairs, _STYLE)
+    return weights.withColumn("weight", F.round("weight", 4) + F.lit(0.0))
+
+
 @query("rm_linear_fit")
 def rm_linear_fit(spark, sf_dir) -> DataFrame:
-    """An iterative fit, which SQL cannot express."""
+    """An iterative fit over 262 features; SQL repeats it for the style features in `rm_style_weights`."""
     # The derived pairs come out of joins planned for narrow ids; their texts are long.
     pairs = deal_out(tables.preference_pairs(spark, sf_dir))
     return rounded(rewards.rm_linear_fit(pairs), "eval_accuracy")

@@ -279,3 +279,38 @@ def test_linear_reward_model_learns_what_separates_pairs(spark):
     fits = {r.rm_pair_fraction: r for r in rewards.rm_linear_fit(pairs, fractions=(0.1, 1.0), max_iter=8).collect()}
     assert [fits[f].n_train_pairs for f in (0.1, 1.0)] == [22, 225]
     assert all(f.eval_accuracy == 1.0 and f.n_eval_pairs == 75 for f in fits.values())
+
+
+def test_weights_equal_the_ml_librarys(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+
+    from preflens.operators.logistic import logistic_fits
+
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(700, 4)) * [1.0, 5.0, 0.1, 1.0]
+    x[:, 3] = 2.0  # constant: no weight
+    y = (x[:, 0] - 0.3 * x[:, 1] + 4 * x[:, 2] + draw.logistic(size=700) > 0).astype(float)
+    rows = [(int(i >= 200), float(t), [float(v) for v in r]) for i, (r, t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "share int, label double, features array<double>").repartition(7)
+    part, whole = logistic_fits(df, (0.3, 1.0), 4, 0.01, 50)
+    assert (part.n, whole.n) == (200, 700) and part.converged and whole.converged and whole.steps < 12
+    for fit, chosen in ((part, rows[:200]), (whole, rows)):
+        ml = LogisticRegression(fitIntercept=False, regParam=0.01, maxIter=500, tol=1e-12).fit(
+            spark.createDataFrame([(t, Vectors.dense(f)) for _, t, f in chosen], ["label", "features"])
+        )
+        assert fit.weights[:3] == pytest.approx(ml.coefficients.toArray()[:3], rel=1e-4)
+        assert fit.weights[3] == 0.0
+
+
+def test_fits_of_empty_and_single_rows(spark):
+    from preflens.operators.logistic import logistic_fits
+
+    schema = "share int, label double, features array<double>"
+    none = logistic_fits(spark.createDataFrame([], schema), (1.0,), 2, 0.01, 9)[0]
+    one = logistic_fits(spark.createDataFrame([(0, 1.0, [1.0, 2.0])], schema), (1.0,), 2, 0.01, 9)[0]
+    assert none.n == 0 and one.n == 1 and not none.weights.any() and not one.weights.any()
+    # Separated rows: the penalty keeps the weights finite.
+    rows = [(0, float(i % 2), [100.0 * (i % 2), 1.0 * i]) for i in range(40)]
+    fit = logistic_fits(spark.createDataFrame(rows, schema), (1.0,), 2, 0.01, 60)[0]
+    assert fit.converged and np.isfinite(fit.weights).all() and fit.weights[0] > 0
