@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import report
+from ..operators.lineage import ensure_checkpoint_dir
+from ..sources import artifacts, sinks
 from . import tables
-from .comparison import judged, results
+from .comparison import judged, judged_by_seed, results
 from .diagnosing import diagnostics_of, run_win_rate
-from .registry import query, rounded
+from .registry import ORACLE, query, rounded
 from .rewarding import rm_eval
 from .tables import sql_r6, with_tables
 
@@ -66,6 +70,18 @@ def leaderboard(spark, sf_dir) -> DataFrame:
     return rounded(board(spark, sf_dir), *FLOATS).orderBy("run")
 
 
+@query("leaderboard_of_artifacts", ORACLE["leaderboard"])
+def leaderboard_of_artifacts(spark, sf_dir) -> DataFrame:
+    """Every run's artifacts written to the shared folder, and the leaderboard read from them."""
+    runs_dir = f"{ensure_checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
+    write = lambda documents, name: sinks.write_artifacts(documents, runs_dir, name)
+    write(artifacts.config_documents(tables.runs(spark)), "config.resolved.json")
+    write(artifacts.rm_eval_documents(rm_eval(spark, sf_dir)), "rm_eval.json")
+    write(artifacts.results_documents(judged_by_seed(spark, sf_dir)), "results.json")
+    write(artifacts.diagnostics_documents(diagnostics_of(spark, sf_dir)), "diagnostics.json")
+    return rounded(artifacts.collect_runs(spark, runs_dir), *FLOATS).orderBy("run")
+
+
 def _cell(column: str) -> str:
     return f"coalesce(printf('%.3f', {column}), '—')"
 

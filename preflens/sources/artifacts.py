@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions.verdicts import swap_consistent
 from ..operators.diagnostics import STYLE_RATES, goodhart_gap, hacking_flags
 from ..operators.report import ablation_grid, leaderboard, overoptimisation_curve
+from ..operators.winrate import results_with_seeds
 
 CONFIG = "stage string, method struct<beta: double, num_generations: bigint, reward_model_path: string>, data struct<rm_pair_fraction: double>, train struct<output_dir: string>"
 RM_EVAL = "eval_accuracy double, rm_pair_fraction double, n_train_pairs bigint"
@@ -36,12 +40,23 @@ DIAGNOSTICS = (
 DPO_EVAL = "beta double, loss_type string, eval_loss double, `eval_rewards/accuracies` double, `eval_rewards/margins` double"
 
 
-def read_artifact(spark: SparkSession, runs_dir: str, name: str, schema: str | T.StructType) -> DataFrame:
+def _literal(name: str) -> str:
+    """A directory name as a path pattern that matches it alone."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", name)
+
+
+def read_artifact(
+    spark: SparkSession, runs_dir: str, name: str, schema: str | T.StructType, runs: Sequence[str] | None = None
+) -> DataFrame:
     """One row per run directory that holds the file, with the directory as run_id.
 
     The files are found by name, so a kind no run has written gives no rows.
     Fields outside the schema (such as long lists of records) are not parsed.
+    With `runs` only these directories are listed and read; each has to exist.
     """
+    if runs is not None and not runs:
+        return read_artifact(spark, runs_dir, name, schema).where(F.lit(False))
+    roots = runs_dir if runs is None else [f"{runs_dir.rstrip('/')}/{_literal(run)}" for run in runs]
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     # Directly below a run directory, not in a folder inside one.
     place = rf"\Q{runs_dir.rstrip('/')}\E/([^/]+)/\Q{name}\E$"
@@ -51,7 +66,7 @@ def read_artifact(spark: SparkSession, runs_dir: str, name: str, schema: str | T
         .option("mode", "FAILFAST")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", name)
-        .json(runs_dir)
+        .json(roots)
         .withColumn("run_id", F.regexp_extract(path, place, 1))
         .where(F.col("run_id") != "")
     )
@@ -136,6 +151,29 @@ def diagnostics_documents(rows: DataFrame) -> DataFrame:
     return rows.select("run_id", F.to_json(F.struct(*plain, *nested)).alias("document"))
 
 
+def config_documents(runs: DataFrame) -> DataFrame:
+    """(run_id, document): each row of the run registry as its resolved config."""
+    group = lambda name, *columns: F.struct(*columns).alias(name)
+    config = F.struct(
+        "stage",
+        group("method", "beta", "num_generations", "reward_model_path"),
+        group("data", "rm_pair_fraction"),
+        group("train", "output_dir"),
+    )
+    return runs.select("run_id", F.to_json(config).alias("document"))
+
+
+def results_documents(by_seed: DataFrame) -> DataFrame:
+    """(run_id, document): win-rates with their intervals per run and seed as the results a run writes."""
+    rows = results_with_seeds(by_seed).withColumn("seeds", F.transform("per_seed", lambda s: s["seed"]))
+    return rows.select("run_id", F.to_json(F.struct(*[c for c in rows.columns if c != "run_id"])).alias("document"))
+
+
+def rm_eval_documents(accuracy: DataFrame) -> DataFrame:
+    """(run_id, document): the rows of rm_pair_accuracy as a reward model's evaluation."""
+    return accuracy.select("run_id", F.to_json(F.struct(*[c for c in accuracy.columns if c != "run_id"])).alias("document"))
+
+
 def parse_diagnostics(documents: DataFrame) -> DataFrame:
     """The rows of diagnostics_documents again."""
     parsed = documents.select("run_id", F.from_json("document", DIAGNOSTICS, {"mode": "FAILFAST"}).alias("d"))

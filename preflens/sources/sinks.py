@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +39,44 @@ def write_run_json(df: DataFrame, path: str, run: str = "run_id") -> None:
     ).write.mode("overwrite").partitionBy(run).text(path)
 
 
+def write_artifacts(documents: DataFrame, runs_dir: str, name: str) -> None:
+    """Rows of (run_id, document) as the file `name` in each run's directory, as read_artifact finds it.
+
+    The documents are first written, by all tasks, to a folder of this job beside the
+    runs. Only when that job has ended well and has one document per run is each file
+    put in place by a rename, so a file is the old one or the new one as a whole. When
+    a task fails for good, or a run has two documents, the runs stay as they were. A
+    run id that is null, empty or no plain directory name fails the job.
+    """
+    spark = documents.sparkSession
+    run = F.col("run_id").cast("string")
+    plain = F.coalesce(run.rlike(r"^[^/]+$") & ~run.isin(".", "..") & ~run.rlike(r"^[._]"), F.lit(False))
+    checked = F.when(plain, run).otherwise(F.raise_error(F.concat(F.lit("no run directory: "), F.coalesce(run, F.lit("null")))))
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    stage = hadoop.Path(f"{runs_dir}/_{name}-{uuid.uuid4().hex}")
+    files = stage.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        rows = documents.select(checked.alias("run_id"), F.coalesce("document", F.lit("null")).alias("value"))
+        written = Observation()
+        rows = rows.observe(written, F.count(F.lit(1)).alias("documents"))
+        rows.write.partitionBy("run_id").text(stage.toString(), lineSep="\n")
+        folders = [f.getPath() for f in files.listStatus(stage) if f.isDirectory()]  # one per run
+        if written.get["documents"] != len(folders):
+            raise ValueError(f"{written.get['documents']} documents for {len(folders)} runs")
+        for folder in folders:
+            part = files.listStatus(folder)[0].getPath()
+            # A run id may hold a colon, which a path made of text would read as a scheme.
+            run_folder = hadoop.Path(None, None, unquote(folder.getName().removeprefix("run_id=")))
+            place = hadoop.Path(hadoop.Path(runs_dir), run_folder)
+            files.mkdirs(place)
+            target = hadoop.Path(place, name)
+            files.delete(target, False)
+            if not files.rename(part, target):
+                raise OSError(f"could not put {target.toString()} in place")
+    finally:
+        files.delete(stage, True)
+
+
 def write_audit(audit: DataFrame, path: str, partitions: Sequence[str] = ("run_id", "seed")) -> None:
     """Judged pairs as Parquet, one folder per run and seed.
 

@@ -240,3 +240,31 @@ def test_training_log_in_long_form(spark, tmp_path):
     assert {(r.run_id, r.entry, r.step, r.metric, r.value) for r in rows} == {
         ("g", 0, 10, "reward", 0.5), ("g", 0, 10, "kl", 0.001), ("g", 1, 1, "reward", 0.75), ("g", 1, 1, "note", None),
     }
+
+
+def test_written_artifacts_are_read_back(spark, tmp_path):
+    runs = str(tmp_path / "runs")
+    rows = [("dpo_b0.3", '{"stage": "dpo"}'), ("grpo g8+x", '{\n "stage": "grpo"\n}'), ("a[1]*=%25", '{"stage": "rm"}')]
+    df = spark.createDataFrame(rows, "run_id string, document string")
+    sinks.write_artifacts(df, runs, "config.resolved.json")
+    sinks.write_artifacts(df.where("run_id like 'dpo%'").withColumn("document", F.lit('{"stage": "new"}')), runs, "config.resolved.json")
+    read = {r.run_id: r.stage for r in artifacts.read_runs(spark, runs).collect()}
+    assert read == {"dpo_b0.3": "new", "grpo g8+x": "grpo", "a[1]*=%25": "rm"}
+    assert sorted(p.name for p in (tmp_path / "runs").iterdir()) == sorted(read)
+    one = artifacts.read_artifact(spark, runs, "config.resolved.json", artifacts.CONFIG, runs=["a[1]*=%25"])
+    assert [r.run_id for r in one.collect()] == ["a[1]*=%25"] and len(one.inputFiles()) == 1
+    assert artifacts.read_artifact(spark, runs, "config.resolved.json", artifacts.CONFIG, runs=[]).count() == 0
+    sinks.write_artifacts(df.limit(0), runs, "empty.json")
+
+
+@pytest.mark.parametrize(
+    "rows", [[("a", "2"), ("b", "fails")], [("a", "2"), ("a", "3")], [("a", "2"), (None, "3")], [("a", "2"), ("../b", "3")]]
+)
+def test_a_failing_write_leaves_the_runs_as_they_were(spark, tmp_path, rows):
+    runs = tmp_path / "runs"
+    frame = lambda r: spark.createDataFrame(r, "run_id string, document string")
+    sinks.write_artifacts(frame([("a", "1")]), str(runs), "x.json")
+    fails = F.when(F.col("document") == "fails", F.raise_error(F.lit("no"))).otherwise(F.col("document"))
+    with pytest.raises(Exception):
+        sinks.write_artifacts(frame(rows).withColumn("document", fails), str(runs), "x.json")
+    assert [p.name for p in runs.iterdir()] == ["a"] and (runs / "a" / "x.json").read_text() == "1\n"
