@@ -1,9 +1,12 @@
 """Main text of HTML pages by markup and by strings repeated over a host's pages.
 
-1. Markup. A page becomes blocks of text. Elements that are never main text
-   (menus, headers, footers, sidebars, forms, scripts, adverts, comments, by tag,
-   role, class or id) are left out; if the page has an `article` or `main`
-   element, only what lies inside counts.
+1. Markup. A page becomes blocks of text in one pass. Elements that are never main
+   text (menus, headers, footers, sidebars, forms, scripts, adverts, comments, by
+   tag, role, class or id) are left out; if the page has an `article` or `main`
+   element, only what lies inside counts. Where text lies decides against names: a
+   part of the layout that wraps all of the main elements and a `main` or more than
+   half of the prose stays, more prose beside the main elements than in them counts
+   too, and if nothing is left, frames that hold the article or paragraphs open.
 2. Host suffix array. The blocks of a page are one stream of tokens. Of the
    suffixes of all streams those at anchors are kept (the smallest name among the
    starts in a string of LONG tokens, so equal strings have equal anchors), named
@@ -20,9 +23,11 @@ Copies of one article stay whole, since they are one page; copies that differ in
 a token are different pages. No page is compared with pages of other hosts.
 
 Defined cases: null html gives no blocks and an empty text, a null url the host
-''. Pages without any markup are one block. Repeated rows are equal streams. Broken markup never fails: unknown or unclosed elements end with
-their parent, an unclosed comment or script ends with the page. An empty table
-gives no rows. Only the three named columns are read.
+''. Pages without any markup are one block. Repeated rows are equal streams. Broken markup never fails: unknown
+or unclosed elements end with their parent, an unclosed comment or script ends with
+the page, a tag with an unclosed quote ends at its first `>`, and `<` that starts no
+tag, as in `a <b and c> d`, is text. An empty table gives no rows. Only the three
+named columns are read.
 """
 
 from __future__ import annotations
@@ -46,18 +51,31 @@ WINDOW = LONG - ANCHOR + 1
 #: Distinct pages of a host on which boilerplate stands.
 LEAST_PAGES = 4
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S
-)
-_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: A block of so many words outside links is prose.
+PROSE = 20
+
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)>")
+_NAME = re.compile(r"[a-zA-Z][^\s/><]*")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=<]+)(\s*=\s*)?")
+_UNQUOTED = re.compile(r"[^\s>]*")
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "textarea", "select", "title"}
-_NEVER = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "head", "label", "input", "option", "figure"} - {"figure"}
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in _RAW}
 _VOID = {"br", "img", "hr", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
 _BLOCK = set(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+_INLINE = set("a abbr b big cite code del em font i ins kbd mark q s samp small span strong sub sup time tt u var".split())
+_KNOWN = _BLOCK | _RAW | _VOID | _INLINE
+#: A start tag of these ends an open element of the same name.
+_SAME_ENDS = {"li", "dt", "dd", "tr", "td", "th"}
+#: Attributes that stand without a value.
+_BARE = set("allowfullscreen async autofocus autoplay checked compact controls default defer disabled hidden inert itemscope loop multiple muted nomodule noshade nowrap open playsinline readonly required reversed selected".split())
+#: Never main text, whatever lies inside.
+_NEVER = {"button", "dialog", "head", "label", "input", "option"}
+#: Left out, but unclosed or misused they may wrap a whole page.
+_FRAME = {"nav", "footer", "aside", "menu", "form", "header"}
 #: Words of a class, id or role that name what is no main text.
 _WORDS = set(
     "ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments complementary consent "
@@ -65,83 +83,266 @@ _WORDS = set(
     "notice notices pagination popup promo promoted promotion related respond search share sharing sidebar signup "
     "social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words of parts of a layout; elements named by them may wrap the main text.
+_LAYOUT = set("banner form header masthead menu modal nav navbar navigation search sidebar toolbar widget".split())
+#: Words that name the head of an article inside main text.
+_HEADS = {"banner", "header", "masthead"}
+#: A name that starts so tells of a layout (has-sidebar), not of the element itself.
+_MODIFIERS = {"has", "no", "not", "with", "without"}
 #: Inside main text these are left out by tag, role or being hidden, not by a word of their class or id.
 _PROSE = set("h1 h2 h3 h4 h5 h6 hgroup header p a blockquote pre b i em strong span mark cite q code".split())
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
-
-def _is_side(tag: str, attributes: str, inside_main: bool) -> bool:
-    if tag in _NEVER or (tag == "header" and not inside_main):
-        return True
-    if not attributes or tag in ("body", "html", "article", "main"):
-        return False
-    named: dict[str, str] = {}
-    for found in _ATTRIBUTE.finditer(attributes):
-        named.setdefault(found[1].lower(), found[2] or found[3] or found[4] or "")  # the first of a name counts
-    if "hidden" in named or named.get("aria-hidden", "").strip().lower() == "true":
-        return True
-    if _NO_DISPLAY.search(named.get("style", "")):
-        return True
-    for name in ("role",) if inside_main and tag in _PROSE else ("role", "class", "id"):
-        if any(w.lower() in _WORDS for w in _SPLIT.split(named.get(name, ""))):
-            return True
-    return False
+KEPT, FRAME, LAYOUT, SIDE, GONE = range(5)
+
+
+def _side_words(value: str, heads_count: bool) -> set[str]:
+    found: set[str] = set()
+    for name in value.split():
+        words = [w.lower() for w in _SPLIT.split(name) if w]
+        if words and words[0] not in _MODIFIERS:
+            found.update(w for w in words if w in _WORDS and (heads_count or w not in _HEADS))
+    return found
+
+
+def _kind(tag: str, named: dict[str, str], inside: bool) -> int:
+    """How sure it is that an element is no main text."""
+    if not named and tag not in _NEVER and tag not in _FRAME:
+        return KEPT
+    if tag in _NEVER or "hidden" in named or named.get("aria-hidden", "").strip().lower() == "true":
+        return GONE
+    if "style" in named and _NO_DISPLAY.search(named["style"]):
+        return GONE
+    if tag in _FRAME and not (tag == "header" and inside):
+        return LAYOUT if tag == "form" else FRAME
+    if tag in ("body", "html", "article", "main"):
+        return KEPT
+    if "role" in named and _side_words(named["role"], True):
+        return FRAME
+    if inside and tag in _PROSE:
+        return KEPT
+    found = _side_words(named.get("class", ""), not inside) | _side_words(named.get("id", ""), not inside)
+    return KEPT if not found else LAYOUT if found <= _LAYOUT else SIDE
+
+
+class _Scanner:
+    """Start and end tags of a page, each character looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {q: page.rfind(q) for q in "\"'"}
+
+    def past(self, start: int) -> int:
+        end = self.page.find(">", start)
+        return len(self.page) if end < 0 else end + 1
+
+    def tag(self, at: int) -> tuple[int, str, dict[str, str], bool, bool]:
+        """End, name, attributes, whether it closes itself, and whether it is text, of what starts at the `<` at `at`."""
+        page = self.page
+        found = _NAME.match(page, at + 1)
+        tag, here = found[0].lower(), found.end()
+        named: dict[str, str] = {}
+        bare, valued, itself = False, False, False
+        while True:
+            found = _ATTRIBUTE.match(page, here)
+            if not found:
+                break
+            key, here = found[1].lower(), found.end()
+            value = ""
+            if found[2]:
+                valued = True
+                quote = page[here : here + 1]
+                if quote in self.last and quote:
+                    end = page.find(quote, here + 1) if self.last[quote] > here else -1
+                    value = page[here + 1 : end] if end >= 0 else ""
+                    # The quote was never closed, or what closes it opens the next tag's value.
+                    if end < 0 or (value.endswith("=") and ">" in value and "<" in value):
+                        return self.past(here), tag, named, False, False
+                    here = end + 1
+                else:
+                    unquoted = _UNQUOTED.match(page, here)
+                    value, here = unquoted[0], unquoted.end()
+            elif key not in _BARE and "-" not in key:
+                bare = True
+            named.setdefault(key, value)  # the first of a name counts
+        while here < len(page) and (page[here].isspace() or page[here] in "/="):
+            itself = page[here] == "/" or (itself and page[here].isspace())
+            here += 1
+        closed = page[here : here + 1] == ">"
+        # Prose such as `a <b and c> d`, or an unknown name that no `>` ends.
+        is_text = (bare and not valued and tag not in _BLOCK | _RAW | _VOID) or (not closed and tag not in _KNOWN)
+        return here + closed, tag, named, itself, is_text
+
+
+class _Page:
+    """What decides about a page's text: its elements that are not plainly kept, in the order in which they start,
+    and its blocks as segments of text by the innermost such element (0: none)."""
+
+    def __init__(self, page: str):
+        self.parent, self.kind, self.inside, self.linked = [-1], [KEPT], [False], [False]
+        self.main_element = [False]
+        self.blocks: list[list[tuple[int, str, int]]] = []  # element, text, words
+        self.held: list[tuple[int, str]] = []
+        self._read(page)
+        self.close()
+
+    def close(self) -> None:
+        if self.held:
+            self.blocks.append([(e, t, len(t.split())) for e, t in self.held])
+            self.held = []
+
+    def _read(self, page: str) -> None:
+        scanner = _Scanner(page)
+        stack: list[tuple[str, int]] = [("", 0)]  # tag, element
+        places: dict[str, list[int]] = {}  # places of a tag's open elements in the stack
+        open_blocks: list[int] = [0]
+        at, size = 0, len(page)
+
+        def pop() -> None:
+            tag, _ = stack.pop()
+            places[tag].pop()
+            if open_blocks[-1] == len(stack):
+                open_blocks.pop()
+
+        def text(start: int, end: int) -> None:
+            if start < end:
+                self.held.append((stack[-1][1], page[start:end]))
+
+        while at < size:
+            lt = page.find("<", at)
+            if lt < 0:
+                break
+            text(at, lt)
+            plain = _PLAIN.match(page, lt)
+            if plain:
+                at, ends, tag, named, itself = plain.end(), bool(plain[1]), plain[2].lower(), {}, False
+            else:
+                after = page[lt + 1 : lt + 2]
+                if page.startswith("<!--", lt):
+                    at = page.find("-->", lt + 2)
+                    at = size if at < 0 else at + 3
+                    continue
+                if after in ("!", "?"):
+                    at = scanner.past(lt)
+                    continue
+                ends = after == "/"
+                first = page[lt + 2 : lt + 3] if ends else after
+                if not (first.isascii() and first.isalpha()):
+                    text(lt, lt + 1)
+                    at = lt + 1
+                    continue
+                at, tag, named, itself, is_text = scanner.tag(lt + ends)
+                if is_text and not ends:
+                    text(lt, at)
+                    continue
+            if tag in _BLOCK:
+                self.close()
+            elif tag == "br":
+                self.held.append((stack[-1][1], " "))
+            if ends:
+                place = places.get(tag)
+                # The end of an inline element ends no block that started inside it.
+                if place and (tag in _BLOCK or place[-1] > open_blocks[-1]):
+                    floor = place[-1]
+                    while len(stack) > floor:
+                        pop()
+                continue
+            if tag in _VOID or itself:
+                continue
+            if tag in _RAW:
+                end = _RAW_END[tag].search(page, at)
+                at = end.end() if end else size
+                continue
+            nearest = stack[open_blocks[-1]][0]
+            if tag in _BLOCK and (nearest == "p" or (nearest == tag and tag in _SAME_ENDS)):
+                floor = open_blocks[-1]
+                while len(stack) > floor:
+                    pop()
+            element = stack[-1][1]
+            kind = _kind(tag, named, self.inside[element])
+            is_main = tag in ("article", "main")
+            if kind != KEPT or is_main or (tag == "a" and not self.linked[element]):
+                self.parent.append(element)
+                self.kind.append(kind)
+                self.inside.append(self.inside[element] or is_main)
+                self.linked.append(self.linked[element] or tag == "a")
+                self.main_element.append(tag == "main")
+                element = len(self.parent) - 1
+            places.setdefault(tag, []).append(len(stack))
+            if tag in _BLOCK:
+                open_blocks.append(len(stack))
+            stack.append((tag, element))
+        else:
+            return
+        text(at, size)
+
+    def _summed(self, own: list[int]) -> list[int]:
+        """Sums over an element and all inside it."""
+        total = list(own)
+        for e in range(len(total) - 1, 0, -1):
+            total[self.parent[e]] += total[e]
+        return total
+
+    def _out(self, opened: list[bool]) -> list[bool]:
+        out = [False] * len(self.parent)
+        for e in range(1, len(out)):
+            out[e] = out[self.parent[e]] or (self.kind[e] != KEPT and not opened[e])
+        return out
+
+    def _kept(self, out: list[bool]) -> list[tuple[bool, int, str]]:
+        """Whether inside main elements, words of prose, and text of every block that is left."""
+        found = []
+        for segments in self.blocks:
+            left = [s for s in segments if not out[s[0]]]
+            words = " ".join(references.unescape("".join([s[1] for s in left])).split())
+            if words:
+                unlinked = sum([s[2] for s in left if not self.linked[s[0]]])
+                found.append((self.inside[left[0][0]], unlinked if unlinked >= PROSE else 0, words))
+        return found
+
+    def main(self) -> list[str]:
+        size = len(self.parent)
+        barred = self._out([k in (KEPT, FRAME, LAYOUT) for k in self.kind])  # surely no main text
+        prose, words, mains, paragraphs = ([0] * size for _ in range(4))
+        for segments in self.blocks:
+            counted = [(e, n) for e, _, n in segments if not barred[e]]
+            if counted:
+                element = counted[0][0]
+                unlinked = sum(n for e, n in counted if not self.linked[e])
+                if unlinked >= PROSE:
+                    prose[element] += unlinked
+                    paragraphs[element] += 1
+                if self.inside[element]:
+                    words[element] += sum(n for _, n in counted)
+        for e in range(size):
+            mains[e] = int(self.main_element[e] and not barred[e])
+        prose, words, mains, paragraphs = map(self._summed, (prose, words, mains, paragraphs))
+        kind = self.kind
+        opened = [
+            kind[e] == LAYOUT
+            and words[e] == words[0]
+            and (mains[e] > 0 or 2 * prose[e] > prose[0] or (prose[0] == 0 and words[e] > 0))
+            or (kind[e] == SIDE and mains[e] > 0)
+            for e in range(size)
+        ]
+        found = self._kept(self._out(opened))
+        if not found:
+            # A frame that was never closed, or holds the article.
+            opened = [
+                opened[e] or (kind[e] in (FRAME, LAYOUT) and (words[e] > 0 or paragraphs[e] >= 3)) for e in range(size)
+            ]
+            found = self._kept(self._out(opened))
+        inner = [b for b in found if b[0]]
+        beside = sum(n for is_inner, n, _ in found if not is_inner)
+        has_main = any(self.inside[e] and not barred[e] for e in range(size))
+        if has_main and beside <= sum(n for _, n, _ in inner):
+            found = inner
+        return [text for _, _, text in found]
 
 
 def blocks(page: str | None) -> list[str]:
     """Blocks of text that markup does not rule out, in page order, white space collapsed."""
-    page = page or ""
-    everywhere: list[str] = []  # blocks of the whole page
-    main: list[str] = []  # blocks inside article or main elements
-    held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, left out, inside main
-    at, left_out, inside, any_main = 0, False, False, False
-
-    def close() -> None:
-        if held:
-            text = " ".join(references.unescape("".join(held)).split())
-            held.clear()
-            if text:
-                everywhere.append(text)
-                if inside:
-                    main.append(text)
-
-    for found in _TAG.finditer(page):
-        if found.start() < at:
-            continue
-        if not left_out and found.start() > at:
-            held.append(page[at : found.start()])
-        at = found.end()
-        if found[2] is None:
-            continue
-        tag, ends = found[2].lower(), bool(found[1])
-        if tag in _BLOCK:
-            close()
-        elif tag == "br" and not left_out:
-            held.append(" ")
-        if ends:
-            if any(t == tag for t, _, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
-                left_out, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            continue
-        if tag in _RAW and not found[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if tag in _VOID or found[3].endswith("/"):
-            continue
-        if tag == "p" and stack and stack[-1][0] == "p":
-            stack.pop()
-        starts_main = tag in ("article", "main") and not left_out
-        any_main |= starts_main
-        left_out = left_out or _is_side(tag, found[3], inside)
-        inside = inside or (starts_main and not left_out)
-        stack.append((tag, left_out, inside))
-    if not left_out and at < len(page):
-        held.append(page[at:])
-    close()
-    return main if any_main else everywhere
+    return _Page(page or "").main()
 
 
 def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:

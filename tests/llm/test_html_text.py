@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 from preflens.llm import html_text as h
@@ -36,6 +37,46 @@ def test_broken_pages_do_not_fail():
     assert h.blocks("</div></p>a</article>b<unknown>c") == ["a", "bc"]
 
 
+def test_names_of_a_layout_do_not_empty_a_page():
+    prose = words(30)
+    for around in ('div class="has-sidebar"', 'div class="article-header-wrapper"', 'div id="sidebar-layout"', "form", 'body class="no-comments"'):
+        assert h.blocks(f"<{around}><article><p>text</p></article></{around.split()[0]}>") == ["text"], around
+        assert h.blocks(f"<{around}><p>{prose}</p></{around.split()[0]}>") == [prose], around
+    assert h.blocks("<nav><ul><li>menu</ul><article><p>text</p></article>") == ["text"]
+    assert h.blocks('<article><div class="article-header-wrapper"><h1>one</h1></div><p>two</p></article>') == ["one", "two"]
+    assert h.blocks(f'<article class="teaser">teaser</article><div><p>{prose}</p></div>') == ["teaser", prose]
+
+
+def test_long_side_text_stays_out():
+    prose = words(40)
+    for side in ("div class=ad", "div id=cookie-notice", "section class=comments", "footer", "aside", "nav", 'div class="sidebar"', "form"):
+        tag = side.split()[0]
+        assert h.blocks(f"<article>one</article><{side}><p>{prose}</p></{tag}>") == ["one"], side
+    assert h.blocks(f"<article></article><div class=ad>{prose}</div>") == []
+    assert h.blocks(f"<main><p>x</p><div class=comments><article>{prose}</article></div></main>") == ["x"]
+
+
+def test_odd_tags():
+    assert h.blocks('<p title="it>hello') == ["hello"]
+    assert h.blocks('<p title="it>hello</p><p class="x">world</p>') == ["hello", "world"]
+    assert h.blocks("<script src=/x/>var secret=1;</script><p>text") == ["text"]
+    assert h.blocks("if a<b and c>d") == ["if a<b and c>d"]
+    assert h.blocks('<p title="a > b">x</p><p data-x>y</p><b hidden>no</b>') == ["x", "y"]
+    assert h.blocks("<b><article>x</b> y</article>z") == ["x y"]
+    assert h.blocks("<li class=promo>no<li>yes<p hidden>no<p>and") == ["yes", "and"]
+    assert h.blocks("<ul><li>a<ul><li>b</ul><li>c</ul>") == ["a", "b", "c"]
+
+
+def test_odd_characters_take_linear_time():
+    n = 200_000
+    odd = ['<a "', "<", "<x and ", '<p a="it>x', "<p a='x\" ", "</b>", "<!--", "<script>", "<div>", "<p" + " " * 9, "<b a=", "&amp;"]
+    began = time.process_time()
+    for piece in odd:
+        h.blocks(piece * (n // len(piece)))
+    h.blocks("<div>" * (n // 10) + "<b>x</b>" * (n // 10))
+    assert time.process_time() - began < 30
+
+
 def words(n, start=0):
     return " ".join(f"w{start + i}" for i in range(n))
 
