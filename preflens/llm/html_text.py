@@ -39,6 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -377,6 +378,16 @@ def anchors(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(whole)), whole
 
 
+def _packed(parts: list[str]) -> bytes:
+    """Blocks as they travel: a block has no line break."""
+    return zstandard.compress("\n".join(parts).encode("utf-8", "surrogatepass"))
+
+
+def _unpacked(packed: bytes) -> list[str]:
+    text = zstandard.decompress(packed).decode("utf-8", "surrogatepass")
+    return text.split("\n") if text else []
+
+
 def _signed_digest(text: str) -> np.int64:
     return np.uint64(xxhash.xxh3_64_intdigest(text)).view(np.int64)
 
@@ -389,7 +400,7 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "page_id": batch["page_id"],
                 "url": batch["url"],
                 "host": [_signed_digest(_host(u)) for u in batch["url"]],
-                "blocks": found,
+                "blocks": [_packed(b) for b in found],
                 "stream": [_signed_digest(" ".join(b)) for b in found],
             }
         )
@@ -409,7 +420,7 @@ def _suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         row, host, name = [], [], []
         for r, h, b in zip(batch["row_id"], batch["host"], batch["blocks"]):
-            found = np.unique(_strings(_stream(b))[0])
+            found = np.unique(_strings(_stream(_unpacked(b)))[0])
             row.append(np.full(len(found), r))
             host.append(np.full(len(found), h))
             name.append(found)
@@ -422,7 +433,7 @@ def _long_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         row, host, stream, name = [], [], [], []
         for r, h, d, b, candidates in zip(*(batch[c] for c in ("row_id", "host", "stream", "blocks", "names"))):
-            anchor, whole = _strings(_stream(b))
+            anchor, whole = _strings(_stream(_unpacked(b)))
             found = np.unique(whole[np.isin(anchor, candidates)])
             row.append(np.full(len(found), r))
             host.append(np.full(len(found), h))
@@ -454,8 +465,8 @@ def _without(parts: list[str], marked: set[int]) -> list[str]:
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts = [
-            "\n".join(b if n is None or not len(n) else _without(list(b), set(map(int, n))))
-            for b, n in zip(batch["blocks"], batch["names"])
+            "\n".join(b if n is None or not len(n) else _without(b, set(map(int, n))))
+            for b, n in zip(map(_unpacked, batch["blocks"]), batch["names"])
         ]
         yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts})
 
@@ -470,7 +481,7 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     kind = pages.schema[key].dataType.simpleString()
     rows = pages.select(pages[key].alias("page_id"), pages[url].alias("url"), pages[html].alias("html"))
     parsed = saved(
-        rows.mapInPandas(_parsed, f"page_id {kind}, url string, host long, blocks array<string>, stream long").withColumn(
+        rows.mapInPandas(_parsed, f"page_id {kind}, url string, host long, blocks binary, stream long").withColumn(
             "row_id", F.monotonically_increasing_id()
         )
     )
