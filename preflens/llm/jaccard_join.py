@@ -108,6 +108,18 @@ def _common(n: Column) -> Column:
     return F.least(n, F.greatest(F.lit(COMMON_LEAST), F.ceil(n * F.lit(COMMON_SHARE))))
 
 
+def _enough(a: str, b: str, percent: int) -> Column:
+    """Prefix shingles that linked sets of sizes a and b have in common, at least.
+
+    Of two prefixes one ends first in the common order. Up to its end the sets can only share what the prefixes
+    share, and beyond it that set has needed - common shingles.
+    """
+    n, m = F.col(a), F.col(b)
+    both = F.ceil(F.lit(percent) * (n + m) / (100 + percent))
+    beyond = lambda x: F.ceil(x * percent / 100) - _common(x)
+    return F.greatest(F.least(_common(n), _common(m)), both - F.greatest(beyond(n), beyond(m), F.lit(0)))
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> tuple[bool, float]:
     """Whether two sorted sets are linked, and their similarity."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -357,8 +369,17 @@ def _near_duplicates(docs: DataFrame, key: str, text: str, words: int, percent:
         .where("one.leader < two.leader")
         .where(f"100 * one.high >= {percent} * two.low and 100 * two.high >= {percent} * one.low")
         .groupBy(F.col("one.leader").alias("x"), F.col("two.leader").alias("y"))
-        .agg(F.count("*").alias("c"), F.min("one.low").alias("a"), F.min("two.low").alias("b"))
-        .where(F.col("c") >= F.least(_common(F.col("a")), _common(F.col("b"))))
+        .agg(
+            F.count("*").alias("c"),
+            F.min("one.low").alias("a"),
+            F.max("one.high").alias("a_high"),
+            F.min("two.low").alias("b"),
+            F.max("two.high").alias("b_high"),
+        )
+        .where(
+            F.when((F.col("a") == F.col("a_high")) & (F.col("b") == F.col("b_high")), F.col("c") >= _enough("a", "b", percent))
+            .otherwise(F.col("c") >= F.least(_common(F.col("a")), _common(F.col("b"))))
+        )
         .select("x", "y")
     )
     compared = _compare(pairs, sets, percent)

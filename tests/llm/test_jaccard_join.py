@@ -63,3 +63,24 @@ def test_stage_leaves_one_of_each_class(documents, texts):
     out = j.drop_near_duplicates(documents, words=3, percent=90)
     want = {c for _, c in j.classes_by_brute_force(texts).values()}
     assert out.columns == documents.columns and sorted(r.doc_id for r in out.collect()) == sorted(want)
+
+
+def test_links_at_the_edge_of_the_percentage_are_kept(spark):
+    rng = random.Random(11)
+    texts = {}
+    for family in range(6):
+        base = prose(rng, rng.choice([12, 40, 80, 150])).split()
+        for _ in range(25):
+            words = list(base)
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randint(0, 1)] = [f"new{rng.randrange(10**6)}"] * rng.randint(0, 2)
+            if rng.random() < 0.3:
+                words += [f"end{rng.randrange(10**6)}" for _ in range(rng.randint(1, 8))]
+            texts[len(texts)] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    for words, percent in ((3, 90), (5, 80)):
+        want = j.classes_by_brute_force(texts, words, percent)
+        got = found(docs, words=words, percent=percent)
+        assert got == want
+        assert 6 < len({c for _, c in want.values()}) < len(texts)
