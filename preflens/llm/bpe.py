@@ -29,7 +29,7 @@ import gc
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -65,6 +65,7 @@ class Transducer:
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("every single byte must be a token")
         self.length = {i: len(b) for b, i in ranks.items()}
+        self.packed = {i: i.to_bytes(4, "little") for i in self.bytes_of}
         self.longest = max(self.length.values())
         self._automaton()
         self._spines: dict[tuple[int, bool], list[tuple[bytes, int]]] = {}
@@ -205,14 +206,22 @@ class Transducer:
                 step = len(tokens) + 8 * self.longest
         yield self._read_back(tokens, len(tokens))
 
-    def encode(self, piece: bytes) -> tuple[int, ...]:
+    def encode(self, piece: bytes) -> bytes:
+        """Ids of a whole piece, four bytes each."""
+        packed = self.packed
         if len(piece) >= 8 * self.longest:
-            return tuple(chain.from_iterable(self.run(piece)))
+            return b"".join(map(packed.__getitem__, chain.from_iterable(self.run(piece))))
         state, tokens = self.start, []
         for byte in piece:
             state = state.next.get(byte) or self._grow(state, byte)
             tokens.append(state.token)
-        return tuple(self._read_back(tokens, len(tokens)))
+        end = len(tokens)
+        out = b""
+        while end:
+            token = tokens[end - 1]
+            out = packed[token] + out
+            end -= self.length[token]
+        return out
 
 
 def single_byte_pattern(pattern: str) -> str:
@@ -240,6 +249,7 @@ def single_byte_pattern(pattern: str) -> str:
 class Encoder(dict):
     """Texts to ids; also the memory of pieces, so that a frequent one runs through the transducer once.
 
+    A piece's ids are kept as the bytes they take in a result, so a text's ids are these joined.
     When the memory is full it becomes the old one; pieces met again come back from there.
     """
 
@@ -248,9 +258,9 @@ class Encoder(dict):
         self.transducer = Transducer(ranks)
         self.pieces = regex.compile(pattern).findall
         self.pieces_below_256 = re.compile(single_byte_pattern(pattern)).findall
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
             ids = self.transducer.encode(piece.encode())
@@ -261,13 +271,16 @@ class Encoder(dict):
             self[piece] = ids
         return ids
 
-    def encode(self, text: str) -> np.ndarray:
+    def encode_packed(self, text: str) -> bytes:
         try:
             text.encode("latin-1")
             pieces = self.pieces_below_256(text)
         except UnicodeEncodeError:
             pieces = self.pieces(text)
-        return np.array(list(chain.from_iterable(map(self.__getitem__, pieces))), dtype="<u4")
+        return b"".join(map(self.__getitem__, pieces))
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.encode_packed(text), dtype="<u4")
 
 
 #: Bytes that an unfinished character still waits for, by its first byte.
@@ -300,8 +313,8 @@ class Utf8Stream:
 
 def decode_stream(ids: Iterable[int], token_bytes: dict[int, bytes], step: int = 4096) -> Iterator[str]:
     """Text chunks of an id stream, `step` ids at a time."""
-    stream, ids = Utf8Stream(), iter(ids)
-    while chunk := [token_bytes[i] for _, i in zip(range(step), ids)]:
+    stream, data = Utf8Stream(), map(token_bytes.__getitem__, ids)
+    while chunk := list(islice(data, step)):
         yield stream.feed(b"".join(chunk))
     yield stream.close()
 
@@ -323,8 +336,8 @@ def encode(text: Column, path: str, pattern: str) -> Column:
 
     @F.pandas_udf("binary")
     def ids(texts: pd.Series) -> pd.Series:
-        run = encoder(path, pattern).encode
-        return texts.map(lambda t: run(t).tobytes() if t else b"")
+        run = encoder(path, pattern).encode_packed
+        return texts.map(lambda t: run(t) if t else b"")
 
     return ids(text)
 
