@@ -38,9 +38,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .registry import query, table
-from .store import saved, shared_folder
+from .store import freed, saved, shared_folder
 
 LENGTH = 200
 #: Bytes of an anchor's name, a power of two. Distances of a window's anchor are 0 .. length - ANCHOR.
@@ -225,10 +226,11 @@ def repeated_strings(texts: DataFrame) -> DataFrame:
     open_runs = found.join(twice, "name", "left_semi").select(
         "row_id", F.struct("place", "near", "far", F.lit(False).alias("witness")).alias("run")
     )
-    spans = []
+    spans, read = [], found  # the table that `open_runs` reads
     for width in (LENGTH, *WIDTHS):
         per_row = open_runs.groupBy("row_id").agg(F.collect_list("run").alias("runs"))
         runs = saved(texts.join(per_row, "row_id").select("row_id", "data", "runs").mapInPandas(_cut_runs(width), _RUN_SCHEMA))
+        freed(read)
         whole = ["part", "core", "near", "far", "one", "two"]
         classes = runs.groupBy(*whole).agg(
             F.count("*").alias("n"),
@@ -236,18 +238,22 @@ def repeated_strings(texts: DataFrame) -> DataFrame:
             F.min_by("place", "row_id").alias("place"),
             F.min(F.col("witness").cast("int")).alias("only_witness"),
         )
+        classes = read = saved(classes)
         again = classes.where((F.col("n") > 1) & (F.col("only_witness") == 0)).select(*whole)
         hits = runs.where(~F.col("witness")).join(again, whole, "left_semi")
         spans.append(
-            hits.select(
-                "row_id",
-                (F.col("place") - F.col("far")).alias("start"),
-                (F.col("place") - F.col("near") + LENGTH).alias("end"),
+            saved(
+                hits.select(
+                    "row_id",
+                    (F.col("place") - F.col("far")).alias("start"),
+                    (F.col("place") - F.col("near") + LENGTH).alias("end"),
+                )
             )
         )
+        freed(runs)
         if width == WIDTHS[-1]:
+            freed(classes)
             break
-        classes = saved(classes)
         cores = classes.groupBy("part", "core").agg(
             F.count("*").alias("kinds"), F.max(((F.col("n") == 1) & (F.col("only_witness") == 0)).cast("int")).alias("unsettled")
         ).where("kinds > 1 and unsettled = 1")
@@ -294,25 +300,34 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """One row per row of `docs`: doc_id, n_bytes, removed (maximal intervals), kept (the other bytes)."""
     texts = _bucketed(docs, key, text)
     spans = repeated_strings(texts).groupBy("row_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    kind = texts.schema["doc_id"].dataType.simpleString()
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    kind = T.StructType(
+        [
+            T.StructField("row_id", T.LongType()),
+            T.StructField("doc_id", texts.schema["doc_id"].dataType),
+            T.StructField("n_bytes", T.LongType()),
+            T.StructField("removed", T.ArrayType(span)),
+            T.StructField("kept", T.BinaryType()),
+        ]
+    )
     return (
         texts.join(spans, "row_id", "left")
         .select("row_id", "doc_id", "data", "spans")
-        .mapInPandas(
-            _cleaned_rows,
-            f"row_id long, doc_id {kind}, n_bytes long, removed array<struct<start:long,end:long>>, kept binary",
-        )
+        .mapInPandas(_cleaned_rows, kind)
     )
 
 
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
     """`docs` with the repeated strings cut out of `text` and `length` counted anew; all rows and columns stay.
 
-    A character of which a cut took some bytes goes as a whole.
+    A character of which a cut took some bytes goes as a whole. Columns may have any names; a table without the
+    column `length` gets none.
     """
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("__row"), F.col(text))
     clean = remove_repeats(row, "__row", text).withColumn("__text", F.pandas_udf(_whole_characters, "string")(F.col("kept")))
-    changed = {text: F.col("__text"), length: F.length("__text").cast(docs.schema[length].dataType)}
+    changed = {text: F.col("__text")}
+    if length in docs.columns:
+        changed[length] = F.length("__text").cast(docs.schema[length].dataType)
     return clean.select(*[changed.get(c, F.col("doc_id")[c]).alias(c) for c in docs.columns])
 
 

@@ -32,3 +32,13 @@ def test_stage_cuts_whole_characters_and_keeps_columns(spark, documents, no_docu
     assert out.columns == documents.columns and out.count() == documents.count()
     assert all(r.n_chars == len(r.text) for r in out.collect())
     assert s.drop_repeats(no_documents).count() == 0
+
+
+def test_stage_takes_columns_of_any_name_and_tables_without_a_length(spark):
+    shared = "".join(random.Random(4).choice("abcdefgh ") for _ in range(300))
+    rows = [(1, "x" + shared, "p", 0.5, 7, None), (2, "y" + shared, None, None, None, "b"), (3, None, "q", 1.5, 9, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `my col` string, `a:b` double, row_id long, `kept.x` string")
+    out = s.drop_repeats(docs)
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    found = {r.doc_id: tuple(r)[1:] for r in out.collect()}
+    assert found == {1: ("x", "p", 0.5, 7, None), 2: ("y", None, None, None, "b"), 3: ("", "q", 1.5, 9, "c")}
