@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .registry import query, table
-from .store import rows_per_batch, saved
+from .store import freed, rows_per_batch, saved
 
 WORDS = 3
 PERCENT = 90
@@ -163,6 +163,7 @@ def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     counts = saved(counts)
     total = counts.where("all").agg(F.sum("n")).first()[0] or 0
     top = counts.where(~F.col("all") & (F.col("n") > max(_REPORT, total // FREQUENT))).toPandas()
+    freed(counts)
     token = top["token"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(token)
     return token[order], top["n"].to_numpy(dtype=np.int64)[order]
@@ -251,7 +252,7 @@ def _compatible(a: str, b: str, percent: int):
 def _groups(sets: DataFrame, percent: int) -> DataFrame:
     """sid and the leader of its group: itself, or a set it is linked with."""
     narrow = saved(sets.drop("content").dropDuplicates(["sid"]))
-    found = None
+    found, compared = None, []
     for k in range(HASHES):
         seekers = narrow
         if found is not None:
@@ -267,17 +268,20 @@ def _groups(sets: DataFrame, percent: int) -> DataFrame:
             .where((F.col("x") != F.col("y")) & _compatible("n", "ny", percent))
             .select("x", "y")
         )
-        member = _compare(pairs, sets, percent).where("link").select(F.col("x").alias("sid"), F.col("y").alias("leader"))
+        compared.append(_compare(pairs, sets, percent))
+        member = compared[-1].where("link").select(F.col("x").alias("sid"), F.col("y").alias("leader"))
         found = member if found is None else found.unionByName(member)
-    return saved(
+    groups = saved(
         narrow.select("sid", "n").join(found, "sid", "left").withColumn("leader", F.coalesce("leader", F.col("sid")))
     )
+    freed(narrow, *compared)
+    return groups
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, label: the smallest node reachable over edges (x, y). Labels travel and jump, so rounds are few."""
     both = saved(edges.select("x", "y").union(edges.select("y", "x")).distinct())
-    labels = saved(nodes.select("node", F.col("node").alias("label")))
+    labels = held = saved(nodes.select("node", F.col("node").alias("label")))
     while True:
         near = (
             both.join(labels.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("label").alias("near"))
@@ -291,8 +295,10 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                 "node", F.least("low", "far").alias("new"), "label"
             )
         )
-        labels = jumped.select("node", F.col("new").alias("label"))
+        freed(held)
+        labels, held = jumped.select("node", F.col("new").alias("label")), jumped
         if jumped.where("new < label").isEmpty():
+            freed(both)
             return labels
 
 
@@ -383,6 +389,7 @@ def _near_duplicates(docs: DataFrame, key: str, text: str, words: int, percent:
         .select("x", "y")
     )
     compared = _compare(pairs, sets, percent)
+    freed(columns, matrix)
     leaders = groups.select(F.col("leader").alias("node")).distinct()
     links = compared.where("link").select("x", "y")
     classes = components(leaders, links)
@@ -403,6 +410,7 @@ def _near_duplicates(docs: DataFrame, key: str, text: str, words: int, percent:
         .select("x", "y")
     )
     to_open = saved(to_open)
+    done = [distinct, groups, sets, compared, to_open]
     if not to_open.isEmpty():
         opened = to_open.select(F.col("x").alias("leader")).union(to_open.select("y")).distinct()
         blocks = (
@@ -425,6 +433,8 @@ def _near_duplicates(docs: DataFrame, key: str, text: str, words: int, percent:
         )
         with rows_per_batch(docs.sparkSession, BLOCK_ROWS):
             more = saved(more)
+        freed(blocks)
+        done.append(more)
         classes = components(leaders, links.union(more))
 
     of_set = distinct.select("sid", *digest, "first").join(
@@ -435,6 +445,7 @@ def _near_duplicates(docs: DataFrame, key: str, text: str, words: int, percent:
     of_set = of_set.withColumn("label", F.coalesce("label", F.col("sid")))
     named = of_set.groupBy("label").agg(F.min("first").alias("component_id"))
     of_set = saved(of_set.join(named, "label").select(*digest, "label", "component_id"))
+    freed(*done)
     plain = seen.where("n = 0").select(
         "doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("first_of_component")
     )

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .registry import query, table
-from .store import saved
+from .store import freed, saved
 
 LENGTH = 1024
 WINDOW = 64 * LENGTH
@@ -168,6 +168,7 @@ def schedule(
         .where("n > 0")
     )
     units = saved(units)
+    freed(places)
     # Where each source's part of each round begins in the stream: sums per round, per block of rounds, and over blocks.
     parts = units.groupBy("round", "source").agg(F.sum("n").alias("n"))
     per_round = parts.groupBy("round").agg(F.sum("n").alias("n")).withColumn("block", F.expr(f"round div {_BLOCK}"))

@@ -6,9 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of the tables that `saved` returned.
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, read from `spark.checkpoint.dir`.
@@ -31,14 +35,28 @@ def saved(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """`df` as a table written once; later readers see the same rows and columns they need.
 
     Lost executors re-read files instead of repeating the plan. The files go when
-    the session's JVM ends.
+    the session's JVM ends, or with `freed`.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    system, target = _file_system(spark, path)
+    system.deleteOnExit(target)
+    table = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[table] = path
+    return table
+
+
+def freed(*tables: DataFrame) -> None:
+    """Delete the files of tables that `saved` returned. What was made from them has to be saved itself by then."""
+    for table in tables:
+        system, target = _file_system(table.sparkSession, _FOLDERS.pop(table))
+        system.delete(target, True)
+
+
+def _file_system(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
 @contextmanager
