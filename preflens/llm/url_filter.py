@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from preflens.functions.columns import let
 
 from .registry import query, table
-from .store import saved
+from .store import freed, saved
 
 ORDER = 5
 #: Size of the alphabet behind the uniform model.
@@ -115,7 +115,7 @@ def _log_ratios(counts: DataFrame) -> DataFrame:
         levels[n] = levels[n + 1].groupBy(F.expr(f"right(gram, {n})").alias("gram")).agg(
             *[F.sum(s).alias(s) for s in sides]
         )
-    below = None
+    below, written = None, []
     for n in range(1, ORDER + 2):
         context = Window.partitionBy(F.expr(f"left(gram, {n - 1})"))
         level = levels[n].withColumns(
@@ -132,7 +132,9 @@ def _log_ratios(counts: DataFrame) -> DataFrame:
             new[f"p_{s}"] = F.when(total > 0, (seen + kinds * p) / (total + kinds)).otherwise(p)
         # Written out, so that the next level's plan starts from a table.
         level = saved(level.withColumns(new).select("gram", *[f"p_{s}" for s in sides]))
+        written.append(level)
         below = level.withColumnRenamed("gram", "suffix")
+    freed(*written[:-1])
     ratio = F.round(SCALE * (F.log("p_accepted") - F.log("p_rejected"))).cast("bigint")
     return level.select("gram", ratio.alias("ratio"))
 
@@ -147,7 +149,9 @@ def _scores(rows: DataFrame, training: Column) -> DataFrame:
     )
     counts = grams.groupBy("gram").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
     # One row per distinct gram, copied SALTS times: a frequent gram's rows spread over as many tasks.
-    model = _log_ratios(saved(counts)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    counts = saved(counts)
+    model = _log_ratios(counts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    freed(counts)
     return (
         grams.select("row_id", "gram", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int").alias("salt"))
         .join(model, ["gram", "salt"])
