@@ -109,13 +109,13 @@ def ngram_counts(text: Column, n: int = NGRAM) -> Column:
 
     N-grams are hashes beside the tokens, not strings; memory is linear in the text.
     """
+    return let(word_tokens(text), lambda tokens: _token_ngram_counts(tokens, n))
 
-    def counts(tokens: Column) -> Column:
-        total = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
-        different = F.size(F.array_distinct(tokens)) if n == 1 else _distinct_ngrams(tokens, _ngram_hashes(tokens, n), n)
-        return F.struct(total.alias("total"), different.alias("distinct"))
 
-    return let(word_tokens(text), counts)
+def _token_ngram_counts(tokens: Column, n: int) -> Column:
+    total = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
+    different = F.size(F.array_distinct(tokens)) if n == 1 else _distinct_ngrams(tokens, _ngram_hashes(tokens, n), n)
+    return F.struct(total.alias("total"), different.alias("distinct"))
 
 
 def distinct_share(counts: Column) -> Column:
@@ -128,6 +128,11 @@ def distinct_n(text: Column, n: int = NGRAM) -> Column:
     return let(ngram_counts(text, n), distinct_share)
 
 
+def distinct_of_tokens(tokens: Column, n: int = NGRAM) -> Column:
+    """`distinct_n` of a text whose `word_tokens` are a plain column already."""
+    return let(_token_ngram_counts(tokens, n), distinct_share)
+
+
 def repetition_penalty(text: Column, n: int = NGRAM) -> Column:
     """distinct-n minus one: 0 for varied or short text, towards -1 for loops."""
     return distinct_n(text, n) - 1.0

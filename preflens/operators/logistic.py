@@ -13,10 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Doubles that are shuffled as one row.
 SLICE = 2048
+# Tasks of a pass for each core.
+TASKS = 2
 # Newton steps are halved until the objective falls, this often at most.
 HALVINGS = 30
 
@@ -67,20 +70,25 @@ def gram_sums(rows: DataFrame, weights: dict[int, np.ndarray]) -> DataFrame:
     shares that the row belongs to; it belongs to all later ones too.
     """
 
-    def added_here(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ("share", "slice", "sums")
+
+    def added_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            if batch.empty:
+            if not batch.num_rows:
                 continue
-            x, y = np.stack(batch["features"].to_numpy()).astype("f8"), batch["label"].to_numpy("f8")
-            share = batch["share"].to_numpy()
+            share, y, x = (batch.column(i) for i in range(3))
+            share, y = share.to_numpy(zero_copy_only=False), y.to_numpy(zero_copy_only=False)
+            # One look at the batch's buffer, no array per row.
+            x = x.flatten().to_numpy(zero_copy_only=False).astype("f8", copy=False).reshape(batch.num_rows, -1)
             for number, w in weights.items():
                 inside = share <= number
                 if inside.any():
                     sums[number] = sums.get(number, 0.0) + _task_sums(x[inside], y[inside], w)
         for number, flat in sums.items():
             parts = [flat[at : at + SLICE].tobytes() for at in range(0, len(flat), SLICE)]
-            yield pd.DataFrame({"share": number, "slice": range(len(parts)), "sums": parts})
+            numbers = [pa.array(n, pa.int32()) for n in ([number] * len(parts), range(len(parts)))]
+            yield pa.RecordBatch.from_arrays([*numbers, pa.array(parts, pa.binary())], names=names)
 
     def added(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: np.ndarray | float = 0.0
@@ -90,9 +98,9 @@ def gram_sums(rows: DataFrame, weights: dict[int, np.ndarray]) -> DataFrame:
         yield pd.DataFrame({"share": [key[0]], "slice": [key[1]], "sums": [total.tobytes()]})
 
     schema = "share int, slice int, sums binary"
-    return rows.select("share", "label", "features").mapInPandas(added_here, schema).groupBy("share", "slice").applyInPandas(
-        added, schema
-    )
+    # A task's sums are as large for few rows as for many, so each core takes its rows in few tasks.
+    rows = rows.select("share", "label", "features").coalesce(TASKS * rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.mapInArrow(added_here, schema).groupBy("share", "slice").applyInPandas(added, schema)
 
 
 def _step_sums(rows: DataFrame, weights: dict[int, np.ndarray], width: int) -> dict[int, Sums]:

@@ -227,7 +227,7 @@ def _features(df: DataFrame, side: str) -> DataFrame:
     style = F.array(
         F.log1p(F.length(answer).cast("double")),
         text.length_penalty(answer),
-        text.distinct_n(answer),
+        text.distinct_of_tokens(F.col("_words")),
         text.has_header(answer).cast("double"),
         text.has_bullet(answer).cast("double"),
         text.has_enthusiasm(answer).cast("double"),
@@ -300,7 +300,8 @@ def rm_fits(
     order = sorted(set(fractions))
     train = rm_training_rows(gaps, key)
     rows = train.select("label", "features", nested_share(train, order, seed, key).alias("share")).where("share is not null")
-    return dict(zip(order, logistic_fits(rows, order, width, RM_PENALTY, max_iter)))
+    # Written, so that a pass neither places the samples anew nor turns the gaps.
+    return dict(zip(order, logistic_fits(materialise(rows), order, width, RM_PENALTY, max_iter)))
 
 
 def rm_style_weights(

@@ -303,6 +303,21 @@ def test_weights_equal_the_ml_librarys(spark):
         assert fit.weights[3] == 0.0
 
 
+def test_passes_read_stored_rows_in_few_tasks(spark, monkeypatch):
+    from preflens.operators import logistic
+
+    gaps = spark.range(300).selectExpr("id as pair_id", "array(id % 7 - 3.0d, 1.0d * (id % 5 - 2)) as gap").repartition(64)
+    read = []
+    monkeypatch.setattr(rewards, "logistic_fits", lambda rows, *rest: read.append(rows) or logistic.logistic_fits(rows, *rest))
+    fits = rewards.rm_fits(gaps, width=2)
+    assert [fits[f].n for f in (0.1, 0.5, 1.0)] == [30, 150, 300]
+    plan = read[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" in plan and "md5" not in plan
+    sums = logistic.gram_sums(read[0], {2: np.zeros(2)})
+    tasks = logistic.TASKS * spark.sparkContext.defaultParallelism
+    assert f"Coalesce {tasks}" in sums._jdf.queryExecution().executedPlan().toString()
+
+
 def test_fits_of_empty_and_single_rows(spark):
     from preflens.operators.logistic import logistic_fits
 
