@@ -10,8 +10,8 @@ difference of the two log probabilities; it is compared with a threshold that
 separates best the rule-labelled URLs held out from training.
 
 Only native expressions. Counts cover all labelled URLs. Model and URLs meet in
-joins on character strings; strings that are frequent are salted, since the same
-few open nearly every URL.
+joins on character strings. Strings that are frequent, since the same few open
+nearly every URL, are joined where they lie; only the others are shuffled.
 
 Defined cases: a null url, or one without `://`, has empty host and path, fits no
 rule, and is scored on what text there is (a null one on its end mark alone).
@@ -36,7 +36,8 @@ ORDER = 5
 #: Size of the alphabet behind the uniform model.
 ALPHABET = 256
 START, END = "\x02", "\x03"
-SALTS = 32
+#: A string is frequent above this part of all strings, so fewer than HOT_PART are broadcast.
+HOT_PART = 2000
 #: Every FOLDS-th labelled URL by hash is held out to set the threshold.
 FOLDS = 5
 #: Scores are summed as whole millionths, so sums do not depend on their order.
@@ -147,16 +148,24 @@ def _scores(rows: DataFrame, training: Column) -> DataFrame:
         F.coalesce(training & (F.col("verdict") == "block"), F.lit(False)).cast("bigint").alias("rejected"),
         F.explode(_grams(F.col("text"))).alias("gram"),
     )
-    counts = grams.groupBy("gram").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
-    # One row per distinct gram, copied SALTS times: a frequent gram's rows spread over as many tasks.
-    counts = saved(counts)
-    model = _log_ratios(counts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    counts = saved(
+        grams.groupBy("gram").agg(
+            F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"), F.count("*").alias("times")
+        )
+    )
+    total = counts.agg(F.sum("times")).scalar()
+    hot = saved(counts.where(F.col("times") * HOT_PART > total).select("gram"))
+    model = _log_ratios(counts.drop("times"))
     freed(counts)
+    hot_model = F.broadcast(model.join(F.broadcast(hot), "gram"))
+    parts = [
+        grams.join(hot_model, "gram"),
+        # The model grows with the input: it is never broadcast.
+        grams.join(F.broadcast(hot), "gram", "left_anti").join(model.hint("merge"), "gram"),
+    ]
+    summed = [p.groupBy("row_id").agg(F.sum("ratio").alias("ratio"), F.count("*").alias("n")) for p in parts]
     return (
-        grams.select("row_id", "gram", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int").alias("salt"))
-        .join(model, ["gram", "salt"])
-        .groupBy("row_id")
-        .agg((F.sum("ratio") / F.count("*") / SCALE).alias("score"))
+        summed[0].unionByName(summed[1]).groupBy("row_id").agg((F.sum("ratio") / F.sum("n") / SCALE).alias("score"))
     )
 
 

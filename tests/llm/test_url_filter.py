@@ -70,6 +70,15 @@ def test_scores_equal_the_definition_and_separate_held_out_urls(spark):
     assert found[1000] > 0 > found[1001]
 
 
+def test_model_is_not_copied_and_frequent_strings_stay_where_they_lie(spark):
+    rows = [(i, f"https://www.host{i}.example.org/{i * 7919}", "allow" if i % 2 else "block") for i in range(200)]
+    table = u.saved(spark.createDataFrame(rows, "row_id long, text string, verdict string"))
+    scores = u._scores(table, F.col("verdict").isNotNull())
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "salt" not in plan and plan.count("strategy=broadcast") == 3 and "strategy=merge" in plan
+    assert scores.count() == 200
+
+
 def test_odd_rows_and_missing_classes(spark):
     rows = [(1, None), (1, None), (2, ""), (3, "http://a.org/x"), (4, "nothing")]
     pages = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "1 as host", "'r' as rule", "0 as gram")
