@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from preflens.llm import jaccard_join as j
 from tests.llm.conftest import prose
@@ -84,3 +85,17 @@ def test_links_at_the_edge_of_the_percentage_are_kept(spark):
         got = found(docs, words=words, percent=percent)
         assert got == want
         assert 6 < len({c for _, c in want.values()}) < len(texts)
+
+
+def test_joins_on_bucketed_contents_move_the_other_side_only(spark):
+    from pathlib import Path
+
+    from preflens.llm.store import bucketed, freed
+
+    table = bucketed(spark.range(500).selectExpr("id as sid", "id * 2 as content"), "sid", codec="snappy")
+    name = table._jdf.queryExecution().analyzed().toString().split("bucketed_")[1][:32]
+    folder = Path(table.inputFiles()[0].removeprefix("file:")).parent
+    joined = spark.range(0, 900, 3).withColumnRenamed("id", "x").hint("merge").join(table, F.expr("x = sid"))
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and joined.count() == 167
+    freed(table)
+    assert not folder.exists() and not spark.catalog.tableExists(f"bucketed_{name}")
